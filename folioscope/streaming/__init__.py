@@ -1,0 +1,5 @@
+"""No streaming jobs: none of the measured or audited inputs is continuous.
+
+All operators are plain DataFrame functions; the ones without a sort or a
+window can be called from ``foreachBatch`` unchanged.
+"""
