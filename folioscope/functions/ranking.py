@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import bucket_of
+
 
 def bucketed_position(
     df: DataFrame, group: list[str], order: str, name: str, width: int = 65536
@@ -17,7 +19,7 @@ def bucketed_position(
     buckets. A group with a third of all rows is spread over its buckets; the
     running sum sees one row per bucket only.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    bucketed = df.withColumn("_bucket", bucket_of(F.col(order), width))
     sizes = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -33,9 +35,7 @@ def bucketed_position(
 
 def bins(lo: Column, hi: Column, width: int) -> Column:
     """All bin numbers a closed range touches, for an equi join on bins."""
-    return F.sequence(
-        F.floor(lo / F.lit(width)).cast("bigint"), F.floor(hi / F.lit(width)).cast("bigint")
-    )
+    return F.sequence(bucket_of(lo, width), bucket_of(hi, width))
 
 
 def range_join(
@@ -47,7 +47,7 @@ def range_join(
     Ranges are copied once per bin they touch, so the join is a hash or merge
     join, never a nested loop over both sides.
     """
-    p = points.withColumn("_bin", F.floor(F.col(point) / F.lit(width)).cast("bigint"))
+    p = points.withColumn("_bin", bucket_of(F.col(point), width))
     r = ranges.withColumn("_rbin", F.explode(bins(F.col(lo), F.col(hi), width)))
     r = r.select(
         *[F.col(c).alias(f"_r_{c}") for c in by],

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes with the meaning of the measured protocol.
 # SPACE is every Unicode white space plus the four ASCII separators 1C-1F;
@@ -24,7 +25,7 @@ DIGIT = (
 CAPTION_LABEL = rf"(?U)^Map{SPACE}+\p{{Nd}}+\.{SPACE}*"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_batch(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 

@@ -89,7 +89,12 @@ def with_patterns(locators: DataFrame, columns: list[str]) -> DataFrame:
     patterns = world_patterns(locators.sparkSession).select(*[f"p_{a}" for a in AXES], *columns)
     keyed = locators.withColumns({f"p_{a}": F.coalesce(a, F.lit(UNKNOWN)) for a in AXES})
     keys = [f"p_{a}" for a in AXES]
-    return keyed.join(F.broadcast(patterns), keys, "left").drop(*keys)
+    joined = keyed.join(F.broadcast(patterns), keys, "left").drop(*keys)
+    # A value outside the axis has no pattern and so no consistent world.
+    nothing = F.array().cast("array<string>")
+    return joined.withColumns({
+        c: F.coalesce(c, nothing) for c in columns if c.startswith("v_")
+    })
 
 
 def to_percent(judgment: Column) -> Column:
@@ -125,7 +130,7 @@ def validate_axes(locators: DataFrame) -> DataFrame:
     forced = F.array_compact(F.array(*[
         F.when(
             F.col(a).isNull() & (F.size(f"v_{a}") == 1),
-            F.struct(F.lit(a).alias("axis"), F.col(f"v_{a}")[0].alias("forced")),
+            F.struct(F.lit(a).alias("axis"), F.get(f"v_{a}", 0).alias("forced")),
         )
         for a in AXES
     ]))
@@ -149,7 +154,7 @@ def judgment_class(locators: DataFrame) -> DataFrame:
     """
     rows = with_patterns(locators, ["v_judgment", "v_keep"])
     settled = (
-        F.when(F.size("v_judgment") == 1, F.col("v_judgment")[0])
+        F.when(F.size("v_judgment") == 1, F.get("v_judgment", 0))
         .when(F.size("v_keep") > 1, "semantic_unresolved")
         .when(F.size("v_judgment") > 1, "not_kept_subtype_unresolved")
         .otherwise("inconsistent")

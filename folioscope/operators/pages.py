@@ -76,11 +76,11 @@ def chunk_sidecar(chunks: DataFrame) -> DataFrame:
             (other["ownership"] < F.col("r.ownership"))
             | ((other["ownership"] == F.col("r.ownership")) & (other["lo"] < F.col("r.lo")))
         )
-        return acc + below + tie.cast("int")
+        return acc + below + tie.cast("bigint")
 
     return rows.select(
         "source_id", "chunk_id",
-        F.aggregate("_ranges", F.lit(1), pages_before).alias("chunk_page"),
+        F.aggregate("_ranges", F.lit(1).cast("bigint"), pages_before).alias("chunk_page"),
         F.col("page").alias("document_page"), F.col("r.ownership").alias("ownership"),
     )
 
