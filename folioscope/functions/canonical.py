@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -29,14 +29,13 @@ def json_field(json_text: Column, name: str) -> Column:
     return F.try_variant_get(F.try_parse_json(json_text), f"$.{name}", "string")
 
 
-def record_json(df: DataFrame, columns: Iterable[str]) -> Column:
+def record_json(columns: Iterable[str]) -> Column:
     """A typed record as canonical JSON text, NULL fields kept as JSON null."""
-    ordered = sorted(columns)
-    return F.to_json(F.struct(*[df[c].alias(c) for c in ordered]), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
-def record_sha(df: DataFrame, columns: Iterable[str]) -> Column:
-    return F.sha2(record_json(df, columns), 256)
+def record_sha(columns: Iterable[str]) -> Column:
+    return F.sha2(record_json(columns), 256)
 
 
 def has_non_ascii_key(json_text: Column) -> Column:

@@ -100,6 +100,21 @@ def facet_subset(facets: DataFrame, tasks: DataFrame, parent: list[str], ids: st
     ).drop("_allowed")
 
 
+def facet_subset_bindings(
+    facets: DataFrame, tasks: DataFrame, parent: list[str], facet: str, subject: str
+) -> DataFrame:
+    """The same question on exploded bindings: ids per facet and ids outside the task.
+
+    Each (parent, facet, subject) meets its task's subject in an equi join, so a
+    task with very many ids is never one row.
+    """
+    allowed = tasks.select(*parent, subject, F.lit(True).alias("_in")).distinct()
+    joined = facets.select(*parent, facet, subject).distinct().join(allowed, [*parent, subject], "left")
+    return joined.groupBy(*parent, facet).agg(
+        F.count("*").alias("n_ids"), F.count_if(F.col("_in").isNull()).alias("n_outside")
+    ).withColumn("subset_ok", F.col("n_outside") == 0)
+
+
 def page_scope(nested: DataFrame, evidence: DataFrame, parent: list[str], page: str) -> DataFrame:
     """Nested pages that are not among their parent's evidence pages."""
     allowed = evidence.select(*parent, page).distinct()

@@ -414,9 +414,9 @@ def treatment_recall(
     unit_rows = units.select(*match, cls).distinct()
     totals = unit_rows.groupBy(scope, cls).agg(F.count("*").alias("n_units"))
     valid = routes.filter("valid").select("candidate_id", *match).distinct()
-    found = valid.join(unit_rows, match).groupBy("candidate_id", cls).agg(F.count("*").alias("n_found"))
+    found = valid.join(unit_rows, match).groupBy("candidate_id", scope, cls).agg(F.count("*").alias("n_found"))
     board = candidates.select("candidate_id", scope).join(totals, scope)
-    out = board.join(found, ["candidate_id", cls], "left").withColumn(
+    out = board.join(found, ["candidate_id", scope, cls], "left").withColumn(
         "n_found", F.coalesce("n_found", F.lit(0))
     )
     return out.withColumn("recall", ratio(F.col("n_found"), F.col("n_units")))
