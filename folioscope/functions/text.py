@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Character classes with the meaning of the measured protocol.
 # SPACE is every Unicode white space plus the four ASCII separators 1C-1F;
@@ -25,14 +26,44 @@ DIGIT = (
 CAPTION_LABEL = rf"(?U)^Map{SPACE}+\p{{Nd}}+\.{SPACE}*"
 
 
-@F.pandas_udf(StringType())
-def _nfkc_batch(values: pd.Series) -> pd.Series:
-    return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+NON_ASCII = r"[^\x00-\x7F]"
+
+
+def _normalized(words: pa.Array) -> pa.Array:
+    """NFKC of the non-ASCII strings; each different string is normalized once."""
+    foreign = pc.invert(pc.string_is_ascii(words)).fill_null(False)
+    distinct = words.filter(foreign).dictionary_encode()
+    plain = pa.array(
+        [unicodedata.normalize("NFKC", w) for w in distinct.dictionary.to_pylist()], type=words.type
+    )
+    return pc.replace_with_mask(words, foreign, plain.take(distinct.indices))
+
+
+@F.arrow_udf(StringType())
+def _nfkc_batch(values: pa.Array) -> pa.Array:
+    return _normalized(values)
+
+
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def _nfkc_lines_batch(pages: pa.Array) -> pa.Array:
+    lines = pages.values
+    words = pa.ListArray.from_arrays(lines.offsets, _normalized(lines.values))
+    return pa.ListArray.from_arrays(pages.offsets, words, mask=pages.is_null())
 
 
 def nfkc(col: Column) -> Column:
     """NFKC form. Only values with a non-ASCII character carry text to Python."""
-    return F.coalesce(_nfkc_batch(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
+    return F.coalesce(_nfkc_batch(F.when(col.rlike(NON_ASCII), col)), col)
+
+
+def nfkc_lines(lines: Column) -> Column:
+    """NFKC form of each word in an array of lines of words, without NULLs.
+
+    A page crosses to Python once instead of once per word, and only if it
+    holds a non-ASCII character.
+    """
+    foreign = F.exists(lines, lambda words: F.array_join(words, " ").rlike(NON_ASCII))
+    return F.coalesce(_nfkc_lines_batch(F.when(foreign, lines)), lines)
 
 
 def is_digits(col: Column) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from folioscope.functions.sides import stack
 
 
-def check_rows(df: DataFrame, check: str, scope: Column, ok: Column, detail: Column) -> DataFrame:
+def check_rows(df: DataFrame, check: str | Column, scope: Column, ok: Column, detail: Column) -> DataFrame:
     """One check row per input row; an unknown outcome counts as a failure."""
     return df.select(
-        F.lit(check).alias("check"),
+        (F.lit(check) if isinstance(check, str) else check).alias("check"),
         scope.cast("string").alias("scope"),
         F.coalesce(ok, F.lit(False)).alias("ok"),
         detail.cast("string").alias("detail"),

@@ -121,6 +121,20 @@ def page_scope(nested: DataFrame, evidence: DataFrame, parent: list[str], page:
     return nested.select(*parent, page).distinct().join(allowed, [*parent, page], "left_anti")
 
 
+def page_range_scope(nested: DataFrame, owners: DataFrame, parent: list[str], page: str) -> DataFrame:
+    """Nested pages outside every range of their owner; ``owners(*parent, lo, hi)``.
+
+    An equi join on the parent with the range as a residual condition, so no
+    range is expanded.
+    """
+    pages = nested.select(*parent, page).distinct()
+    same = F.lit(True)
+    for k in parent:
+        same = same & (F.col(f"n.{k}") == F.col(f"o.{k}"))
+    inside = F.col(f"n.{page}").between(F.col("o.lo"), F.col("o.hi"))
+    return pages.alias("n").join(owners.alias("o"), same & inside, "left_anti")
+
+
 def excluded_pages(refs: DataFrame, special: DataFrame, keys: list[str]) -> DataFrame:
     """References to an excluded page; must be empty."""
     return refs.join(special.select(*keys).distinct(), keys, "left_semi")

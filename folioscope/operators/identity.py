@@ -28,10 +28,20 @@ BASE_ROLES = [
 ]
 ACCESS_ROLES = ["access_overlay", "access_review"]
 FREEZE_ROLES = ["state", "draft", "review", "benchmark"]
+RELEASE_FIELDS = [
+    "schema_version", "release_id", "methodology_commit", "artifact_freeze_commit", "artifacts",
+    "evidence", "checkpoints", "release_sha256",
+]
 SHA256_SHAPE = "^[a-f0-9]{64}$"
 COMMIT_SHAPE = "^[a-f0-9]{40}$"
 
 
+def field_set_ok(json_text: Column, fields: Iterable[str]) -> Column:
+    """The object has exactly these top-level fields."""
+    wanted = F.array(*[F.lit(f) for f in sorted(fields)])
+    return F.coalesce(F.array_sort(F.json_object_keys(json_text)) == wanted, F.lit(False))
+
+
 def self_hash_ok(json_text: Column, field: str) -> Column:
     """The digest of the document without ``field`` equals the value of ``field``."""
     return F.coalesce(

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
 from folioscope.functions.numbers import ratio
-from folioscope.functions.sides import stack
 from folioscope.operators.checks import check_rows
 from folioscope.operators.pages import page_role
 
@@ -75,69 +74,92 @@ def is_callout(text: Column, height: Column, is_special: Column) -> Column:
     return tx.is_digits(text) & (height < CALLOUT_HEIGHT) & ~is_special
 
 
-def assemble_lines(words: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per line: kept text, exclusion reason, dropped note calls.
+def gather_pages(words: DataFrame) -> DataFrame:
+    """One row per page with its lines of positioned words in order.
 
-    Words are shuffled by page, not by line, so the page step reuses it.
+    Both aggregations use the one exchange by page.
     """
-    no = F.lit(False)
-    normal = words.withColumn("norm", tx.nfkc(F.coalesce("text", F.lit(""))))
-    flagged = normal.join(rules, ["source_id", "page"], "left").repartition("source_id", "page")
-    lines = flagged.groupBy("source_id", "page", "line_no").agg(
+    placed = words.repartition("source_id", "page")
+    by_line = placed.groupBy("source_id", "page", "line_no").agg(
         F.first("line_y_min").alias("y"),
-        F.first(F.coalesce("is_start", no)).alias("is_start"),
-        F.first(F.coalesce("is_special", no)).alias("is_special"),
-        F.first(F.coalesce("display_y", F.lit(DISPLAY_Y))).alias("display_y"),
-        F.first(F.coalesce("captions", F.expr(_NO_CAPTIONS))).alias("captions"),
         F.array_sort(F.collect_list(F.struct(
-            "word_no", F.coalesce("text", F.lit("")).alias("raw"), "norm",
+            "word_no", F.coalesce("text", F.lit("")).alias("text"),
             (F.col("y_max") - F.col("y_min")).alias("height"),
         ))).alias("words"),
     )
-    raw = F.array_join(F.transform("words", lambda w: w["raw"]), " ")
-    reason = line_reason(
-        F.col("is_special"), F.col("is_start"), F.col("y"), F.col("display_y"),
-        is_caption(F.col("captions"), F.col("y"), raw),
-    )
-    kept = F.filter("words", lambda w: ~is_callout(w["norm"], w["height"], F.col("is_special")))
-    lines = lines.withColumn("reason", reason).withColumn("kept", kept)
-    text = F.array_join(F.transform("kept", lambda w: w["norm"]), " ")
-    return lines.select(
-        "source_id", "page", "line_no", "is_start", "is_special", "reason",
-        F.size("words").alias("n_words"),
-        F.when(F.col("reason").isNull(), F.size("words") - F.size("kept")).otherwise(0).alias("n_callouts"),
-        F.when(
-            F.col("reason").isNull(),
-            F.when(F.col("is_special"), tx.strip_caption_label(text)).otherwise(text),
-        ).alias("text"),
+    return by_line.groupBy("source_id", "page").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "y", "words"))).alias("lines")
     )
 
 
+def assemble_lines(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """Pages with their lines as (line_no, reason, n_words, n_callouts, text).
+
+    ``reason`` is NULL for a kept line, ``text`` is NULL for an excluded one.
+    Rules meet whole pages, which are already placed by page.
+    """
+    no = F.lit(False)
+    pages = gather_pages(words).join(rules, ["source_id", "page"], "left").withColumns({
+        "is_start": F.coalesce("is_start", no), "is_special": F.coalesce("is_special", no),
+        "display_y": F.coalesce("display_y", F.lit(DISPLAY_Y)),
+        "captions": F.coalesce("captions", F.expr(_NO_CAPTIONS)),
+        "norm": tx.nfkc_lines(F.transform("lines", lambda line: F.transform(line["words"], lambda w: w["text"]))),
+    })
+    special = F.col("is_special")
+
+    def judged(pair: Column) -> Column:
+        line, norm = pair["lines"], pair["norm"]
+        raw = F.array_join(F.transform(line["words"], lambda w: w["text"]), " ")
+        reason = line_reason(
+            special, F.col("is_start"), line["y"], F.col("display_y"),
+            is_caption(F.col("captions"), line["y"], raw),
+        )
+        kept = F.filter(
+            norm, lambda w, i: ~is_callout(w, F.get(line["words"], i)["height"], special)
+        )
+        text = F.array_join(kept, " ")
+        return F.struct(
+            line["line_no"].alias("line_no"), reason.alias("reason"),
+            F.size(line["words"]).alias("n_words"),
+            (F.size(line["words"]) - F.size(kept)).alias("n_small"),
+            F.when(special, tx.strip_caption_label(text)).otherwise(text).alias("text"),
+        )
+
+    def settled(line: Column) -> Column:
+        excluded = line["reason"].isNotNull()
+        return F.struct(
+            line["line_no"].alias("line_no"), line["reason"].alias("reason"), line["n_words"].alias("n_words"),
+            F.when(excluded, 0).otherwise(line["n_small"]).alias("n_callouts"),
+            F.when(~excluded, line["text"]).alias("text"),
+        )
+
+    lines = F.transform(F.transform(F.arrays_zip("lines", "norm"), judged), settled)
+    return pages.select("source_id", "page", "is_start", "is_special", lines.alias("lines"))
+
+
 def excluded_map(counts: dict[str, Column]) -> Column:
     """MAP of reason to count, without the reasons that did not occur."""
     pairs = [c for reason, n in counts.items() for c in (F.lit(reason), n.cast("bigint"))]
     return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
 
 
-def assemble_pages(lines: DataFrame) -> DataFrame:
-    """Cleaned page text, token count and excluded counts by reason."""
+def assemble_pages(pages: DataFrame) -> DataFrame:
+    """Cleaned page text, token count and excluded counts by reason; no shuffle."""
+    def total(of) -> Column:
+        return F.aggregate("lines", F.lit(0).cast("bigint"), lambda acc, line: acc + of(line))
+
     def excluded(reason: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("reason") == reason, F.col("n_words"))), F.lit(0))
-
-    pages = lines.groupBy("source_id", "page").agg(
-        F.bool_or("is_start").alias("is_start"), F.bool_or("is_special").alias("is_special"),
-        F.array_sort(F.collect_list(
-            F.when(F.col("text").isNotNull(), F.struct("line_no", "text"))
-        )).alias("kept"),
-        excluded_map({
-            MAP_INTERNALS: excluded(MAP_INTERNALS),
-            CHAPTER_DISPLAY: excluded(CHAPTER_DISPLAY),
-            FURNITURE: excluded(FURNITURE),
-            NOTE_CALLOUT: F.sum("n_callouts"),
-        }).alias("excluded"),
-    )
-    joined = F.array_join(F.transform("kept", lambda r: r["text"]), "\n")
-    return pages.withColumn("text", tx.dehyphenate(joined)).select(
+        return total(lambda line: F.when(line["reason"] == reason, line["n_words"]).otherwise(0))
+
+    kept = F.transform(F.filter("lines", lambda line: line["text"].isNotNull()), lambda line: line["text"])
+    counts = excluded_map({
+        MAP_INTERNALS: excluded(MAP_INTERNALS),
+        CHAPTER_DISPLAY: excluded(CHAPTER_DISPLAY),
+        FURNITURE: excluded(FURNITURE),
+        NOTE_CALLOUT: total(lambda line: line["n_callouts"]),
+    })
+    cleaned = pages.withColumns({"text": tx.dehyphenate(F.array_join(kept, "\n")), "excluded": counts})
+    return cleaned.select(
         "source_id", "page", "is_start", "is_special", "text",
         tx.count_tokens(F.col("text")).alias("words"),
         page_role(F.col("is_special")).alias("role"), "excluded",
@@ -193,22 +215,34 @@ def rollup_owned(owned_words: DataFrame) -> DataFrame:
     )
 
 
-def measurement_checks(pages: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Every page has words; chunk sums equal the page sum, per source."""
-    per_source = pages.groupBy("source_id").agg(
-        F.min("words").alias("least"), F.sum("words").cast("bigint").alias("page_sum")
+def measurement_checks(pages: DataFrame, chunk_pages: DataFrame) -> DataFrame:
+    """Every page has words; the sum over chunks equals the sum over pages.
+
+    A page counts once for each chunk that owns it, so both sums come from one
+    pass over the pages.
+    """
+    owners = chunk_pages.filter(F.col("ownership") == "owned").groupBy("source_id", "page").agg(
+        F.count("*").alias("n_owners")
     )
-    chunk_sum = rollup.filter("level = 'chunk'").groupBy("source_id").agg(
-        F.sum("words").cast("bigint").alias("chunk_sum")
+    joined = pages.select("source_id", "page", "words").join(owners, ["source_id", "page"], "left")
+    chunk_words = F.col("words") * F.coalesce("n_owners", F.lit(0))
+    sums = joined.groupBy("source_id").agg(
+        F.min("words").alias("least"), F.sum("words").cast("bigint").alias("page_sum"),
+        F.sum(chunk_words).cast("bigint").alias("chunk_sum"),
     )
-    both = per_source.join(chunk_sum, "source_id", "left")
-    return stack([
-        check_rows(both, "page_words_positive", F.col("source_id"), F.col("least") > 0, F.col("least")),
-        check_rows(
-            both, "chunk_sum_equals_page_sum", F.col("source_id"),
-            F.col("chunk_sum") == F.col("page_sum"), F.col("chunk_sum") - F.col("page_sum"),
+    both = F.inline(F.array(
+        F.struct(
+            F.lit("page_words_positive").alias("check"), (F.col("least") > 0).alias("ok"),
+            F.col("least").alias("detail"),
+        ),
+        F.struct(
+            F.lit("chunk_sum_equals_page_sum").alias("check"),
+            (F.col("chunk_sum") == F.col("page_sum")).alias("ok"),
+            (F.col("chunk_sum") - F.col("page_sum")).alias("detail"),
         ),
-    ])
+    ))
+    rows = sums.select("source_id", both)
+    return check_rows(rows, F.col("check"), F.col("source_id"), F.col("ok"), F.col("detail"))
 
 
 def compare_protocols(measures: DataFrame, protocols: list[str], base: str) -> DataFrame:

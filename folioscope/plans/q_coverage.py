@@ -177,16 +177,28 @@ def empty_required(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT o_orderkey, unnest(range(year(o_orderdate) * 12 + month(o_orderdate), year(o_orderdate) * 12 + month(o_orderdate) + 36)) AS page FROM orders),
-n AS (SELECT DISTINCT l_orderkey AS o_orderkey, year(l_shipdate) * 12 + month(l_shipdate) AS page FROM lineitem)
-SELECT o_orderkey, CAST(page AS INTEGER) AS page FROM n ANTI JOIN e USING (o_orderkey, page)
+WITH m AS (SELECT l_orderkey, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS page, l_linenumber AS i FROM lineitem)
+SELECT DISTINCT l_orderkey, page FROM m
+WHERE i <= 2 AND NOT EXISTS (SELECT 1 FROM m AS e WHERE e.i >= 2 AND e.l_orderkey = m.l_orderkey AND e.page = m.page)
 """)
 def page_scope(t: Tables) -> DataFrame:
+    """Ship months of an order's first lines that none of its later lines share."""
+    lines = t.lineitem.select("l_orderkey", month_index(F.col("l_shipdate")).alias("page"), "l_linenumber")
+    return coverage.page_scope(
+        lines.filter("l_linenumber <= 2"), lines.filter("l_linenumber >= 2"), ["l_orderkey"], "page"
+    )
+
+
+@query("""
+SELECT DISTINCT l_orderkey AS o_orderkey, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS page FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE year(l_shipdate) * 12 + month(l_shipdate) NOT BETWEEN year(o_orderdate) * 12 + month(o_orderdate) AND year(o_orderdate) * 12 + month(o_orderdate) + 35
+""")
+def page_range_scope(t: Tables) -> DataFrame:
     """Ship months outside the 36 months that begin with the order."""
     first = month_index(F.col("o_orderdate"))
-    evidence = t.orders.select("o_orderkey", F.explode(F.sequence(first, first + 35)).alias("page"))
+    owners = t.orders.select("o_orderkey", first.alias("lo"), (first + 35).alias("hi"))
     nested = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), month_index(F.col("l_shipdate")).alias("page"))
-    return coverage.page_scope(nested, evidence, ["o_orderkey"], "page")
+    return coverage.page_range_scope(nested, owners, ["o_orderkey"], "page")
 
 
 @query("""

@@ -10,10 +10,16 @@ from folioscope.functions.numbers import bucket_of
 from folioscope.functions.ranking import bucketed_position
 from folioscope.operators import diff, measure, pages
 from folioscope.plans.registry import Tables, query
+from folioscope.sources.readers import spread
 
 PAGES_PER_CHUNK = 10
 
 
+def texts(t: Tables, *columns: str) -> DataFrame:
+    """Document texts with the named columns, over all cores."""
+    return spread(t.documents.select("doc_id", "text", *columns), "doc_id")
+
+
 def ranked_documents(t: Tables) -> DataFrame:
     """(source_id, page, doc_id): documents of a source are its pages in id order."""
     ids = t.documents.select(F.col("source").alias("source_id"), "doc_id")
@@ -49,7 +55,7 @@ GROUP BY ROLLUP (source_id, chunk_id)
 """)
 def words_by_chunk(t: Tables) -> DataFrame:
     """Counts are taken where the text is read; only ids and numbers are moved."""
-    counted = t.documents.select(
+    counted = texts(t, "source").select(
         F.col("source").alias("source_id"), "doc_id",
         tx.count_tokens(tx.dehyphenate(F.col("text"))).alias("words"),
     )
@@ -71,7 +77,7 @@ lines AS (
 
 def document_lines(t: Tables) -> DataFrame:
     """Lines of documents with derived geometry; every 25th page is special."""
-    lines = t.documents.select(
+    lines = texts(t, "source").select(
         F.col("doc_id").alias("page"), F.col("source").alias("source_id"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
@@ -132,7 +138,7 @@ def callouts_dropped(t: Tables) -> DataFrame:
     words = F.split("text", " ")
     height = lambda w: F.when(F.length(w) <= 3, 7.9).otherwise(8.0)
     dropped = F.size(F.filter(words, lambda w: measure.is_callout(w, height(w), F.col("doc_id") % 25 == 0)))
-    return t.documents.select("lang", F.size(words).alias("n"), dropped.alias("dropped")).groupBy("lang").agg(
+    return texts(t, "lang").select("lang", F.size(words).alias("n"), dropped.alias("dropped")).groupBy("lang").agg(
         F.count("*").alias("n_pages"), F.sum("n").cast("bigint").alias("n_words"),
         F.sum("dropped").cast("bigint").alias("n_callouts"),
     )
@@ -151,7 +157,7 @@ FROM joined
 def dehyphenated(t: Tables) -> DataFrame:
     """Words broken over lines by a rule come back whole."""
     wrapped = F.regexp_replace("text", r"(\p{L}{4})(\p{L}{3})", "$1-\n  $2")
-    joined = t.documents.select("doc_id", "text", wrapped.alias("wrapped")).withColumn(
+    joined = texts(t).select("doc_id", "text", wrapped.alias("wrapped")).withColumn(
         "back", tx.dehyphenate(F.col("wrapped"))
     )
     return joined.select(
@@ -179,7 +185,7 @@ def cross_page_joins(t: Tables) -> DataFrame:
     cut = F.when(
         F.col("doc_id") % 3 == 0, F.concat(F.regexp_replace("text", r"[^\p{L}]+$", ""), F.lit("-"))
     ).otherwise(F.col("text"))
-    edges = measure.page_edges(t.documents.select(
+    edges = measure.page_edges(texts(t, "source").select(
         F.col("source").alias("source_id"), "doc_id", cut.alias("text"), F.lit(0).cast("bigint").alias("words"),
     ))
     ranked = bucketed_position(edges, ["source_id"], "doc_id", "page").withColumns({
@@ -196,7 +202,7 @@ FROM documents GROUP BY lang
 """)
 def nfkc_words(t: Tables) -> DataFrame:
     """Texts written with ligatures come back in plain letters."""
-    docs = t.documents.select("lang", "text", F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01")).alias("typeset"))
+    docs = texts(t, "lang").select("lang", "text", F.replace(F.col("text"), F.lit("fi"), F.lit("\ufb01")).alias("typeset"))
     docs = docs.withColumn("plain", tx.nfkc(F.col("typeset")))
     return docs.groupBy("lang").agg(
         F.count("*").alias("n_docs"), F.count_if(F.col("typeset") != F.col("plain")).alias("n_changed"),
@@ -214,7 +220,7 @@ def document_words(t: Tables) -> DataFrame:
     cut = F.when(
         F.col("doc_id") % 3 == 0, F.concat(F.regexp_replace("text", r"[^\p{L}]+$", ""), F.lit("-"))
     ).otherwise(F.col("text"))
-    paged = t.documents.select("doc_id", cut.alias("text")).join(ranked_documents(t), "doc_id")
+    paged = texts(t).select("doc_id", cut.alias("text")).join(ranked_documents(t), "doc_id")
     lines = paged.select("source_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = lines.select(
         "source_id", "page", "line_no", (F.lit(40) + F.col("line_no") * 12).cast("double").alias("line_y_min"),
@@ -295,7 +301,7 @@ SELECT "check", source_id AS scope, ok, CAST(detail AS VARCHAR) AS detail FROM (
 def measurement_checks(t: Tables) -> DataFrame:
     counted, _ = measured_documents(t)
     chunk_pages = pages.expand_chunks(chunks_of(ranked_documents(t)))
-    return measure.measurement_checks(counted, measure.rollup_words(counted, chunk_pages))
+    return measure.measurement_checks(counted, chunk_pages)
 
 
 @query("""
@@ -317,7 +323,7 @@ def protocol_compare(t: Tables) -> DataFrame:
         F.struct(F.lit("legacy").alias("protocol"), F.regexp_count(text, F.lit("[^ ]+")).cast("bigint").alias("words")),
         F.struct(F.lit("native").alias("protocol"), F.regexp_count(text, F.lit(r"\p{L}+")).cast("bigint").alias("words")),
     )
-    measures = t.documents.select(
+    measures = texts(t, "source").select(
         F.col("source").alias("source_id"),
         F.concat(F.lit("CHUNK-"), bucket_of(F.col("doc_id"), 200)).alias("chunk_id"),
         F.inline(counts),
@@ -338,7 +344,7 @@ FROM c
 """)
 def density_rates(t: Tables) -> DataFrame:
     """Headings and locators per 1,000 words; labels stand in for both."""
-    words = t.documents.select("doc_id", "source", "lang", tx.count_tokens(F.col("text")).alias("words"))
+    words = texts(t, "source", "lang").select("doc_id", "source", "lang", tx.count_tokens(F.col("text")).alias("words"))
     counts = words.join(t.labels, "doc_id", "left").select(
         "source", "lang", F.coalesce("quality", F.lit(0)).alias("headings"),
         (F.coalesce("quality", F.lit(0)) + F.coalesce("toxic", F.lit(0)) + 1).alias("locators"), "words",
