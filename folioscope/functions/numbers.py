@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 def ratio(num: Column, den: Column, scale: int = 6) -> Column:
     """``num / den`` rounded half up once to ``scale`` digits; NULL when den is 0.
 
-    Both sides are non-negative whole numbers. Integer division of a wide
-    DECIMAL keeps the single rounding exact for counts far beyond BIGINT / 10^6.
+    Both sides are non-negative whole numbers. The remainder is scaled and
+    rounded on its own in a wide DECIMAL, so no step overflows or rounds twice.
     """
     one = 10**scale
-    n = num.cast("decimal(24,0)")
-    d = F.nullif(den, F.lit(0)).cast("decimal(24,0)")
-    doubled = n * F.lit(2 * one).cast("decimal(12,0)") + d
-    whole = F.call_function("div", doubled, d * F.lit(2).cast("decimal(1,0)"))
+    d = F.nullif(den, F.lit(0)).cast("decimal(20,0)")
+    n = num.cast("decimal(20,0)")
+    whole = F.call_function("div", n, d)
+    rest = (n - whole.cast("decimal(19,0)") * d).cast("decimal(20,0)")
+    doubled = rest * F.lit(2 * one).cast("decimal(10,0)") + d
+    part = F.call_function("div", doubled, d * F.lit(2).cast("decimal(1,0)")).cast("decimal(10,0)")
     unit = F.expr(f"cast('{1 / one:.{scale}f}' as decimal({scale + 1},{scale}))")
-    return (whole.cast("decimal(18,0)") * unit).cast(f"decimal(24,{scale})")
+    return (whole.cast("decimal(18,0)") + part * unit).cast(f"decimal(24,{scale})")
 
 
 def money(col: Column) -> Column:

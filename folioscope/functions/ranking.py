@@ -9,27 +9,41 @@ from pyspark.sql import functions as F
 from folioscope.functions.numbers import bucket_of
 
 
+def _sums_before(sizes: DataFrame, group: list[str], level: int, width: int) -> DataFrame:
+    """(group, _b, _offset): the sum of ``_n`` over the smaller ``_b`` of the group."""
+    inside = F.coalesce(F.sum("_n").over(
+        W.partitionBy(*group, *(["_c"] if level else [])).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    ), F.lit(0))
+    if level == 0:
+        return sizes.select(*group, "_b", inside.alias("_offset"))
+    coarse = sizes.withColumn("_c", bucket_of(F.col("_b"), width))
+    totals = coarse.groupBy(*group, "_c").agg(F.sum("_n").alias("_n"))
+    outer = _sums_before(totals.withColumnRenamed("_c", "_b"), group, level - 1, width)
+    outer = outer.select(*group, F.col("_b").alias("_c"), F.col("_offset").alias("_base"))
+    return coarse.withColumn("_in", inside).join(outer, [*group, "_c"]).select(
+        *group, "_b", (F.col("_in") + F.col("_base")).alias("_offset")
+    )
+
+
 def bucketed_position(
-    df: DataFrame, group: list[str], order: str, name: str, width: int = 65536
+    df: DataFrame, group: list[str], order: str, name: str, width: int = 65536, levels: int = 2
 ) -> DataFrame:
-    """1-based rank of the whole-number column ``order`` inside each group.
+    """1-based rank of the unique whole-number column ``order`` inside each group.
 
     Rows are ranked inside (group, order div width), which holds at most
-    ``width`` distinct orders, and shifted by the number of rows in the earlier
-    buckets. A group with a third of all rows is spread over its buckets; the
-    running sum sees one row per bucket only.
+    ``width`` rows, and shifted by the number of rows in the earlier buckets. A
+    group with a third of all rows is spread over its buckets. The bucket sums
+    are bucketed again, ``levels`` times in all: 2 suits ids without large
+    holes; 4 bounds every sort by ``width`` rows for any 64-bit order.
     """
-    bucketed = df.withColumn("_bucket", bucket_of(F.col(order), width))
-    sizes = bucketed.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    local = W.partitionBy(*group, "_bucket").orderBy(order)
+    bucketed = df.withColumn("_b", bucket_of(F.col(order), width))
+    sizes = bucketed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
+    offsets = _sums_before(sizes, group, levels - 1, width)
+    local = W.partitionBy(*group, "_b").orderBy(order)
     return (
-        bucketed.join(offsets, [*group, "_bucket"])
+        bucketed.join(offsets, [*group, "_b"])
         .withColumn(name, (F.row_number().over(local) + F.col("_offset")).cast("bigint"))
-        .drop("_bucket", "_offset")
+        .drop("_b", "_offset")
     )
 
 

@@ -21,7 +21,7 @@ HYPHEN = r"[-\x{AD}]"
 DIGIT = (
     r"[\p{Nd}\x{1369}-\x{1371}\x{19DA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}"
     r"\x{2780}-\x{2788}\x{278A}-\x{2792}\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}"
-    r"\x{11052}-\x{1105A}\x{1F10B}-\x{1F10C}]"
+    r"\x{11052}-\x{1105A}\x{11F50}-\x{11F59}\x{16AC0}-\x{16AC9}\x{1E4F0}-\x{1E4F9}]"
 )
 CAPTION_LABEL = rf"(?U)^Map{SPACE}+\p{{Nd}}+\.{SPACE}*"
 

@@ -177,23 +177,30 @@ def cross_page_joins(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Take one word off a page whose first word began on the page before it.
 
     ``pages(source_id, page, is_start, is_special, words, _opens, _hangs)``,
-    see ``page_edges``. The neighbour is found by equality on (source_id,
-    page + 1); only pages that end in a hyphen are moved for it, and a long
-    source is never ordered in one task. Returns (pages, joins).
+    see ``page_edges``. A page that ends inside a word sends a note to the key
+    (source_id, page + 1), where one aggregation meets it with that page. So the
+    input is read once, and a long source is never ordered in one task.
+    Returns (pages, joins).
     """
-    hanging = pages.filter(F.col("_hangs") & ~F.col("is_special")).select(
-        "source_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("_joined")
-    )
-    open_to_join = F.col("_opens") & ~F.col("is_start") & ~F.col("is_special")
-    marked = pages.join(hanging, ["source_id", "page"], "left").withColumn(
-        "_joined", F.coalesce(F.col("_joined") & open_to_join, F.lit(False))
+    keys = ["source_id", "page"]
+    own = F.struct(*[c for c in pages.columns if c not in (*keys, "_hangs")])
+    sent = F.when(F.col("_hangs") & ~F.col("is_special"), F.struct(
+        (F.col("page") + 1).cast(pages.schema["page"].dataType).alias("page"),
+        F.lit(None).alias("own"), F.lit(True).alias("carried"),
+    ))
+    kept = F.struct("page", own.alias("own"), F.lit(False).alias("carried"))
+    merged = pages.select("source_id", F.inline(F.array_compact(F.array(kept, sent)))).groupBy(*keys).agg(
+        F.first("own", ignorenulls=True).alias("own"), F.bool_or("carried").alias("_carried")
+    ).filter("own is not null").select(*keys, "own.*", "_carried")
+    marked = merged.withColumn(
+        "_joined", F.col("_carried") & F.col("_opens") & ~F.col("is_start") & ~F.col("is_special")
     )
     joins = marked.filter("_joined").select(
         "source_id", (F.col("page") - 1).alias("starts_on_page"),
         F.col("page").alias("continues_on_page"), (F.col("page") - 1).alias("word_assigned_to_page"),
     )
     adjusted = marked.withColumn("words", F.col("words") - F.col("_joined").cast("bigint"))
-    return adjusted.drop("_joined", "_opens", "_hangs"), joins
+    return adjusted.drop("_joined", "_carried", "_opens"), joins
 
 
 def rollup_words(pages: DataFrame, chunk_pages: DataFrame) -> DataFrame:

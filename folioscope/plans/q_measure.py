@@ -60,8 +60,8 @@ def words_by_chunk(t: Tables) -> DataFrame:
         tx.count_tokens(tx.dehyphenate(F.col("text"))).alias("words"),
     )
     ranked = bucketed_position(counted, ["source_id"], "doc_id", "page")
-    chunk_pages = pages.expand_chunks(chunks_of(ranked))
-    return measure.rollup_words(ranked, chunk_pages)
+    number = bucket_of(F.col("page") - 1, PAGES_PER_CHUNK)
+    return measure.rollup_owned(ranked.withColumn("chunk_id", F.concat(F.lit("CHUNK-"), number)))
 
 
 LINES_SQL = """

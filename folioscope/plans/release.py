@@ -60,22 +60,18 @@ def audit_releases(
         F.col("_have").isNull() | (F.col("_have") != F.col("sha256"))
     ).select("release_id", F.col("path").alias("detail"))
 
-    own_bindings = declared.join(
-        bindings.select("release_id", F.col("path").alias("artifact_path"), "sha256").distinct(),
-        ["release_id", "artifact_path"], "left",
-    )
-    per_member = identity.audit_bundle(
-        members, declared.select("archive", "name", "artifact_path"),
-        own_bindings.filter("sha256 is not null").select(F.col("artifact_path").alias("path"), "sha256"),
-    ).filter("status <> 'ok'")
-    member_problems = per_member.join(archives.select("archive", "release_id"), "archive").select(
+    # An archive is judged against the bindings of its own release only.
+    own_path = F.concat_ws("|", "release_id", "artifact_path")
+    own_declared = declared.select("archive", "name", own_path.alias("artifact_path"))
+    own_bindings = bindings.select(F.concat_ws("|", "release_id", "path").alias("path"), "role", "sha256")
+    owner = archives.select("archive", "release_id")
+    per_member = identity.audit_bundle(members, own_declared, own_bindings).filter("status <> 'ok'")
+    member_problems = per_member.join(owner, "archive").select(
         "release_id", F.concat_ws(": ", "status", "name").alias("detail")
     )
-    freeze = identity.bundle_roles(
-        declared.select("archive", "artifact_path"), bindings, identity.FREEZE_ROLES
-    ).filter("not complete").join(archives.select("archive", "release_id"), "archive").select(
-        "release_id", F.col("archive").alias("detail")
-    )
+    freeze = identity.bundle_roles(own_declared, own_bindings, identity.FREEZE_ROLES).filter(
+        "not complete"
+    ).join(owner, "archive").select("release_id", F.col("archive").alias("detail"))
     registered = identity.unique_registration(registrations, expected).filter("status <> 'ok'").select(
         F.col("state").alias("release_id"), F.concat_ws(": ", "status", "stage").alias("detail")
     )
