@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.ranking import bucketed_position, range_join
 from folioscope.functions.numbers import ratio
-from folioscope.functions.sides import key_counts, side_count, stack, tag
+from folioscope.functions.sides import key_counts
+from folioscope.functions.skew import hot_join
 from folioscope.functions.text import label_key, label_near_key
 
 
@@ -83,9 +84,14 @@ def assign_by_rank(
 
 
 def dangling(child: DataFrame, parent: DataFrame, refs: list[str], keys: list[str]) -> DataFrame:
-    """Child rows whose reference names no parent; NULL references dangle."""
-    target = parent.select(*[F.col(k).alias(r) for r, k in zip(refs, keys)]).distinct()
-    return child.join(target, refs, "left_anti")
+    """Child rows whose reference names no parent; NULL references dangle.
+
+    Keys are compared first, as counts; child rows are met only by the keys
+    that have no parent.
+    """
+    target = parent.select(*[F.col(k).alias(r) for r, k in zip(refs, keys)]).na.drop(subset=refs)
+    lost = key_counts(child, target, refs).filter("n_left > 0 and n_right = 0").drop("n_right")
+    return hot_join(child, lost, refs, "n_left")
 
 
 def facet_subset(facets: DataFrame, tasks: DataFrame, parent: list[str], ids: str) -> DataFrame:
@@ -137,7 +143,7 @@ def page_range_scope(nested: DataFrame, owners: DataFrame, parent: list[str], pa
 
 def excluded_pages(refs: DataFrame, special: DataFrame, keys: list[str]) -> DataFrame:
     """References to an excluded page; must be empty."""
-    return refs.join(special.select(*keys).distinct(), keys, "left_semi")
+    return refs.join(special.select(*keys), keys, "left_semi")
 
 
 def dupes(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,18 +155,21 @@ def near_dupes(labels: DataFrame, by: list[str], label: str, id_col: str) -> Dat
 
     ``exact`` groups agree after case, punctuation and spacing are removed.
     ``near`` groups hold the same set of words in at least two exact forms.
-    Grouping by key is linear: no pair of labels is ever formed, and copies of
-    one label are counted before the keys are moved.
+    Labels are reduced to two digests where they are read, so no text is moved
+    and no pair of labels is formed; copies are counted before they are moved.
     """
-    forms = labels.withColumn("_exact", label_key(F.col(label))).groupBy(*by, "_exact").agg(
+    keyed = labels.withColumn("_form", label_key(F.col(label))).select(
+        *by, id_col, F.sha2("_form", 256).alias("_exact"), F.sha2(label_near_key(F.col("_form")), 256).alias("_near")
+    )
+    forms = keyed.groupBy(*by, "_near", "_exact").agg(
         F.count("*").alias("n_labels"), F.min(id_col).alias("first_id")
     )
     exact = forms.filter("n_labels > 1").select(
-        *by, F.lit("exact").alias("kind"), F.sha2("_exact", 256).alias("key"), "n_labels",
+        *by, F.lit("exact").alias("kind"), F.col("_exact").alias("key"), "n_labels",
         F.lit(1).cast("bigint").alias("n_forms"), "first_id",
     )
     near = (
-        forms.groupBy(*by, F.sha2(label_near_key(F.col("_exact")), 256).alias("key"))
+        forms.groupBy(*by, F.col("_near").alias("key"))
         .agg(
             F.sum("n_labels").cast("bigint").alias("n_labels"),
             F.count("*").alias("n_forms"), F.min("first_id").alias("first_id"),
@@ -203,12 +212,13 @@ def coverage_ratio(
     ).withColumn("reviewed_ratio", ratio(F.col("reviewed"), F.col("inventory")))
 
 
-def disposition_cube(ledger: DataFrame, dims: list[str]) -> DataFrame:
+def disposition_cube(ledger: DataFrame, dims: list[str], weight: str | None = None) -> DataFrame:
     """Counts by every combination of the dimensions, with all subtotals.
 
-    Counting the finest level first keeps the copies that the cube makes small.
+    ``weight`` names a column of counts when the ledger is already counted. The
+    finest level is summed first, so the cube copies few rows.
     """
-    base = ledger.groupBy(*dims).agg(F.count("*").alias("_n"))
+    base = ledger.groupBy(*dims).agg((F.sum(weight) if weight else F.count("*")).alias("_n"))
     return base.cube(*dims).agg(
         F.grouping_id().cast("bigint").alias("level"), F.sum("_n").cast("bigint").alias("n")
     )
@@ -238,8 +248,8 @@ def occurrence_positions(df: DataFrame, canonical: DataFrame, keys: list[str], p
 
     Kept long on purpose: a key with very many copies never becomes one array.
     """
-    repeated = canonical.filter("multiplicity > 1").select(*keys, "status")
-    return df.select(*keys, position).join(repeated, keys)
+    repeated = canonical.filter("multiplicity > 1").select(*keys, "status", "multiplicity")
+    return hot_join(df.select(*keys, position), repeated, keys, "multiplicity")
 
 
 def consolidate(tasks: DataFrame, question: list[str], target: str) -> DataFrame:
@@ -253,15 +263,16 @@ def crosswalk_shape(mapping: DataFrame, left: str, right: str) -> DataFrame:
     1:1 ``equivalent``, 1:n ``split``, n:1 ``merge``, n:m ``changed_boundary``.
     """
     pairs = mapping.select(left, right).distinct()
-    rights = pairs.groupBy(left).agg(F.count("*").alias("n_right"))
-    lefts = pairs.groupBy(right).agg(F.count("*").alias("n_left"))
+    rights = pairs.groupBy(left).agg(F.count("*").alias("n_right")).withColumn("_n", F.col("n_right"))
+    lefts = pairs.groupBy(right).agg(F.count("*").alias("n_left")).withColumn("_n", F.col("n_left"))
     shape = (
         F.when((F.col("n_right") == 1) & (F.col("n_left") == 1), "equivalent")
         .when(F.col("n_left") == 1, "split")
         .when(F.col("n_right") == 1, "merge")
         .otherwise("changed_boundary")
     )
-    return pairs.join(rights, left).join(lefts, right).withColumn("shape", shape)
+    counted = hot_join(hot_join(pairs, rights, [left], "_n"), lefts, [right], "_n")
+    return counted.withColumn("shape", shape)
 
 
 def mapping_counts(mapping: DataFrame, by: list[str], key: str, dest: str) -> DataFrame:
@@ -306,17 +317,25 @@ def independence(overlays: DataFrame, reviews: DataFrame, deltas: DataFrame, rev
     )
 
 
-def chronology(events: DataFrame, rules: DataFrame, scope: list[str]) -> DataFrame:
+def chronology(events: DataFrame, rules: dict[str, list[str]], scope: list[str]) -> DataFrame:
     """Dependent events that do not follow their prerequisite.
 
-    ``events(*scope, kind, ts, event_id)``; ``rules(prerequisite, dependent)``.
-    The first time of each prerequisite is one row per scope and kind; the
-    events meet it in an equi join and keep their number whatever the scope's size.
+    ``events(*scope, kind, ts, event_id)``; ``rules`` gives the prerequisites of
+    a kind. First times and numbers of events are one row per scope and kind;
+    the events meet that row, whatever the size of a scope.
     """
-    needed = events.join(rules.withColumnRenamed("dependent", "kind"), "kind")
-    first = events.groupBy(*scope, F.col("kind").alias("prerequisite")).agg(F.min("ts").alias("ready"))
+    table = F.create_map(*[
+        x for kind, needs in rules.items() for x in (F.lit(kind), F.array(*[F.lit(n) for n in needs]))
+    ])
+    stats = events.groupBy(*scope, "kind").agg(F.min("ts").alias("ready"), F.count("*").alias("_n"))
+    first = stats.select(*scope, F.col("kind").alias("prerequisite"), "ready")
+    needed = stats.select(*scope, "kind", "_n", F.explode(table[F.col("kind")]).alias("prerequisite"))
+    met = needed.join(first, [*scope, "prerequisite"], "left")
+    dependent = events.filter(F.col("kind").isin(*rules)).select(
+        *scope, "kind", "ts", "event_id", F.explode(table[F.col("kind")]).alias("prerequisite")
+    )
     late = F.col("ready").isNull() | (F.col("ts") <= F.col("ready"))
-    return needed.join(first, [*scope, "prerequisite"], "left").filter(late).select(
+    return hot_join(dependent, met, [*scope, "kind", "prerequisite"], "_n", "left").filter(late).select(
         *scope, "event_id", "kind", "prerequisite",
         F.when(F.col("ready").isNull(), "no_prerequisite").otherwise("too_early").alias("problem"),
     )

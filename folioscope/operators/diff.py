@@ -235,7 +235,7 @@ def dependency_closure(
     each edge once. ``tasks(task_id, subject_id)`` and ``facets(task_id,
     facet_id, subject_id)`` are exploded bindings.
     """
-    ids = changed.select("subject_id").distinct()
+    ids = changed.select("subject_id")
     source = relationships.join(ids.withColumnRenamed("subject_id", "source_subject_id"), "source_subject_id", "left_semi")
     rest = relationships.join(ids.withColumnRenamed("subject_id", "source_subject_id"), "source_subject_id", "left_anti")
     target = rest.join(ids.withColumnRenamed("subject_id", "target_subject_id"), "target_subject_id", "left_semi")
@@ -274,20 +274,21 @@ def opportunity_diff(old: DataFrame, new: DataFrame, unit: list[str], member: st
 
 
 def edge_conflicts(
-    edges: DataFrame, inverse: DataFrame, keys: tuple[str, str, str] = ("source", "type", "target")
+    edges: DataFrame, inverse: dict[str, str], keys: tuple[str, str, str] = ("source", "type", "target")
 ) -> DataFrame:
     """Reversed duplicates and pairs with several types.
 
     ``reversed``: (a, t, b) and (b, t', a) with t' the inverse of t, found by
     looking up the expected reverse edge, reported once per edge.
     ``types``: one ordered pair under more than one type.
-    ``inverse(type, inverse_type)``.
+    ``inverse`` gives the inverse of each type that has one.
     """
     a, t, b = keys
     once = edges.groupBy(a, t, b).agg(F.count("*").alias("n_bindings"))
-    expected = once.join(inverse.select(F.col("type").alias(t), "inverse_type"), t).select(
-        F.col(b).alias(a), F.col("inverse_type").alias(t), F.col(a).alias(b)
-    ).distinct()
+    table = F.create_map(*[F.lit(x) for pair in inverse.items() for x in pair])
+    expected = once.select(
+        F.col(b).alias(a), table[F.col(t)].alias(t), F.col(a).alias(b)
+    ).filter(F.col(t).isNotNull()).distinct()
     reversed_edges = once.join(expected, [a, t, b], "left_semi").select(
         a, b, F.lit("reversed").alias("kind"), F.col(t).alias("detail")
     )

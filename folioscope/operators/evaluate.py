@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import ratio
+from folioscope.functions.skew import hot_join
 from folioscope.operators.coverage import canonicalize, closure
 
 # The axes and their settled states.
@@ -394,7 +395,7 @@ def routes_with_continuation(routes: DataFrame, continuations: DataFrame, keys:
     ``routes(*keys, page)``; ``continuations(*keys, page)`` names the page that
     runs on. ``kind`` is ``direct`` or ``continued``.
     """
-    onward = continuations.select(*keys, "page").distinct()
+    onward = continuations.select(*keys, "page")
     continued = routes.join(onward, [*keys, "page"], "left_semi").withColumn("page", F.col("page") + 1)
     return routes.withColumn("kind", F.lit("direct")).unionByName(
         continued.withColumn("kind", F.lit("continued"))
@@ -480,8 +481,8 @@ def comparable(candidates: DataFrame, by: list[str], shared: list[str]) -> DataF
     same = F.lit(True)
     for c in shared:
         same = same & one_value(c)
-    groups = candidates.groupBy(*by).agg(same.alias("_same")).filter("_same")
-    return candidates.join(groups, by, "left_semi")
+    groups = candidates.groupBy(*by).agg(same.alias("_same"), F.count("*").alias("_n")).filter("_same")
+    return hot_join(candidates, groups.drop("_same"), by, "_n")
 
 
 def compare_candidates(measures: DataFrame, by: list[str], candidate: str, names: list[str]) -> DataFrame:

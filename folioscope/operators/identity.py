@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.canonical import canonical_sha, drop_fields, json_field
 from folioscope.functions.sides import side_count, side_value, stack, tag
+from folioscope.functions.skew import hot_join
 
 # Profiles by schema version, and the roles a release must bind.
 PROFILES = {
@@ -112,25 +113,25 @@ def binding_dupes(bindings: DataFrame, descriptors: DataFrame | None = None) ->
     )
 
 
-def role_table(spark) -> DataFrame:
-    """(profile, role): nine base roles for every profile, two more for v10."""
-    rows = [
-        (profile, role)
-        for profile in PROFILES.values()
-        for role in BASE_ROLES + (ACCESS_ROLES if profile == "v10" else [])
-    ]
-    return spark.createDataFrame(rows, "profile string, role string")
+def role_table() -> dict[str, list[str]]:
+    """Roles per profile: nine base roles for every profile, two more for v10."""
+    return {p: BASE_ROLES + (ACCESS_ROLES if p == "v10" else []) for p in PROFILES.values()}
 
 
-def role_check(bindings: DataFrame, roles: DataFrame) -> DataFrame:
-    """Roles a release misses or binds beyond its profile's role table.
+def role_check(bindings: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
+    """Roles a release misses, binds beyond its profile's roles, or repeats.
 
-    ``bindings(release_id, profile, role)``. The required rows of a release
-    come from one small join of its profile with the role table.
+    ``bindings(release_id, profile, role)``. Required roles are written beside
+    each release from the small policy table, without a join on the profile,
+    which has very few values.
     """
     keys = ["release_id", "role"]
-    releases = bindings.select("release_id", "profile").distinct()
-    required = releases.join(roles, "profile")
+    table = F.create_map(*[
+        x for p, names in roles.items() for x in (F.lit(p), F.array(*[F.lit(r) for r in names]))
+    ])
+    required = bindings.select("release_id", "profile").distinct().select(
+        "release_id", F.explode(table[F.col("profile")]).alias("role")
+    )
     counts = stack([tag(required, "required", keys), tag(bindings, "bound", keys)])
     counts = counts.groupBy(*keys).agg(
         side_count("required").alias("r"), side_count("bound").alias("b")
@@ -141,18 +142,20 @@ def role_check(bindings: DataFrame, roles: DataFrame) -> DataFrame:
     return counts.withColumn("problem", problem).filter("problem is not null").select(*keys, "problem")
 
 
-def select_profile(releases: DataFrame, profiles: DataFrame) -> DataFrame:
+def select_profile(releases: DataFrame, profiles: dict[str, tuple[str, str]]) -> DataFrame:
     """Profile by schema version; its pinned revision must be the release's own.
 
-    ``profiles(schema_version, profile, pinned_revision)``.
+    ``profiles`` gives (profile, pinned revision) per schema version.
     """
-    joined = releases.join(profiles, "schema_version", "left")
+    def lookup(i: int) -> Column:
+        pairs = [x for version, row in profiles.items() for x in (F.lit(version), F.lit(row[i]))]
+        return F.create_map(*pairs)[F.col("schema_version")]
+
     status = (
-        F.when(F.col("profile").isNull(), "unknown_version")
-        .when(F.col("pinned_revision") == F.col("revision"), "ok")
-        .otherwise("pin_differs")
+        F.when(lookup(0).isNull(), "unknown_version")
+        .when(lookup(1) == F.col("revision"), "ok").otherwise("pin_differs")
     )
-    return joined.withColumn("status", status).drop("pinned_revision")
+    return releases.withColumns({"profile": lookup(0), "status": status})
 
 
 def unique_registration(registrations: DataFrame, expected: DataFrame) -> DataFrame:
@@ -181,10 +184,13 @@ def audit_bundle(members: DataFrame, declared: DataFrame, bindings: DataFrame) -
     ``unbound`` or ``differs``. Every problem of every archive is reported.
     """
     keys = ["archive", "name"]
-    want = declared.join(
-        bindings.groupBy(F.col("path").alias("artifact_path")).agg(F.max("sha256").alias("want_sha")),
-        "artifact_path", "left",
+    artifacts = stack([
+        bindings.select(F.col("path").alias("artifact_path"), "sha256", F.lit("bound").alias("_side")),
+        tag(declared, "declared", ["artifact_path"]),
+    ]).groupBy("artifact_path").agg(
+        side_value("bound", "sha256").alias("want_sha"), side_count("declared").alias("_n")
     )
+    want = hot_join(declared, artifacts, ["artifact_path"], "_n", "left")
     both = stack([
         members.select(*keys, F.col("sha256").alias("have"), F.lit("member").alias("_side")),
         want.select(*keys, F.col("want_sha").alias("want"), F.lit("declared").alias("_side")),
@@ -218,7 +224,7 @@ def bundle_roles(declared: DataFrame, bindings: DataFrame, required: list[str])
 
 def population_sha(
     df: DataFrame, by: list[str], sha: str, position: str | None = None,
-    levels: tuple[int, ...] = (5, 3, 1),
+    levels: tuple[int, ...] = (6, 4, 2),
 ) -> DataFrame:
     """One digest per population of record digests; equal populations, equal digests.
 

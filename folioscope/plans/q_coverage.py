@@ -269,8 +269,8 @@ def disposition_cube(t: Tables) -> DataFrame:
         .join(t.region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
         .select(F.col("s_suppkey").alias("l_suppkey"), "r_name")
     )
-    ledger = t.lineitem.select("l_suppkey", "l_returnflag", "l_linestatus").join(supplier, "l_suppkey")
-    return coverage.disposition_cube(ledger, dims)
+    counted = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return coverage.disposition_cube(counted.join(supplier, "l_suppkey"), dims, weight="n")
 
 
 @query("""
@@ -345,7 +345,7 @@ def independence(t: Tables) -> DataFrame:
         (F.col("o_orderpriority") == "1-URGENT").alias("candidate_seen"),
     )
     lines = t.lineitem.select(F.col("l_orderkey").alias("overlay_id"), F.col("l_partkey").alias("delta_id"), "l_suppkey", "l_linenumber")
-    reviews = lines.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("overlay_id").agg(
+    reviews = lines.select("overlay_id", "l_suppkey").distinct().join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("overlay_id").agg(
         F.min("s_nationkey").alias("reviewer_id"), F.lit(False).alias("candidate_seen")
     )
     return coverage.independence(
@@ -362,9 +362,7 @@ WHERE ready IS NULL OR e.ts <= ready
 """)
 def chronology(t: Tables) -> DataFrame:
     """Purchases must follow a signup and clicks a view."""
-    rules = t.spark.createDataFrame(
-        [("signup", "purchase"), ("view", "click")], "prerequisite string, dependent string"
-    )
+    rules = {"purchase": ["signup"], "click": ["view"]}
     events = t.events.select("user_id", "event_id", "ts", F.col("event_type").alias("kind"))
     return coverage.chronology(events, rules, ["user_id"])
 

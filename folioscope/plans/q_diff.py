@@ -276,8 +276,7 @@ def edge_conflicts(t: Tables) -> DataFrame:
     edges = t.lineitem.select(
         F.col("l_partkey").alias("source"), F.col("l_returnflag").alias("type"), F.col("l_suppkey").alias("target")
     )
-    inverse = t.spark.createDataFrame([("A", "R"), ("R", "A"), ("N", "N")], "type string, inverse_type string")
-    return diff.edge_conflicts(edges, inverse)
+    return diff.edge_conflicts(edges, {"A": "R", "R": "A", "N": "N"})
 
 
 @query("""

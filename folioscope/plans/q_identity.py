@@ -76,10 +76,10 @@ def semantic_digest(t: Tables) -> DataFrame:
 @query(f"""
 WITH h AS (SELECT c_mktsegment, sha256({CUSTOMER_JSON} || '}}') AS h FROM customer, range(1 + c_custkey % 2)),
 l AS (SELECT c_mktsegment, h AS p, h || ':' || count(*) AS d, count(*) AS n FROM h GROUP BY c_mktsegment, h),
-l5 AS (SELECT c_mktsegment, p[1:5] AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d, sum(n) AS n FROM l GROUP BY c_mktsegment, p[1:5]),
-l3 AS (SELECT c_mktsegment, p[1:3] AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d, sum(n) AS n FROM l5 GROUP BY c_mktsegment, p[1:3]),
-l1 AS (SELECT c_mktsegment, p[1:1] AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d, sum(n) AS n FROM l3 GROUP BY c_mktsegment, p[1:1])
-SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n_records, sha256(string_agg(d, ',' ORDER BY d)) AS population_sha FROM l1 GROUP BY c_mktsegment
+l6 AS (SELECT c_mktsegment, p[1:6] AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d, sum(n) AS n FROM l GROUP BY c_mktsegment, p[1:6]),
+l4 AS (SELECT c_mktsegment, p[1:4] AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d, sum(n) AS n FROM l6 GROUP BY c_mktsegment, p[1:4]),
+l2 AS (SELECT c_mktsegment, p[1:2] AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d, sum(n) AS n FROM l4 GROUP BY c_mktsegment, p[1:2])
+SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS n_records, sha256(string_agg(d, ',' ORDER BY d)) AS population_sha FROM l2 GROUP BY c_mktsegment
 """.replace(", range(1 + c_custkey % 2)", ", (VALUES (0), (1)) r(i) WHERE i <= c_custkey % 2"))
 def population_digest(t: Tables) -> DataFrame:
     """One digest per segment; every odd customer occurs twice."""
@@ -170,7 +170,7 @@ def role_check(t: Tables) -> DataFrame:
         F.array(*[F.lit(r) for r in ROLE_LIST]), (1 + (F.col("l_partkey") + F.col("l_linenumber")) % 12).cast("int")
     )
     bindings = t.lineitem.select(F.col("l_orderkey").alias("release_id"), profile.alias("profile"), role.alias("role"))
-    found = identity.role_check(bindings, identity.role_table(t.spark))
+    found = identity.role_check(bindings, identity.role_table())
     return found.groupBy("role", "problem").agg(F.count("*").alias("n_releases"))
 
 
@@ -185,10 +185,7 @@ def profile_lookup(t: Tables) -> DataFrame:
         "event_type", F.concat(F.lit("release-v"), F.col("user_id") % 3).alias("schema_version"),
         F.when(F.col("event_id") % 8 == 0, "zzz").otherwise(F.concat(F.lit("pin-"), F.col("user_id") % 3)).alias("revision"),
     )
-    profiles = t.spark.createDataFrame(
-        [("release-v0", "v8", "pin-0"), ("release-v1", "v9", "pin-1")],
-        "schema_version string, profile string, pinned_revision string",
-    )
+    profiles = {"release-v0": ("v8", "pin-0"), "release-v1": ("v9", "pin-1")}
     found = identity.select_profile(releases, profiles)
     return found.groupBy("event_type", "profile", "status").agg(F.count("*").alias("n"))
 

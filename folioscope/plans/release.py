@@ -21,13 +21,13 @@ def _none_of(releases: DataFrame, problems: DataFrame, check: str) -> DataFrame:
 
 
 def audit_releases(
-    docs: DataFrame, files: DataFrame, members: DataFrame, profiles: DataFrame,
+    docs: DataFrame, files: DataFrame, members: DataFrame, profiles: dict[str, tuple[str, str]],
     registrations: DataFrame, expected: DataFrame,
 ) -> DataFrame:
     """Check rows for ``docs(path, json)``.
 
-    ``files(path, sha256)``, ``members(archive, name, sha256)``,
-    ``profiles(schema_version, profile, pinned_revision)``;
+    ``files(path, sha256)``, ``members(archive, name, sha256)``; ``profiles``
+    gives (profile, pinned revision) per schema version;
     ``registrations(state, stage, schema_version, path, sha256)`` and
     ``expected`` with the same columns, ``state`` being the release id.
     """
@@ -48,7 +48,7 @@ def audit_releases(
     with_role = bindings.filter("role is not null").join(
         profiled.select("release_id", "profile"), "release_id"
     )
-    roles = identity.role_check(with_role, identity.role_table(docs.sparkSession)).select(
+    roles = identity.role_check(with_role, identity.role_table()).select(
         "release_id", F.concat_ws(": ", "problem", "role").alias("detail")
     )
 

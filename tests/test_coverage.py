@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioscope.functions.ranking import bucketed_position, range_join
+from folioscope.functions.skew import hot_join
 from folioscope.operators import coverage
 
 
@@ -19,6 +20,25 @@ def test_position_equals_row_number(spark):
                 assert got[(g, o)] == i + 1
 
 
+def test_hot_join_equals_join(spark, rows):
+    rng = random.Random(3)
+    data = [(rng.choice(["hot"] * 5 + ["a", "b", "c", None]), i) for i in range(200)]
+    big = spark.createDataFrame(data, "k string, i int")
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("low")).filter("k is null or k <> 'c'")
+    low = {r.k: r.low for r in small.collect()}
+    inner = sorted([(k, i, low[k]) for k, i in data if k in low], key=repr)
+    for limit in (0, 20, 10**6):
+        assert rows(hot_join(big, small, ["k"], "n", hot_rows=limit)) == inner
+        left = rows(hot_join(big, small, ["k"], "n", "left", hot_rows=limit))
+        assert left == sorted([(k, i, low.get(k)) for k, i in data], key=repr)
+
+
+def test_dangling_keeps_every_row(spark, rows):
+    child = spark.createDataFrame([(1, "a"), (2, "x"), (3, "x"), (4, None)], "id int, ref string")
+    parent = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert rows(coverage.dangling(child, parent, ["ref"], ["k"])) == [(2, "x"), (3, "x"), (4, None)]
+
+
 def test_range_join_equals_brute_force(spark, rows):
     rng = random.Random(9)
     points = [(rng.choice("ab"), rng.randint(0, 400)) for _ in range(200)]
@@ -99,8 +119,7 @@ def test_chronology(spark, rows):
         [("a", "receipt", t(2), 1), ("a", "proposal", t(3), 2), ("a", "proposal", t(2), 3), ("b", "proposal", t(5), 4)],
         "scope string, kind string, ts timestamp, event_id int",
     )
-    rules = spark.createDataFrame([("receipt", "proposal")], "prerequisite string, dependent string")
-    got = rows(coverage.chronology(events, rules, ["scope"]).select("event_id", "problem"))
+    got = rows(coverage.chronology(events, {"proposal": ["receipt"]}, ["scope"]).select("event_id", "problem"))
     assert got == [(3, "too_early"), (4, "no_prerequisite")]
 
 

@@ -111,8 +111,7 @@ def test_opportunity_diff(spark, rows):
 
 def test_edge_conflicts(spark, rows):
     edges = spark.createDataFrame([("a", "causes", "b"), ("b", "caused_by", "a"), ("a", "near", "b"), ("c", "causes", "d")], "source string, type string, target string")
-    inverse = spark.createDataFrame([("causes", "caused_by"), ("caused_by", "causes")], "type string, inverse_type string")
-    assert rows(diff.edge_conflicts(edges, inverse)) == [
+    assert rows(diff.edge_conflicts(edges, {"causes": "caused_by", "caused_by": "causes"})) == [
         ("a", "b", "reversed", "causes"), ("a", "b", "types", "2"), ("b", "a", "reversed", "caused_by")
     ]
 

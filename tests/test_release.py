@@ -9,10 +9,10 @@ import pytest
 from folioscope.operators import identity
 from folioscope.plans.release import audit_releases
 
-PROFILES = [
-    ("subject-index-successor-release-v1", "v8", "p" * 40),
-    ("subject-index-successor-release-v3", "v10", "c" * 40),
-]
+PROFILES = {
+    "subject-index-successor-release-v1": ("v8", "p" * 40),
+    "subject-index-successor-release-v3": ("v10", "c" * 40),
+}
 ROLES = identity.BASE_ROLES + identity.ACCESS_ROLES
 
 
@@ -152,7 +152,7 @@ def failed(spark):
         spark.createDataFrame(texts, "path string, json string"),
         spark.createDataFrame(every("files"), "path string, sha256 string"),
         spark.createDataFrame(every("members"), "archive string, name string, sha256 string"),
-        spark.createDataFrame(PROFILES, "schema_version string, profile string, pinned_revision string"),
+        PROFILES,
         spark.createDataFrame(every("registrations"), reg), spark.createDataFrame(expected, reg),
     )
     rows = checks.collect()
