@@ -26,43 +26,80 @@ DIGIT = (
 CAPTION_LABEL = rf"(?U)^Map{SPACE}+\p{{Nd}}+\.{SPACE}*"
 
 
-NON_ASCII = r"[^\x00-\x7F]"
+# Blocks of Latin, Greek and Cyrillic letters, punctuation and currency signs. They
+# hold no character that could compose with the one before it.
+_PLAIN_BLOCKS = [(0x00, 0x2FF), (0x370, 0x482), (0x48A, 0x52F), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x20A0, 0x20BF)]
 
 
-def _normalized(words: pa.Array) -> pa.Array:
-    """NFKC of the non-ASCII strings; each different string is normalized once."""
-    foreign = pc.invert(pc.string_is_ascii(words)).fill_null(False)
-    distinct = words.filter(foreign).dictionary_encode()
-    plain = pa.array(
-        [unicodedata.normalize("NFKC", w) for w in distinct.dictionary.to_pylist()], type=words.type
-    )
-    return pc.replace_with_mask(words, foreign, plain.take(distinct.indices))
+def _unstable_class() -> str:
+    """Pattern for a character that NFKC may change.
+
+    Characters of the plain blocks that NFKC maps to themselves stay as they
+    are in any order; everything else is passed on to be normalized.
+    """
+    ranges: list[list[int]] = []
+    for lo, hi in _PLAIN_BLOCKS:
+        for c in range(lo, hi + 1):
+            if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)):
+                if ranges and ranges[-1][1] == c - 1:
+                    ranges[-1][1] = c
+                else:
+                    ranges.append([c, c])
+    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+UNSTABLE = _unstable_class()
+
+
+def _nfkc_udfs():
+    """The two NFKC functions, free of references to this module.
+
+    Functions made inside a function travel to the executors by value, so the
+    package need not be installed there.
+    """
+
+    def normalized(words):
+        # Each different non-ASCII string is normalized once per batch.
+        foreign = pc.invert(pc.string_is_ascii(words)).fill_null(False)
+        distinct = words.filter(foreign).dictionary_encode()
+        plain = pa.array(
+            [unicodedata.normalize("NFKC", w) for w in distinct.dictionary.to_pylist()], type=words.type
+        )
+        return pc.replace_with_mask(words, foreign, plain.take(distinct.indices))
+
+    @F.arrow_udf(StringType())
+    def strings(values: pa.Array) -> pa.Array:
+        return normalized(values)
+
+    @F.arrow_udf(ArrayType(ArrayType(StringType())))
+    def lines(pages: pa.Array) -> pa.Array:
+        inner = pages.values
+        words = pa.ListArray.from_arrays(inner.offsets, normalized(inner.values))
+        return pa.ListArray.from_arrays(pages.offsets, words, mask=pages.is_null())
+
+    return strings, lines
 
 
-@F.arrow_udf(StringType())
-def _nfkc_batch(values: pa.Array) -> pa.Array:
-    return _normalized(values)
+_nfkc_batch, _nfkc_lines_batch = _nfkc_udfs()
 
 
-@F.arrow_udf(ArrayType(ArrayType(StringType())))
-def _nfkc_lines_batch(pages: pa.Array) -> pa.Array:
-    lines = pages.values
-    words = pa.ListArray.from_arrays(lines.offsets, _normalized(lines.values))
-    return pa.ListArray.from_arrays(pages.offsets, words, mask=pages.is_null())
+def _may_change(col: Column) -> Column:
+    """True if NFKC may change the text; ASCII runs are passed over in one step."""
+    return F.regexp_replace(col, r"[\x00-\x7F]+", "").rlike(UNSTABLE)
 
 
 def nfkc(col: Column) -> Column:
-    """NFKC form. Only values with a non-ASCII character carry text to Python."""
-    return F.coalesce(_nfkc_batch(F.when(col.rlike(NON_ASCII), col)), col)
+    """NFKC form. Only values with a character NFKC may change carry text to Python."""
+    return F.coalesce(_nfkc_batch(F.when(_may_change(col), col)), col)
 
 
 def nfkc_lines(lines: Column) -> Column:
     """NFKC form of each word in an array of lines of words, without NULLs.
 
     A page crosses to Python once instead of once per word, and only if it
-    holds a non-ASCII character.
+    holds a character that NFKC may change; accented letters alone do not count.
     """
-    foreign = F.exists(lines, lambda words: F.array_join(words, " ").rlike(NON_ASCII))
+    foreign = F.exists(lines, lambda words: _may_change(F.array_join(words, " ")))
     return F.coalesce(_nfkc_lines_batch(F.when(foreign, lines)), lines)
 
 
@@ -72,8 +109,8 @@ def is_digits(col: Column) -> Column:
 
 def dehyphenate(col: Column) -> Column:
     """Join a word split by a hyphen or soft hyphen at a line end."""
-    pattern = rf"(?U)(?<={WORDISH}){HYPHEN}{SPACE}*\n{SPACE}*(?={WORDISH})"
-    return F.regexp_replace(col, pattern, "")
+    pattern = rf"(?U)({WORDISH}){HYPHEN}{SPACE}*\n{SPACE}*(?={WORDISH})"
+    return F.regexp_replace(col, pattern, "$1")
 
 
 def strip_caption_label(col: Column) -> Column:

@@ -242,7 +242,7 @@ def population_sha(
     )
     for width in (*levels, 0):
         nodes = nodes.groupBy(*by, F.substring("_p", 1, width).alias("_p")).agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ","), 256).alias("_d"),
+            F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), ","), 256).alias("_d"),
             F.sum("_n").alias("_n"),
         )
     return nodes.select(*by, F.col("_n").alias("n_records"), F.col("_d").alias("population_sha"))

@@ -71,7 +71,7 @@ def line_reason(
 
 
 def is_callout(text: Column, height: Column, is_special: Column) -> Column:
-    return tx.is_digits(text) & (height < CALLOUT_HEIGHT) & ~is_special
+    return (height < CALLOUT_HEIGHT) & ~is_special & tx.is_digits(text)
 
 
 def gather_pages(words: DataFrame) -> DataFrame:
@@ -82,13 +82,13 @@ def gather_pages(words: DataFrame) -> DataFrame:
     placed = words.repartition("source_id", "page")
     by_line = placed.groupBy("source_id", "page", "line_no").agg(
         F.first("line_y_min").alias("y"),
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "word_no", F.coalesce("text", F.lit("")).alias("text"),
             (F.col("y_max") - F.col("y_min")).alias("height"),
         ))).alias("words"),
     )
     return by_line.groupBy("source_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "y", "words"))).alias("lines")
+        F.sort_array(F.collect_list(F.struct("line_no", "y", "words"))).alias("lines")
     )
 
 
@@ -114,23 +114,19 @@ def assemble_lines(words: DataFrame, rules: DataFrame) -> DataFrame:
             special, F.col("is_start"), line["y"], F.col("display_y"),
             is_caption(F.col("captions"), line["y"], raw),
         )
-        kept = F.filter(
-            norm, lambda w, i: ~is_callout(w, F.get(line["words"], i)["height"], special)
-        )
-        text = F.array_join(kept, " ")
+        kept = F.filter(norm, lambda w, i: ~is_callout(w, F.get(line["words"], i)["height"], special))
         return F.struct(
             line["line_no"].alias("line_no"), reason.alias("reason"),
-            F.size(line["words"]).alias("n_words"),
-            (F.size(line["words"]) - F.size(kept)).alias("n_small"),
-            F.when(special, tx.strip_caption_label(text)).otherwise(text).alias("text"),
+            F.size(line["words"]).alias("n_words"), kept.alias("kept"),
         )
 
     def settled(line: Column) -> Column:
+        text = F.array_join(line["kept"], " ")
         excluded = line["reason"].isNotNull()
         return F.struct(
             line["line_no"].alias("line_no"), line["reason"].alias("reason"), line["n_words"].alias("n_words"),
-            F.when(excluded, 0).otherwise(line["n_small"]).alias("n_callouts"),
-            F.when(~excluded, line["text"]).alias("text"),
+            F.when(excluded, 0).otherwise(line["n_words"] - F.size(line["kept"])).alias("n_callouts"),
+            F.when(excluded, None).when(special, tx.strip_caption_label(text)).otherwise(text).alias("text"),
         )
 
     lines = F.transform(F.transform(F.arrays_zip("lines", "norm"), judged), settled)

@@ -214,6 +214,8 @@ def nfkc_words(t: Tables) -> DataFrame:
 def document_words(t: Tables) -> DataFrame:
     """Documents laid out as positioned words: the input of the whole pipeline.
 
+    Pages are placed by (source_id, page) before they become words, so that the
+    pipeline finds its words in place and moves none of them.
     Every third page ends inside a word; digit words of up to three digits are
     small enough to be note calls.
     """
@@ -221,6 +223,7 @@ def document_words(t: Tables) -> DataFrame:
         F.col("doc_id") % 3 == 0, F.concat(F.regexp_replace("text", r"[^\p{L}]+$", ""), F.lit("-"))
     ).otherwise(F.col("text"))
     paged = texts(t).select("doc_id", cut.alias("text")).join(ranked_documents(t), "doc_id")
+    paged = paged.repartition("source_id", "page")
     lines = paged.select("source_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = lines.select(
         "source_id", "page", "line_no", (F.lit(40) + F.col("line_no") * 12).cast("double").alias("line_y_min"),

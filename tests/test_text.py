@@ -1,3 +1,4 @@
+import random
 import re
 import sys
 import unicodedata
@@ -32,6 +33,16 @@ def test_digit_class_is_pythons(spark):
     assert wrong == set()
 
 
+def test_stable_characters_are_fixed_points():
+    pattern = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", tx.UNSTABLE))
+    stable = [c for c in ALL if not pattern.search(c)]
+    assert {"é", "ß", "’", "—", "Ж", "λ"} <= set(stable) and not {"ﬁ", "ĳ", "²", "\u0301", "\u2011", "\xa0"} & set(stable)
+    rng = random.Random(8)
+    for _ in range(2000):
+        text = "".join(rng.choices(stable, k=30))
+        assert unicodedata.normalize("NFKC", text) == text
+
+
 def test_samples_match_python(spark):
     df = spark.createDataFrame([(s,) for s in SAMPLES], "t string")
     t = F.col("t")
