@@ -71,3 +71,21 @@ def range_join(
     for c in by:
         cond = cond & (p[c] == r[f"_r_{c}"])
     return p.join(r, cond, how).drop("_bin", "_rbin", *[f"_r_{c}" for c in by])
+
+
+def explode_range(
+    df: DataFrame, keys: list[str], lo: Column, hi: Column, name: str, block: int = 65536
+) -> DataFrame:
+    """One row per whole number of the closed range lo..hi; none when hi < lo.
+
+    Ranges are cut into blocks, and blocks are dealt out by (keys, block), so a
+    range with a very large share of all numbers is written by many tasks.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, last = lo.cast("bigint"), hi.cast("bigint")
+    ranges = df.withColumns({"_lo": first, "_hi": last}).filter("_lo <= _hi")
+    blocks = ranges.withColumn(
+        "_from", F.explode(F.sequence("_lo", "_hi", F.lit(block).cast("bigint")))
+    ).repartition(tasks, *keys, "_from")
+    upto = F.least(F.col("_hi"), F.col("_from") + (block - 1))
+    return blocks.withColumn(name, F.explode(F.sequence("_from", upto))).drop("_lo", "_hi", "_from")

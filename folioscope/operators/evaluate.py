@@ -104,15 +104,16 @@ def to_percent(judgment: Column) -> Column:
 
 
 def expand_locators(locators: DataFrame) -> DataFrame:
-    """One row per page of a displayed locator range."""
-    return locators.withColumn("page", F.explode(F.sequence("page_from", "page_to")))
+    """One row per page of a displayed locator range; none for a range that ends before it begins."""
+    ordered = locators.filter("page_from <= page_to")
+    return ordered.withColumn("page", F.explode(F.sequence("page_from", "page_to")))
 
 
 def locator_counts(locators: DataFrame, by: list[str]) -> DataFrame:
     """Displayed locators and page assignments, without expanding the ranges."""
     return locators.groupBy(*by).agg(
         F.count("*").alias("displayed_locators"),
-        F.sum(F.col("page_to") - F.col("page_from") + 1).cast("bigint").alias("page_assignments"),
+        F.sum(F.greatest(F.lit(0), F.col("page_to") - F.col("page_from") + 1)).cast("bigint").alias("page_assignments"),
     )
 
 

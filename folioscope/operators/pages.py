@@ -11,20 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.ranking import bucketed_position, range_join
+from folioscope.functions.ranking import bucketed_position, explode_range, range_join
 from folioscope.functions.sides import side_count, stack, tag
 
 
 def expand_page_map(segments: DataFrame) -> DataFrame:
-    """One row per page with its printed label; no shuffle.
+    """One row per page with its printed label.
 
     Only ``sequence`` segments with arabic labels are defined. Pages of any
     other segment keep a NULL label.
     """
-    rows = segments.select(
-        "*", F.posexplode(F.sequence(F.col("range")[0], F.col("range")[1])).alias("_i", "page")
-    )
-    number = (F.col("label_start").cast("int") + F.col("_i")).cast("string")
+    start, end = F.col("range")[0], F.col("range")[1]
+    rows = explode_range(segments, ["source_id", "mapping_id"], start, end, "page")
+    number = (F.col("label_start").cast("bigint") + F.col("page") - start).cast("string")
     known = (F.col("mode") == "sequence") & (F.col("label_style") == "arabic")
     return rows.select(
         "source_id", "mapping_id", "page",
@@ -46,42 +45,39 @@ def _tagged_ranges() -> Column:
 
 
 def expand_chunks(chunks: DataFrame) -> DataFrame:
-    """(source_id, chunk_id, packet_order, page, ownership); no shuffle."""
-    return chunks.select(
-        "source_id", "chunk_id", "packet_order", F.explode(_tagged_ranges()).alias("r")
-    ).select(
-        "source_id", "chunk_id", "packet_order",
-        F.explode(F.sequence("r.lo", "r.hi")).alias("page"), F.col("r.ownership").alias("ownership"),
-    )
+    """(source_id, chunk_id, packet_order, page, ownership)."""
+    ranges = chunks.select("source_id", "chunk_id", "packet_order", F.inline(_tagged_ranges()))
+    rows = explode_range(ranges, ["source_id", "chunk_id"], F.col("lo"), F.col("hi"), "page")
+    return rows.select("source_id", "chunk_id", "packet_order", "page", "ownership")
 
 
 def chunk_sidecar(chunks: DataFrame) -> DataFrame:
     """Owned and context pages in page order, numbered 1..n inside the chunk.
 
     The number of a page follows from its own chunk's ranges: the pages below
-    it in every range, plus one. So no page has to be sorted or moved, however
-    long a chunk is. A page held by two ranges of one chunk gets both numbers,
+    it in every range, plus one. So no page has to be sorted, however long a
+    chunk is. A page held by two ranges of one chunk gets both numbers,
     context first.
     """
-    rows = chunks.withColumn("_ranges", _tagged_ranges()).withColumn("r", F.explode("_ranges"))
-    rows = rows.select(
-        "source_id", "chunk_id", "_ranges", "r", F.explode(F.sequence("r.lo", "r.hi")).alias("page")
+    rows = chunks.select("source_id", "chunk_id", _tagged_ranges().alias("_ranges")).select(
+        "source_id", "chunk_id", "_ranges", F.inline("_ranges")
     )
+    rows = explode_range(rows, ["source_id", "chunk_id"], F.col("lo"), F.col("hi"), "page")
 
     def pages_before(acc: Column, other: Column) -> Column:
         below = F.greatest(
             F.lit(0), F.least(F.col("page") - 1, other["hi"]) - other["lo"] + 1
         )
         tie = F.col("page").between(other["lo"], other["hi"]) & (
-            (other["ownership"] < F.col("r.ownership"))
-            | ((other["ownership"] == F.col("r.ownership")) & (other["lo"] < F.col("r.lo")))
+            (other["ownership"] < F.col("ownership"))
+            | ((other["ownership"] == F.col("ownership")) & (other["lo"] < F.col("lo")))
         )
         return acc + below + tie.cast("bigint")
 
     return rows.select(
         "source_id", "chunk_id",
         F.aggregate("_ranges", F.lit(1).cast("bigint"), pages_before).alias("chunk_page"),
-        F.col("page").alias("document_page"), F.col("r.ownership").alias("ownership"),
+        F.col("page").alias("document_page"), "ownership",
     )
 
 

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from folioscope.functions.ranking import explode_range
 from folioscope.operators import measure, pages
 
 # A 425-page source in 17 chunks; owned ranges, context pages, page counts.
@@ -108,3 +109,9 @@ def test_protocol_totals(spark):
     wide = measure.compare_protocols(df, ["uniform", "legacy", "native"], "uniform")
     total = wide.agg(F.sum("legacy"), F.sum("native"), F.sum("uniform"), F.sum("legacy_minus_uniform")).first()
     assert tuple(total) == (194718, 195346, 193118, 1600)
+
+
+def test_ranges_expand_in_blocks(spark, rows):
+    df = spark.createDataFrame([("a", 1, 10), ("b", 7, 7), ("c", 5, 3)], "k string, lo int, hi int")
+    got = rows(explode_range(df, ["k"], F.col("lo"), F.col("hi"), "n", block=4).select("k", "n"))
+    assert got == sorted([("a", n) for n in range(1, 11)] + [("b", 7)], key=repr)
