@@ -148,13 +148,8 @@ def validate_axes(locators: DataFrame) -> DataFrame:
     )
 
 
-def judgment_class(locators: DataFrame) -> DataFrame:
-    """The judgment each row may carry, from its set of consistent worlds.
-
-    One judgment left: that judgment. Several, none of them kept:
-    ``not_kept_subtype_unresolved``. Kept and not kept: ``semantic_unresolved``.
-    """
-    rows = with_patterns(locators, ["v_judgment", "v_keep"])
+def classify(rows: DataFrame) -> DataFrame:
+    """``judgment_class`` of rows that carry ``v_judgment`` and ``v_keep``."""
     settled = (
         F.when(F.size("v_judgment") == 1, F.get("v_judgment", 0))
         .when(F.size("v_keep") > 1, "semantic_unresolved")
@@ -165,7 +160,25 @@ def judgment_class(locators: DataFrame) -> DataFrame:
         F.when(F.col("inspected").isNull(), "not_measured")
         .when(~F.col("inspected"), "uninspectable").otherwise(settled)
     )
-    return rows.withColumn("judgment_class", status).drop("v_judgment", "v_keep")
+    return rows.withColumn("judgment_class", status)
+
+
+def judgment_class(locators: DataFrame) -> DataFrame:
+    """The judgment each row may carry, from its set of consistent worlds.
+
+    One judgment left: that judgment. Several, none of them kept:
+    ``not_kept_subtype_unresolved``. Kept and not kept: ``semantic_unresolved``.
+    """
+    return classify(with_patterns(locators, ["v_judgment", "v_keep"])).drop("v_judgment", "v_keep")
+
+
+def grouped(rows: DataFrame, by: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """One aggregation for any set of named aggregates."""
+    return rows.groupBy(*by).agg(*[c.alias(name) for name, c in aggs.items()])
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
 
 
 def keep_interval(classed: DataFrame) -> DataFrame:
@@ -179,25 +192,58 @@ def keep_interval(classed: DataFrame) -> DataFrame:
     })
 
 
+def keep_aggregates() -> dict[str, Column]:
+    """Sums over ``keep_interval`` rows."""
+    return {
+        "n_locators": F.count("*"), "n_resolved": F.count("keep_credit"),
+        "_keep_lo": F.sum("keep_lo"), "_keep_hi": F.sum("keep_hi"),
+        "_kept": F.coalesce(F.sum("keep_credit"), F.lit(0)),
+    }
+
+
+def keep_results() -> dict[str, Column]:
+    n, resolved, kept = F.col("n_locators"), F.col("n_resolved"), F.col("_kept")
+    return {
+        "lower": ratio(F.col("_keep_lo"), n), "central": F.when(n == resolved, ratio(kept, n)),
+        "upper": ratio(F.col("_keep_hi"), n), "resolved_only": ratio(kept, resolved),
+    }
+
+
 def keep_bounds(locators: DataFrame, by: list[str]) -> DataFrame:
     """Precision bounds on the original denominator.
 
     ``central`` exists only when no row is unresolved; ``resolved_only`` is the
     separately named rate among resolved rows.
     """
-    rows = keep_interval(judgment_class(locators))
-    out = rows.groupBy(*by).agg(
-        F.count("*").alias("n_locators"), F.count("keep_credit").alias("n_resolved"),
-        F.sum("keep_lo").alias("_lo"), F.sum("keep_hi").alias("_hi"),
-        F.coalesce(F.sum("keep_credit"), F.lit(0)).alias("_kept"),
-    )
-    return out.select(
-        *by, "n_locators", "n_resolved",
-        ratio(F.col("_lo"), F.col("n_locators")).alias("lower"),
-        F.when(F.col("n_locators") == F.col("n_resolved"), ratio(F.col("_kept"), F.col("n_locators"))).alias("central"),
-        ratio(F.col("_hi"), F.col("n_locators")).alias("upper"),
-        ratio(F.col("_kept"), F.col("n_resolved")).alias("resolved_only"),
-    )
+    sums = grouped(keep_interval(judgment_class(locators)), by, keep_aggregates())
+    return sums.select(*by, "n_locators", "n_resolved", *_named(keep_results()))
+
+
+def _credits(table: dict[str, int], values: Column) -> Column:
+    lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+    return F.transform(values, lambda v: lookup[v])
+
+
+def axis_interval(rows: DataFrame, axis: str, credits: dict[str, int]) -> DataFrame:
+    """``axis_lo`` and ``axis_hi``: least and greatest credit over the row's worlds."""
+    found = _credits(credits, F.col(f"v_{axis}"))
+    return rows.withColumns({"axis_lo": F.array_min(found), "axis_hi": F.array_max(found)})
+
+
+def axis_aggregates() -> dict[str, Column]:
+    """Sums over ``axis_interval`` rows."""
+    return {
+        "n_scored": F.count("axis_lo"), "n_inconsistent": F.count_if(F.col("axis_lo").isNull()),
+        "n_unresolved": F.count_if(F.col("axis_lo") < F.col("axis_hi")),
+        "credit_lower": F.sum("axis_lo").cast("bigint"), "credit_upper": F.sum("axis_hi").cast("bigint"),
+    }
+
+
+def axis_results() -> dict[str, Column]:
+    return {
+        "mean_lower": ratio(F.col("credit_lower"), F.col("n_scored")),
+        "mean_upper": ratio(F.col("credit_upper"), F.col("n_scored")),
+    }
 
 
 def axis_bounds(locators: DataFrame, axis: str, credits: dict[str, int], by: list[str]) -> DataFrame:
@@ -206,71 +252,62 @@ def axis_bounds(locators: DataFrame, axis: str, credits: dict[str, int], by: lis
     ``credits`` gives whole-number credits per axis value (a small policy
     input). Rows without a consistent world are counted apart.
     """
-    rows = with_patterns(locators, [f"v_{axis}"])
-    table = F.create_map(*[x for k, v in credits.items() for x in (F.lit(k), F.lit(v))])
-    row_credits = F.transform(f"v_{axis}", lambda v: table[v])
-    scored = rows.withColumns({"_lo": F.array_min(row_credits), "_hi": F.array_max(row_credits)})
-    out = scored.groupBy(*by).agg(
-        F.count("_lo").alias("n_scored"), F.count_if(F.col("_lo").isNull()).alias("n_inconsistent"),
-        F.count_if(F.col("_lo") < F.col("_hi")).alias("n_unresolved"),
-        F.sum("_lo").cast("bigint").alias("credit_lower"), F.sum("_hi").cast("bigint").alias("credit_upper"),
-    )
-    return out.withColumns({
-        "mean_lower": ratio(F.col("credit_lower"), F.col("n_scored")),
-        "mean_upper": ratio(F.col("credit_upper"), F.col("n_scored")),
-    })
+    rows = axis_interval(with_patterns(locators, [f"v_{axis}"]), axis, credits)
+    return grouped(rows, by, axis_aggregates()).withColumns(axis_results())
+
+
+def population_aggregates() -> dict[str, Column]:
+    """Numbers of rows per state of ``judgment_class``."""
+    state = F.col("judgment_class")
+    return {
+        "n_locators": F.count("*"),
+        "resolved": F.count_if(state.isin(JUDGMENTS)),
+        "subtype_unresolved": F.count_if(state == "not_kept_subtype_unresolved"),
+        "semantic_unresolved": F.count_if(state == "semantic_unresolved"),
+        "uninspectable": F.count_if(state == "uninspectable"),
+        "not_measured": F.count_if(state == "not_measured"),
+        "inconsistent": F.count_if(state == "inconsistent"),
+    }
 
 
 def population_counts(locators: DataFrame, by: list[str]) -> DataFrame:
     """Separate populations that add up to the original one."""
-    state = F.col("judgment_class")
-    resolved = ["supported", "partially_supported", "unsupported"]
-    out = judgment_class(locators).groupBy(*by).agg(
-        F.count("*").alias("n_locators"),
-        F.count_if(state.isin(resolved)).alias("resolved"),
-        F.count_if(state == "not_kept_subtype_unresolved").alias("subtype_unresolved"),
-        F.count_if(state == "semantic_unresolved").alias("semantic_unresolved"),
-        F.count_if(state == "uninspectable").alias("uninspectable"),
-        F.count_if(state == "not_measured").alias("not_measured"),
-        F.count_if(state == "inconsistent").alias("inconsistent"),
-    )
     total = F.expr(
         "resolved + subtype_unresolved + semantic_unresolved + uninspectable + not_measured + inconsistent"
     )
+    out = grouped(judgment_class(locators), by, population_aggregates())
     return out.withColumn("preserved", total == F.col("n_locators"))
 
 
-def selectivity_envelope(locators: DataFrame, credits: dict[str, int], by: list[str]) -> DataFrame:
-    """Exact minimum and maximum of mean selectivity credit over the consistent worlds.
-
-    ``credits`` covers the applicable treatments; ``absent`` rows are outside
-    the denominator. A row that may or may not be applicable joins the mean
-    only where that lowers (or raises) it. Optional rows of one credit behave
-    alike, so it is enough to try every prefix of the few credit levels,
-    lowest first for the minimum and highest first for the maximum.
-    """
-    table = F.create_map(*[x for k, v in credits.items() for x in (F.lit(k), F.lit(v))])
-    rows = with_patterns(locators, ["v_treatment"])
+def selectivity_interval(rows: DataFrame, credits: dict[str, int]) -> DataFrame:
+    """``sel_lo``, ``sel_hi`` and whether the row must or may be applicable."""
     applicable = F.filter("v_treatment", lambda v: v != "absent")
-    level = F.transform(applicable, lambda v: table[v])
-    rows = rows.select(
-        *by,
-        F.array_min(level).alias("_lo"), F.array_max(level).alias("_hi"),
-        (F.size("v_treatment") == 0).alias("_bad"),
-        (F.size(applicable) > 0).alias("_can"),
-        (F.size(applicable) == F.size("v_treatment")).alias("_must"),
-    )
+    level = _credits(credits, applicable)
+    can = F.size(applicable) > 0
+    must = can & (F.size(applicable) == F.size("v_treatment"))
+    return rows.withColumns({
+        "sel_lo": F.array_min(level), "sel_hi": F.array_max(level),
+        "sel_none": F.size("v_treatment") == 0, "sel_must": must, "sel_may": can & ~must,
+    })
+
+
+def selectivity_aggregates(credits: dict[str, int]) -> dict[str, Column]:
+    """Sums over ``selectivity_interval`` rows, optional rows by credit level."""
+    must, may = F.col("sel_must"), F.col("sel_may")
+    out = {
+        "sel_inconsistent": F.count_if("sel_none"), "n_applicable": F.count_if(must), "n_optional": F.count_if(may),
+        "_c_lo": F.coalesce(F.sum(F.when(must, F.col("sel_lo"))), F.lit(0)),
+        "_c_hi": F.coalesce(F.sum(F.when(must, F.col("sel_hi"))), F.lit(0)),
+    }
+    for i, v in enumerate(sorted(set(credits.values()))):
+        out[f"_lo_{i}"] = F.count_if(may & (F.col("sel_lo") == v))
+        out[f"_hi_{i}"] = F.count_if(may & (F.col("sel_hi") == v))
+    return out
+
+
+def selectivity_results(credits: dict[str, int]) -> dict[str, Column]:
+    """Bounds from every prefix of the credit levels; with no rows there is no ratio."""
     levels = sorted(set(credits.values()))
-    must = F.col("_must") & F.col("_can")
-    may = F.col("_can") & ~F.col("_must")
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n_locators"), F.count_if(F.col("_bad")).alias("n_inconsistent"),
-        F.count_if(must).alias("n_applicable"), F.count_if(may).alias("n_optional"),
-        F.coalesce(F.sum(F.when(must, F.col("_lo"))), F.lit(0)).alias("_c_lo"),
-        F.coalesce(F.sum(F.when(must, F.col("_hi"))), F.lit(0)).alias("_c_hi"),
-        *[F.count_if(may & (F.col("_lo") == v)).alias(f"_lo_{i}") for i, v in enumerate(levels)],
-        *[F.count_if(may & (F.col("_hi") == v)).alias(f"_hi_{i}") for i, v in enumerate(levels)],
-    )
 
     def prefixes(base: str, stem: str, order: list[int]) -> list[Column]:
         total, count = F.col(base), F.col("n_applicable")
@@ -282,33 +319,51 @@ def selectivity_envelope(locators: DataFrame, credits: dict[str, int], by: list[
         return out
 
     up = list(range(len(levels)))
-    # With no rows there is no ratio: NULL prefixes are skipped by least and greatest.
-    out = sums.withColumns({
-        "lower": F.least(*prefixes("_c_lo", "lo", up)),
-        "upper": F.greatest(*prefixes("_c_hi", "hi", up[::-1])),
-    })
-    may_be_empty = (F.col("n_applicable") == 0)
-    return out.select(
-        *by, "n_locators", "n_inconsistent", "n_applicable", "n_optional", "lower", "upper",
-        may_be_empty.alias("may_be_empty"),
-        F.when((F.col("lower") == F.col("upper")) & ~may_be_empty, F.col("lower")).alias("central"),
+    # least and greatest skip the NULL of an empty prefix.
+    return {
+        "selectivity_lower": F.least(*prefixes("_c_lo", "lo", up)),
+        "selectivity_upper": F.greatest(*prefixes("_c_hi", "hi", up[::-1])),
+    }
+
+
+def selectivity_envelope(locators: DataFrame, credits: dict[str, int], by: list[str]) -> DataFrame:
+    """Exact minimum and maximum of mean selectivity credit over the consistent worlds.
+
+    ``credits`` covers the applicable treatments; ``absent`` rows are outside
+    the denominator. A row that may or may not be applicable joins the mean
+    only where that lowers (or raises) it. Optional rows of one credit behave
+    alike, so it is enough to try every prefix of the few credit levels,
+    lowest first for the minimum and highest first for the maximum.
+    """
+    rows = selectivity_interval(with_patterns(locators, ["v_treatment"]), credits)
+    sums = grouped(rows, by, {"n_locators": F.count("*"), **selectivity_aggregates(credits)})
+    lower, upper = F.col("selectivity_lower"), F.col("selectivity_upper")
+    may_be_empty = F.col("n_applicable") == 0
+    return sums.withColumns(selectivity_results(credits)).select(
+        *by, "n_locators", F.col("sel_inconsistent").alias("n_inconsistent"), "n_applicable", "n_optional",
+        lower.alias("lower"), upper.alias("upper"), may_be_empty.alias("may_be_empty"),
+        F.when((lower == upper) & ~may_be_empty, lower).alias("central"),
     )
 
 
-def blockers(locators: DataFrame) -> DataFrame:
-    """One row per inspected locator with an unresolved axis, naming the axes.
+def unresolved_axes() -> Column:
+    """Open axes of a classed row, NULL unless the row was inspected.
 
     ``keep`` is named only while the keep decision itself is open; a known
     non-keep with an open subtype names ``judgment``.
     """
-    classed = judgment_class(locators.filter("inspected"))
-    opened = F.array_compact(F.array(
+    return F.when(F.col("inspected"), F.array_compact(F.array(
         F.when(F.col("treatment").isNull(), "treatment"),
         F.when(F.col("fit").isNull(), "fit"),
         F.when(F.col("judgment_class") == "not_kept_subtype_unresolved", "judgment"),
         F.when(F.col("judgment_class") == "semantic_unresolved", "keep"),
-    ))
-    return classed.withColumn("unresolved_axes", opened).filter(F.size("unresolved_axes") > 0).select(
+    )))
+
+
+def blockers(locators: DataFrame) -> DataFrame:
+    """One row per inspected locator with an unresolved axis, naming the axes."""
+    classed = judgment_class(locators).withColumn("unresolved_axes", unresolved_axes())
+    return classed.filter(F.size("unresolved_axes") > 0).select(
         "candidate_id", "path_id", "locator_id", "judgment_class", "unresolved_axes"
     )
 
@@ -326,6 +381,26 @@ def blocked_destinations(blocked: DataFrame, destinations: DataFrame) -> DataFra
     )
 
 
+def _gate_states(premises: dict[str, str]) -> tuple[Column, Column]:
+    """Whether a row is evidence for a gate, and whether it still may be."""
+    known, possible = F.lit(True), F.lit(True)
+    for column, value in premises.items():
+        equal = F.col(column) == F.lit(value)
+        known = known & F.coalesce(equal, F.lit(False))
+        possible = possible & F.coalesce(equal, F.lit(True))
+    return known, possible
+
+
+def gate_aggregates(rules: dict[str, dict]) -> dict[str, Column]:
+    """Numbers of confirming and possible rows per gate, two columns each."""
+    out = {}
+    for gate, rule in rules.items():
+        known, possible = _gate_states(rule["premises"])
+        out[f"{gate}_confirmed"] = F.count_if(known)
+        out[f"{gate}_possible"] = F.count_if(possible)
+    return out
+
+
 def gates(locators: DataFrame, rules: dict[str, dict], by: list[str]) -> DataFrame:
     """Gates per candidate from known premises only.
 
@@ -334,32 +409,22 @@ def gates(locators: DataFrame, rules: dict[str, dict], by: list[str]) -> DataFra
     known true; it is possible evidence when no premise is known false. Gates
     with no possible evidence have no row.
     """
-    hits = []
-    for gate, rule in rules.items():
-        known, possible = F.lit(True), F.lit(True)
-        for column, value in rule["premises"].items():
-            equal = F.col(column) == F.lit(value)
-            known = known & F.coalesce(equal, F.lit(False))
-            possible = possible & F.coalesce(equal, F.lit(True))
-        hits.append(F.when(possible, F.struct(
-            F.lit(gate).alias("gate"), F.lit(rule["at_least"]).alias("at_least"), known.alias("known")
-        )))
-    rows = locators.select(*by, F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    out = rows.groupBy(*by, F.col("h.gate").alias("gate"), F.col("h.at_least").alias("at_least")).agg(
-        F.count_if("h.known").alias("n_confirmed"), F.count("*").alias("n_possible")
-    )
-    return out.withColumns({
-        "fires": F.col("n_confirmed") >= F.col("at_least"),
-        "may_fire": F.col("n_possible") >= F.col("at_least"),
-    }).drop("at_least")
+    counted = grouped(locators, by, gate_aggregates(rules))
+    rows = F.inline(F.array(*[
+        F.struct(
+            F.lit(gate).alias("gate"), F.col(f"{gate}_confirmed").alias("n_confirmed"),
+            F.col(f"{gate}_possible").alias("n_possible"),
+            (F.col(f"{gate}_confirmed") >= rule["at_least"]).alias("fires"),
+            (F.col(f"{gate}_possible") >= rule["at_least"]).alias("may_fire"),
+        )
+        for gate, rule in rules.items()
+    ]))
+    return counted.select(*by, rows).filter("n_possible > 0")
 
 
 def gate_evidence(locators: DataFrame, premises: dict[str, str]) -> DataFrame:
     """The locators that confirm one gate, one row each."""
-    known = F.lit(True)
-    for column, value in premises.items():
-        known = known & F.coalesce(F.col(column) == F.lit(value), F.lit(False))
-    return locators.filter(known)
+    return locators.filter(_gate_states(premises)[0])
 
 
 def authority(validity: Column, sufficient: Column) -> Column:
@@ -476,12 +541,9 @@ def stage_status(registrations: DataFrame, candidate: str, stages: list[str]) ->
 
 def comparable(candidates: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
     """Candidates of the groups in which every shared field has one value."""
-    def one_value(c: str) -> Column:
-        return F.min(c).eqNullSafe(F.max(c)) & (F.count(c) == F.count("*"))
-
     same = F.lit(True)
     for c in shared:
-        same = same & one_value(c)
+        same = same & F.min(c).eqNullSafe(F.max(c)) & (F.count(c) == F.count("*"))
     groups = candidates.groupBy(*by).agg(same.alias("_same"), F.count("*").alias("_n")).filter("_same")
     return hot_join(candidates, groups.drop("_same"), by, "_n")
 

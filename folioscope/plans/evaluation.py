@@ -17,29 +17,32 @@ def evaluate_candidates(
     """One row per candidate: populations, bounds, machine outcomes, human decision.
 
     ``candidates(candidate_id, validity)``. Any blocker or inconsistent row makes
-    the assessment insufficient; a gate that may still fire does not fire.
+    the assessment insufficient; a gate that may still fire does not fire. All
+    numbers of a candidate come from one pass over the locators and one
+    aggregation of a few dozen sums.
     """
-    populations = evaluate.population_counts(locators, CANDIDATE)
-    keep = evaluate.keep_bounds(locators, CANDIDATE).select(
-        "candidate_id", F.col("lower").alias("precision_lower"), F.col("central").alias("precision"),
-        F.col("upper").alias("precision_upper"),
-    )
-    fit = evaluate.axis_bounds(locators, "fit", fit_credits, CANDIDATE).select(
-        "candidate_id", F.col("mean_lower").alias("fit_lower"), F.col("mean_upper").alias("fit_upper")
-    )
-    selectivity = evaluate.selectivity_envelope(locators, selectivity_credits, CANDIDATE).select(
-        "candidate_id", F.col("lower").alias("selectivity_lower"), F.col("upper").alias("selectivity_upper")
-    )
-    blocked = evaluate.blockers(locators).groupBy(*CANDIDATE).agg(F.count("*").alias("n_blockers"))
-    gated = evaluate.gates(locators, gate_rules, CANDIDATE).groupBy(*CANDIDATE).agg(
-        F.bool_or("fires").alias("gated")
+    rows = evaluate.with_patterns(locators, ["v_judgment", "v_keep", "v_fit", "v_treatment"])
+    rows = evaluate.keep_interval(evaluate.classify(rows))
+    rows = evaluate.selectivity_interval(evaluate.axis_interval(rows, "fit", fit_credits), selectivity_credits)
+    sums = evaluate.grouped(rows, CANDIDATE, {
+        **evaluate.population_aggregates(), **evaluate.keep_aggregates(), **evaluate.axis_aggregates(),
+        **evaluate.selectivity_aggregates(selectivity_credits), **evaluate.gate_aggregates(gate_rules),
+        "n_blockers": F.count_if(F.size(evaluate.unresolved_axes()) > 0),
+    })
+    gated = F.lit(False)
+    for gate, rule in gate_rules.items():
+        gated = gated | (F.col(f"{gate}_confirmed") >= rule["at_least"])
+    keep, fit = evaluate.keep_results(), evaluate.axis_results()
+    measured = sums.select(
+        *CANDIDATE, *evaluate.population_aggregates(),
+        keep["lower"].alias("precision_lower"), keep["central"].alias("precision"),
+        keep["upper"].alias("precision_upper"),
+        fit["mean_lower"].alias("fit_lower"), fit["mean_upper"].alias("fit_upper"),
+        *[c.alias(name) for name, c in evaluate.selectivity_results(selectivity_credits).items()],
+        "n_blockers", gated.alias("gated"),
     )
-    board = candidates
-    for part in (populations, keep, fit, selectivity, blocked, gated):
-        board = board.join(part, "candidate_id", "left")
-    n_blockers = F.coalesce("n_blockers", F.lit(0))
-    board = board.withColumns({
-        "n_blockers": n_blockers, "gated": F.coalesce("gated", F.lit(False)),
-        "sufficient": (n_blockers == 0) & (F.coalesce("inconsistent", F.lit(0)) == 0),
+    board = candidates.join(measured, "candidate_id", "left").withColumns({
+        "n_blockers": F.coalesce("n_blockers", F.lit(0)), "gated": F.coalesce("gated", F.lit(False)),
+        "sufficient": (F.coalesce("n_blockers", F.lit(0)) == 0) & (F.coalesce("inconsistent", F.lit(0)) == 0),
     })
     return evaluate.outcomes(board, decisions)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import ratio
 from folioscope.operators import evaluate
+from folioscope.plans.evaluation import evaluate_candidates
 from folioscope.plans.q_coverage import month_index
 from folioscope.plans.registry import Tables, query
 
@@ -404,3 +405,26 @@ def comparison(t: Tables) -> DataFrame:
         F.struct(F.lit("open_share").alias("measure"), value(ratio(F.col("kept"), F.col("n")))),
     )))
     return evaluate.compare_candidates(measures, ["measure"], "l_returnflag", ["A", "N", "R"])
+
+
+@query(BLOCKERS_SQL + f"""
+, k AS (SELECT candidate_id, count(*) AS n, CAST(count(*) FILTER (judgment_class = 'supported') AS BIGINT) AS kept,
+               count(*) FILTER (judgment_class IN ('semantic_unresolved', 'uninspectable', 'not_measured', 'inconsistent')) AS u,
+               count(fit_lo) AS f, CAST(sum(fit_lo) AS BIGINT) AS flo, CAST(sum(fit_hi) AS BIGINT) AS fhi,
+               count(*) FILTER (judgment_class = 'inconsistent') AS bad FROM c GROUP BY 1),
+b AS (SELECT candidate_id, count(*) AS nb FROM bl WHERE len(axes) > 0 GROUP BY 1),
+g AS (SELECT candidate_id, bool_or(n_confirmed >= at_least) AS gated FROM ({gate_sql()}) GROUP BY 1)
+SELECT candidate_id, {ratio_sql("kept", "n")} AS precision_lower, {ratio_sql("kept + u", "n")} AS precision_upper, {ratio_sql("flo", "f")} AS fit_lower, {ratio_sql("fhi", "f")} AS fit_upper,
+       coalesce(nb, 0) AS n_blockers, CASE WHEN gated THEN 'not_ready' WHEN coalesce(nb, 0) = 0 AND bad = 0 THEN 'ready' ELSE 'indeterminate' END AS readiness
+FROM k LEFT JOIN b USING (candidate_id) LEFT JOIN g USING (candidate_id)
+""")
+def evaluation_board(t: Tables) -> DataFrame:
+    """The whole evaluation job over every supplier with lines."""
+    rows = locators(t)
+    candidates = t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select(
+        F.col("s_suppkey").alias("candidate_id"), F.lit("valid").alias("validity")
+    )
+    board = evaluate_candidates(rows, candidates, GATE_RULES, FIT_CREDITS, SELECTIVITY_CREDITS)
+    return board.select(
+        "candidate_id", "precision_lower", "precision_upper", "fit_lower", "fit_upper", "n_blockers", "readiness"
+    )
