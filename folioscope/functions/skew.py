@@ -17,23 +17,35 @@ def hot_join(
 
     ``small`` is unique on ``keys`` and its column ``n_rows`` holds the number
     of rows ``big`` has for the key, so at most (rows of big / hot_rows) keys
-    are hot: that bounds the broadcast. Hot keys are not shuffled; all other
-    keys are small enough for one task. Adaptive skew splitting does not help
-    here, because it never splits a join with an aggregated side.
+    are hot: that bounds the broadcast. Rows of hot keys take their values from
+    it and are dealt out by a hash of the row in the shuffle for all other keys,
+    which are small enough for one task. ``big`` is read once. Adaptive skew
+    splitting does not help here, because it never splits a join with an
+    aggregated side.
     """
-    renamed = small.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], n_rows, *[c for c in small.columns if c not in (*keys, n_rows)]
-    )
-    hot = renamed.filter(F.col(n_rows) > hot_rows).drop(n_rows)
-    cold = renamed.filter(F.col(n_rows) <= hot_rows).drop(n_rows)
+    values = [c for c in small.columns if c not in (*keys, n_rows)]
+    deals = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def side(prefix: str, rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *[F.col(c).alias(f"{prefix}{c}") for c in (*keys, *values)], F.lit(True).alias(f"{prefix}found")
+        )
 
-    def same() -> Column:
+    def same(prefix: str) -> Column:
         matched = F.lit(True)
         for k in keys:
-            matched = matched & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+            matched = matched & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
         return matched
 
-    extra = [f"_k_{k}" for k in keys]
-    near = big.join(F.broadcast(hot), same(), "inner").drop(*extra)
-    rest = big.join(F.broadcast(hot.select(*extra)), same(), "left_anti")
-    return near.unionByName(rest.join(cold, same(), how).drop(*extra))
+    hot = side("_h_", small.filter(F.col(n_rows) > hot_rows))
+    cold = side("_c_", small.filter(F.col(n_rows) <= hot_rows)).withColumn("_c_deal", F.lit(0))
+    is_hot = F.col("_h_found").isNotNull()
+    dealt = big.join(F.broadcast(hot), same("_h_"), "left").withColumn(
+        "_deal", F.when(is_hot, F.pmod(F.hash(*big.columns), F.lit(deals)) + 1).otherwise(0)
+    )
+    met = dealt.join(cold, same("_c_") & (F.col("_deal") == F.col("_c_deal")), "left")
+    if how == "inner":
+        met = met.filter(is_hot | F.col("_c_found"))
+    return met.select(
+        *big.columns, *[F.when(is_hot, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in values]
+    )

@@ -234,14 +234,14 @@ def document_words(t: Tables) -> DataFrame:
 
 
 def document_rules(ranked: DataFrame) -> DataFrame:
-    """Page rules for the pipeline: chunk starts, special pages, one wider display."""
-    flags = ranked.select(
-        "source_id", "page", (F.col("page") % 10 == 1).alias("is_start"), (F.col("page") % 25 == 0).alias("is_special")
-    )
-    special = flags.filter("is_special").select("source_id", "page")
-    captions = special.select("*", F.explode(F.expr(CAPTION_RULES)).alias("c")).select("source_id", "page", "c.*")
-    overrides = flags.filter("page % 50 = 11").select("source_id", "page", F.lit(210.0).alias("display_y"))
-    return measure.page_rules(flags, captions, overrides)
+    """Page rules as ``page_rules`` returns them, written down per page without a join."""
+    page = F.col("page")
+    special = page % 25 == 0
+    return ranked.select(
+        "source_id", "page", (page % 10 == 1).alias("is_start"), special.alias("is_special"),
+        F.when(special, F.expr(CAPTION_RULES)).alias("captions"),
+        F.when(page % 50 == 11, 210.0).otherwise(measure.DISPLAY_Y).alias("display_y"),
+    ).filter("is_start or is_special")
 
 
 def measured_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
