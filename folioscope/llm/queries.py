@@ -1,13 +1,15 @@
 """The operators' queries and their SQL twins."""
 
-from folioscope.llm import line_dedup, mixing
+from folioscope.llm import decontamination, line_dedup, mixing
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op3_decontamination": decontamination.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
