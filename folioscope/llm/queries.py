@@ -1,11 +1,14 @@
 """The operators' queries and their SQL twins."""
 
-from folioscope.llm import decontamination, line_dedup, mixing
+from folioscope.llm import decontamination, line_dedup, mixing, personal_data, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op2_quality": quality.op2_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_personal_data": personal_data.op10_personal_data,
 }
 
 ORACLES = {
