@@ -25,7 +25,9 @@ MIN_CHARS = 10
 
 def line_key(line: Column) -> Column:
     """The line without blanks at both ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), UPPER, LOWER)
+    line = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    ascii_only = F.octet_length(line) == F.char_length(line)
+    return F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
 
 
 def lines_of(text: Column) -> Column:
