@@ -147,10 +147,11 @@ _BORDER = np.isin(np.arange(256), np.frombuffer(b".!?;:\n", np.uint8))
 
 
 def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """Per text: summed lexicon weights of its marked clause matches, one column per mark."""
+    """Per text: summed lexicon weights of its marked clause matches, a column per mark; number of words."""
     words = Words(column, LETTER, LOWER)
     folded(words)
-    out = np.zeros((words.n_docs, len(MARKS)))
+    out = np.zeros((words.n_docs, len(MARKS) + 1))
+    out[:, -1] = words.n_words
     kind, weight = lexicon.read(words)
     if not kind.any():
         return out
@@ -168,6 +169,11 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     return out
 
 
+def inputs(x: np.ndarray) -> np.ndarray:
+    """Inputs of the regression; length counts, since a long text holds more chance matches."""
+    return np.concatenate([np.sqrt(x[:, :-1]), np.log1p(x[:, -1:])], axis=1)
+
+
 # ---------------------------------------------------------------- learning
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts per class that hold a word with each prefix (3 to 8 bytes) or each whole word."""
@@ -209,21 +215,14 @@ def evidence(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
 
 
 def chosen(rows: list[tuple[bytes, bool, int, int]], n_toxic: int, n_clean: int) -> list[tuple[bytes, bool, int, float]]:
-    """Lexicon entries: of stems within each other the longest that loses no text, then none inside it."""
-    count = {(s, o): (t, c) for s, o, t, c in rows}
-    longest = {}
-    for (s, o), (t, _) in count.items():
-        for cut in range(3, len(s) + (not o)):
-            key = (s[:cut], True)
-            longest[key] = max(longest.get(key, 0), t)
+    """Lexicon entries: stems by evidence, the longer first of equal ones, none within or around a chosen one."""
+    ranked = sorted(rows, key=lambda r: (-evidence(r[2], r[3], n_toxic, n_clean), -len(r[0]), r[0], not r[1]))
     kept: list[tuple[bytes, bool, int, float]] = []
-    for (s, o), (t, c) in sorted(count.items(), key=lambda x: (len(x[0][0]), x[0][0], not x[0][1])):
-        if o and longest.get((s, True), 0) >= 0.98 * t:
-            continue
-        if any(open_ and s.startswith(stem) for stem, open_, _, _ in kept):
+    for s, o, t, c in ranked:
+        if any((open_ and s.startswith(stem)) or (o and stem.startswith(s)) for stem, open_, _, _ in kept):
             continue
         share = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        kept.append((s, o, INSULT, min(4.0, max(0.5, share / 2))))
+        kept.append((s, o, INSULT, max(0.5, share)))
     return kept
 
 
@@ -232,7 +231,7 @@ class Model:
         self.lexicon, self.weights, self.bias = lexicon, weights, bias
 
     def score(self, column: pa.Array) -> np.ndarray:
-        z = np.log1p(features(column, self.lexicon)) @ self.weights + self.bias
+        z = inputs(features(column, self.lexicon)) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -242,7 +241,7 @@ def held_out(doc_id) -> bool:
 
 def regression(x: np.ndarray, label: np.ndarray, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression drawn to the prior weights; without two classes, the prior alone."""
-    base = np.array([prior(m) for m in MARKS] + [-1.0])
+    base = np.array([prior(m) for m in MARKS] + [0.0, -1.0])
     if len(set(label)) < 2:
         return base[:-1], base[-1]
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -279,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS) -> M
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     entries = seed_entries()
     if not n_clean or not n_toxic:
-        return Model(Lexicon(entries), *regression(np.zeros((0, len(MARKS))), np.zeros(0)))
+        return Model(Lexicon(entries), *regression(np.zeros((0, len(MARKS) + 1)), np.zeros(0)))
     counted = sample.select("text", "label").mapInArrow(
         _prefixes, "stem binary, open_end boolean, toxic bigint, clean bigint"
     ).groupBy("stem", "open_end").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -304,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS) -> M
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(vectors, f"doc_id {kind}, label int, x array<double>").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    x = np.log1p(np.array(got.column("x").to_pylist()))
+    x = inputs(np.array(got.column("x").to_pylist()))
     return Model(lexicon, *regression(x, got.column("label").to_numpy().astype(float)))
 
 
