@@ -1,12 +1,14 @@
 """The operators' queries and their SQL twins."""
 
-from folioscope.llm import decontamination, line_dedup, mixing, personal_data, quality, toxicity
+from folioscope.llm import chat, decontamination, line_dedup, mixing, personal_data, quality, token_ids, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_decontamination": decontamination.op3_decontamination,
     "op2_quality": quality.op2_quality,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op6_token_ids": token_ids.op6_token_ids,
+    "op7_chat": chat.op7_chat,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_personal_data": personal_data.op10_personal_data,
 }
@@ -14,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
+    "op7_chat": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
