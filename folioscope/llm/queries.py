@@ -1,6 +1,6 @@
 """The operators' queries and their SQL twins."""
 
-from folioscope.llm import chat, decontamination, line_dedup, mixing, personal_data, quality, token_ids, toxicity
+from folioscope.llm import chat, decontamination, licenses, line_dedup, mixing, personal_data, quality, token_ids, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_token_ids": token_ids.op6_token_ids,
     "op7_chat": chat.op7_chat,
+    "op8_licenses": licenses.op8_licenses,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_personal_data": personal_data.op10_personal_data,
 }
@@ -17,5 +18,6 @@ ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op8_licenses": licenses.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
