@@ -1,12 +1,13 @@
 """The operators' queries and their SQL twins."""
 
-from folioscope.llm import chat, decontamination, licenses, line_dedup, mixing, personal_data, quality, token_ids, toxicity
+from folioscope.llm import chat, decontamination, jaccard_join, licenses, line_dedup, mixing, personal_data, quality, token_ids, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_decontamination": decontamination.op3_decontamination,
     "op2_quality": quality.op2_quality,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_token_ids": token_ids.op6_token_ids,
     "op7_chat": chat.op7_chat,
     "op8_licenses": licenses.op8_licenses,
