@@ -1,23 +1,56 @@
-"""Documents to token files: the stages of the corpus pipeline."""
+"""Documents to token files: the stages of the corpus pipeline.
+
+Each stage takes what the one before kept. All but the last return the columns
+of documents; the last returns the documents found in the written token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import mixing
+from folioscope.llm import decontamination, jaccard_join, mixing, token_ids, toxicity
 from folioscope.llm.shared import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents the grammar rejects go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    clash = "score" in docs.columns
+    scored = toxicity.score(docs.withColumnRenamed("score", "_given_score") if clash else docs, model)
+    kept = scored.filter(F.col("score") < 0.5).drop("score")
+    return (kept.withColumnRenamed("_given_score", "score") if clash else kept).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group stays."""
+    return jaccard_join.representatives(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: passages of the benchmark are cut out of the texts."""
+    return decontamination.cleaned(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights."""
+    """Mixing sources to target weights: repeated epochs are repeated rows."""
     return mixing.mixed_documents(docs)
 
 
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-ID output: files of ids, read back."""
+    return token_ids.encode_documents(spark, docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", remove_benchmark),
     ("mixing", mix_sources),
+    ("token_ids", write_token_ids),
 ]
 
-# The stages are learned or randomised methods that SQL can't express.
+# Learned scores, sampled paths and token ids can't be expressed in SQL.
 ORACLE_SQL = None
 
 

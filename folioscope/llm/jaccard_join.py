@@ -338,12 +338,13 @@ def exact_links(docs: DataFrame, sets: DataFrame, candidates: DataFrame) -> Data
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, class_id, n_links: one row per row of ``docs``.
+    """doc_id, digest, class_id, n_links, class_set: one row per row of ``docs``.
 
     Words are runs of letters, digits and non-ASCII characters with A-Z in lower
     case; a text of one to four words is one shingle. ``class_id`` is the
     smallest doc_id connected to the row by equal sets or links of similarity 0.8
-    or more; ``n_links`` counts the other sets it is linked to. A text without
+    or more, ``class_set`` the smallest digest; ``n_links`` counts the other sets it
+    is linked to. A text without
     words (null, empty, signs only) has a null digest, its own id as class and
     no links. Repeated rows share a class. A class of null ids alone has a null
     id. Other columns are ignored; an empty table gives no rows.
@@ -363,13 +364,41 @@ def classes(docs: DataFrame) -> DataFrame:
     ).select("digest", "rep", F.coalesce("root", "digest").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     roots_ = cut(roots_)
     ids = roots_.groupBy("root").agg(F.min("rep").alias("class_id"))
-    by_set = join_unique(roots_, ids, "root").select("digest", "class_id", "n_links")
+    by_set = join_unique(roots_, ids, "root").select("digest", "class_id", "n_links", F.col("root").alias("class_set"))
     worded = join_unique(rows.select("doc_id", "digest").filter(F.col("digest").isNotNull()), by_set, "digest")
     alone = rows.filter(F.col("digest").isNull()).select(
-        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links")
+        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"),
+        F.lit(None).cast("binary").alias("class_set"),
     )
-    return worded.select("doc_id", "digest", "class_id", "n_links").union(alone)
+    return worded.select("doc_id", "digest", "class_id", "n_links", "class_set").union(alone)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "_jj_text"):
+        shingles, bounds = shingle_sets(batch.column("_jj_text"))
+        digests = [_digest(shingles[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        columns = {c: batch.column(c) for c in batch.schema.names if c != "_jj_text"}
+        yield pa.RecordBatch.from_pydict(columns | {"_jj_digest": pa.array(digests, pa.binary())})
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: the one of the smallest id.
+
+    Rows are told apart by id and set, so of rows that repeat both one stays.
+    Texts without words are classes of their own and stay.
+    """
+    found = classes(docs)
+    chosen = found.filter(F.col("digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(
+        F.col("class_id").alias("_jj_id"), "class_set"
+    ).agg(F.min("digest").alias("_jj_set")).drop("class_set")  # of sets of one id in one class one stays
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = docs.withColumn("_jj_text", F.col("text")).mapInArrow(_digested, kind + ", _jj_digest binary")
+    met = rows.join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("_jj_id")) & (F.col("_jj_digest") == F.col("_jj_set")), "left"
+    )
+    kept = met.filter(F.col("_jj_set").isNotNull() | F.col("_jj_digest").isNull())
+    return kept.dropDuplicates(["doc_id", "_jj_digest"]).select(*docs.columns)
