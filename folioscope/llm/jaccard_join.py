@@ -4,7 +4,7 @@ A text is the set of its five-word shingles. Texts of equal sets are one class
 before anything is compared. Every set has 64 minimum hashes; two sets agree on
 one of them with their Jaccard similarity. A run starts with all sets in one
 node; a node of more than ``LIMIT`` sets draws coordinates, each with the chance
-1 / (threshold * 64) and one at least, and a set goes to the child of each drawn
+1 / (threshold * 64) and at least one, and a set goes to the child of each drawn
 coordinate and its own value there. Two similar sets stay together with the
 chance of their similarity per level. Small nodes are compared by brute force on
 a sketch. A node still too large after ``DEPTH`` levels is compared in blocks, so
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import cut, stored, table
@@ -102,25 +102,34 @@ def join_unique(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -
 
 
 # ---------------------------------------------------------------- paths
-def drawn(node: Column, used: Column) -> Column:
-    """Coordinates a node draws: each with its chance, the one of the smallest hash always."""
+def drawn(nodes: DataFrame) -> DataFrame:
+    """(node, i): the coordinates of each node, each with its chance, the one of the smallest hash always."""
     most = 1 << 20
-    all_ = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: ~F.array_contains(used, i))
-    hashed = F.transform(all_, lambda i: F.struct(F.pmod(F.xxhash64(node, i), F.lit(most)).alias("h"), i.alias("i")))
+    hashed = nodes.select("node", F.transform(
+        F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
+        lambda i: F.struct(F.pmod(F.xxhash64("node", i), F.lit(most)).alias("h"), i.alias("i")),
+    ).alias("all"))
+    least = hashed.withColumn("least", F.array_min("all")["i"])
     chance = int(most / (THRESHOLD * COORDINATES))
-    return F.transform(
-        F.filter(hashed, lambda x: (x["h"] < chance) | (x == F.array_min(hashed))), lambda x: x["i"]
-    )
+    return least.select("node", F.transform(
+        F.filter("all", lambda x: (x["h"] < chance) | (x["i"] == F.col("least"))), lambda x: x["i"]
+    ).alias("drawn"))
 
 
-def children(rows: DataFrame) -> DataFrame:
-    """(node, used, digest) one level down, from rows that carry their minima."""
-    # The drawn list is its own step: one evaluation per row.
-    out = rows.select("digest", "node", "used", "minima", F.explode(drawn(F.col("node"), F.col("used"))).alias("i"))
-    return out.select(
-        "digest", F.xxhash64("node", "i", F.get("minima", F.col("i"))).alias("node"),
-        F.concat("used", F.array("i")).alias("used"),
-    )
+def root_rows(sets: DataFrame, runs: int) -> DataFrame:
+    """(digest, node) of the first level: all runs start at a node that holds every set."""
+    # As many rows as runs.
+    draws = drawn(sets.sparkSession.range(runs).select(F.col("id").alias("node"))).collect()
+    arms = F.array(*[
+        F.xxhash64(F.lit(r.node), F.lit(i), F.get("minima", F.lit(i))) for r in draws for i in r.drawn
+    ])
+    return sets.select("digest", F.explode(arms).alias("node"))
+
+
+def children(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """(digest, node) one level down, from rows (digest, node, minima) of nodes that split."""
+    met = join_unique(rows, draws, "node").withColumn("i", F.explode("drawn"))
+    return met.select("digest", F.xxhash64("node", "i", F.get("minima", F.col("i"))).alias("node"))
 
 
 def _same(matrix: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -200,25 +209,22 @@ def candidate_edges(sets: DataFrame, limit: int = LIMIT, depth: int = DEPTH) ->
     """(a, b): trees over candidate pairs of all runs; ``sets`` has digest and minima, one row per set."""
     sets = sets.select("digest", "minima")
     sketch = sets.select("digest", F.expr("unhex(array_join(transform(minima, m -> lpad(hex(m & 255), 2, '0')), ''))").alias("sketch"))
-    runs = F.array(*[F.lit(r).cast("bigint") for r in range(n_runs(depth=depth))])
-    rows = sets.withColumn("node", F.explode(runs)).withColumn("used", F.array().cast("array<int>"))
-    edges = None
+    nodes, edges = root_rows(sets, n_runs(depth=depth)), None
     for level in range(1, depth + 1):
-        nodes = stored(children(rows), "paths")
+        nodes = stored(nodes, "paths")
         counts = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        met = join_unique(nodes, counts, "node")
-        if level < depth:
-            met = cut(met)
-            small, large = met.filter(F.col("n") <= limit), met.filter(F.col("n") > limit)
-        else:
-            small, large = met, None
+        met = cut(join_unique(nodes, counts, "node"))
+        last = level == depth
+        small = met if last else met.filter(F.col("n") <= limit)
         compared = blocked(small.join(sketch, "digest"), "n", "digest", limit).select("node", "i", "j", "digest", "sketch")
         ordered = compared.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
         found = ordered.mapInArrow(_candidates, "a binary, b binary")
         edges = found if edges is None else edges.union(found)
-        if large is None or large.isEmpty():
+        large = met.filter(F.col("n") > limit)
+        if last or large.isEmpty():
             break
-        rows = large.join(sets, "digest").select("digest", "minima", "node", "used")
+        draws = drawn(large.select("node").distinct())
+        nodes = children(large.join(sets, "digest").select("digest", "node", "minima"), draws)
     return edges
 
 
