@@ -218,9 +218,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the spans found; ``n_chars``, where present, follows the text."""
-    found = find(docs, benchmark, **options).select(*docs.columns, "spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = found.mapInArrow(_removed, fields)
+    # Columns may bear the names find() adds, so they travel under others.
+    given = [c for c in docs.columns if c != "text"]
+    plain = docs.select("text", *[F.col(c).alias(f"_dc_{i}") for i, c in enumerate(given)])
+    found = find(plain, benchmark, **options).select(*plain.columns, "spans")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    out = found.mapInArrow(_removed, fields).select(
+        *["text" if c == "text" else F.col(f"_dc_{given.index(c)}").alias(c) for c in docs.columns]
+    )
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))

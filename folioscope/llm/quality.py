@@ -46,9 +46,9 @@ def base_counts(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     begin = np.union1d(at[:-1], feed + 1)
     begin = begin[begin < len(raw)]
     doc = np.searchsorted(at, begin, side="right") - 1
-    end = np.append(begin[1:], len(raw))
+    end = np.append(begin[1:], len(raw))[: len(begin)]
     feeds = np.zeros(len(begin), np.int64)
-    feeds[(end > 0) & (raw[end - 1] == 10)] = 1
+    feeds[raw[end - 1] == 10] = 1
     worded = sums(words.inside.astype(np.int64), np.append(begin, len(raw))) > 0
     line, doc = ranges(words.h, begin, end - feeds)[worded], doc[worded]
     out["n_dup_lines"] = np.bincount(doc[_repeats(doc, line, first=False)], minlength=n).astype(np.int64)
