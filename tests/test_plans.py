@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from __spark_entry__ import queries
+from folioscope.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,7 +22,7 @@ def plans(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        return {name: plan(run(spark, FOLDER)) for name, run in queries().items()}
+        return {name: plan(run(spark, FOLDER)) for name, run in catalog.QUERIES.items()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
