@@ -23,11 +23,6 @@ def ratio(num: Column, den: Column, scale: int = 6) -> Column:
     return (whole.cast("decimal(18,0)") + part * unit).cast(f"decimal(24,{scale})")
 
 
-def money(col: Column) -> Column:
-    """DOUBLE money as DECIMAL(18,2), so that sums do not depend on order."""
-    return col.cast("decimal(18,2)")
-
-
 def bucket_of(col: Column, width: int) -> Column:
     """Whole-number bucket of a whole-number column, without DOUBLE division."""
     return F.call_function("div", col.cast("bigint"), F.lit(width).cast("bigint"))

@@ -26,15 +26,15 @@ def _sums_before(sizes: DataFrame, group: list[str], level: int, width: int) ->
 
 
 def bucketed_position(
-    df: DataFrame, group: list[str], order: str, name: str, width: int = 65536, levels: int = 2
+    df: DataFrame, group: list[str], order: str, name: str, width: int = 65536, levels: int = 4
 ) -> DataFrame:
     """1-based rank of the unique whole-number column ``order`` inside each group.
 
     Rows are ranked inside (group, order div width), which holds at most
     ``width`` rows, and shifted by the number of rows in the earlier buckets. A
     group with a third of all rows is spread over its buckets. The bucket sums
-    are bucketed again, ``levels`` times in all: 2 suits ids without large
-    holes; 4 bounds every sort by ``width`` rows for any 64-bit order.
+    are bucketed again, ``levels`` times in all: 4 bounds every sort by ``width``
+    rows for any 64-bit order; 2 do for a 32-bit order.
     """
     bucketed = df.withColumn("_b", bucket_of(F.col(order), width))
     sizes = bucketed.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
@@ -47,9 +47,17 @@ def bucketed_position(
     )
 
 
-def bins(lo: Column, hi: Column, width: int) -> Column:
-    """All bin numbers a closed range touches, for an equi join on bins."""
-    return F.sequence(bucket_of(lo, width), bucket_of(hi, width))
+# A range lies in at most this many bins of its level, plus one.
+FAN = 16
+
+
+def _level(lo: Column, hi: Column, width: int) -> Column:
+    """Smallest level at which bins of ``width * FAN**level`` cover the range in FAN + 1 bins."""
+    size = hi.cast("decimal(20,0)") - lo.cast("decimal(20,0)")
+    level = F.lit(0)
+    for k in range(1, 17):
+        level = F.when(size >= F.lit(str(width * FAN**k)).cast("decimal(38,0)"), k).otherwise(level)
+    return level
 
 
 def range_join(
@@ -58,19 +66,37 @@ def range_join(
 ) -> DataFrame:
     """Join points to the closed ranges holding them by equality on (by, bin).
 
-    Ranges are copied once per bin they touch, so the join is a hash or merge
-    join, never a nested loop over both sides.
+    A range of any length is copied to at most ``FAN + 1`` bins: longer ranges
+    use wider bins. Points meet each width that occurs, of which there are at
+    most 17. The join is a hash or merge join, never a nested loop. Reversed
+    ranges hold nothing; ``how`` is ``inner`` or ``left``.
     """
-    p = points.withColumn("_bin", bucket_of(F.col(point), width))
-    r = ranges.withColumn("_rbin", F.explode(bins(F.col(lo), F.col(hi), width)))
-    r = r.select(
-        *[F.col(c).alias(f"_r_{c}") for c in by],
-        *[c for c in r.columns if c not in by],
-    )
-    cond = (p["_bin"] == r["_rbin"]) & p[point].between(r[lo], r[hi])
-    for c in by:
-        cond = cond & (p[c] == r[f"_r_{c}"])
-    return p.join(r, cond, how).drop("_bin", "_rbin", *[f"_r_{c}" for c in by])
+    leveled = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_level", _level(F.col(lo), F.col(hi), width))
+    # At most 17 numbers.
+    levels = sorted(r[0] for r in leveled.select("_level").distinct().collect()) or [0]
+    found, rest = None, points
+    for k in levels:
+        size = width * FAN**k
+        last = k == levels[-1] and how == "left"
+        r = leveled.filter(F.col("_level") == k).withColumn(
+            "_rbin", F.explode(F.sequence(bucket_of(F.col(lo), size), bucket_of(F.col(hi), size)))
+        ).select(*[F.col(c).alias(f"_r_{c}") for c in by], *[c for c in ranges.columns if c not in by], "_rbin")
+
+        def meets(p: DataFrame, r: DataFrame = r, size: int = size) -> Column:
+            cond = (bucket_of(p[point], size) == r["_rbin"]) & p[point].between(r[lo], r[hi])
+            for c in by:
+                cond = cond & (p[c] == r[f"_r_{c}"])
+            return cond
+
+        single = last and len(levels) == 1
+        met = points.join(r, meets(points), "left" if single else "inner")
+        met = met.drop("_rbin", *[f"_r_{c}" for c in by])
+        found = met if found is None else found.unionByName(met)
+        if how == "left" and not single:
+            rest = rest.join(r, meets(rest), "left_anti")
+    if how == "left" and len(levels) > 1:
+        found = found.unionByName(rest, allowMissingColumns=True)
+    return found
 
 
 def explode_range(
@@ -81,11 +107,10 @@ def explode_range(
     Ranges are cut into blocks, and blocks are dealt out by (keys, block), so a
     range with a very large share of all numbers is written by many tasks.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first, last = lo.cast("bigint"), hi.cast("bigint")
     ranges = df.withColumns({"_lo": first, "_hi": last}).filter("_lo <= _hi")
     blocks = ranges.withColumn(
         "_from", F.explode(F.sequence("_lo", "_hi", F.lit(block).cast("bigint")))
-    ).repartition(tasks, *keys, "_from")
+    ).repartition(*keys, "_from")
     upto = F.least(F.col("_hi"), F.col("_from") + (block - 1))
     return blocks.withColumn(name, F.explode(F.sequence("_from", upto))).drop("_lo", "_hi", "_from")

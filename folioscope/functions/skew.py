@@ -2,50 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows than this is joined by broadcast instead of by shuffle.
-HOT_ROWS = 10_000_000
+from folioscope.session import cut_lineage
 
 
-def hot_join(
-    big: DataFrame, small: DataFrame, keys: list[str], n_rows: str, how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, keys: list[str], n_rows: str, how: str = "inner") -> DataFrame:
     """``big`` with the columns of its key's row in ``small``; NULL keys meet.
 
-    ``small`` is unique on ``keys`` and its column ``n_rows`` holds the number
-    of rows ``big`` has for the key, so at most (rows of big / hot_rows) keys
-    are hot: that bounds the broadcast. Rows of hot keys take their values from
-    it and are dealt out by a hash of the row in the shuffle for all other keys,
-    which are small enough for one task. ``big`` is read once. Adaptive skew
-    splitting does not help here, because it never splits a join with an
-    aggregated side.
+    ``small`` is unique on ``keys``; its row count ``n_rows`` is not carried.
+    Adaptive execution splits the tasks of a hot key only if neither side is an
+    aggregation in the same job, so ``small`` is checkpointed first and is a
+    plain input of an ordinary join. The join is the same at every size.
     """
     values = [c for c in small.columns if c not in (*keys, n_rows)]
-    deals = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(prefix: str, rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *[F.col(c).alias(f"{prefix}{c}") for c in (*keys, *values)], F.lit(True).alias(f"{prefix}found")
-        )
-
-    def same(prefix: str) -> Column:
-        matched = F.lit(True)
-        for k in keys:
-            matched = matched & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-        return matched
-
-    hot = side("_h_", small.filter(F.col(n_rows) > hot_rows))
-    cold = side("_c_", small.filter(F.col(n_rows) <= hot_rows)).withColumn("_c_deal", F.lit(0))
-    is_hot = F.col("_h_found").isNotNull()
-    dealt = big.join(F.broadcast(hot), same("_h_"), "left").withColumn(
-        "_deal", F.when(is_hot, F.pmod(F.hash(*big.columns), F.lit(deals)) + 1).otherwise(0)
-    )
-    met = dealt.join(cold, same("_c_") & (F.col("_deal") == F.col("_c_deal")), "left")
-    if how == "inner":
-        met = met.filter(is_hot | F.col("_c_found"))
-    return met.select(
-        *big.columns, *[F.when(is_hot, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in values]
-    )
+    one = cut_lineage(small.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], *values))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    return big.join(one, same, how).select(*big.columns, *values)

@@ -7,6 +7,7 @@ is moved once and hot keys are combined before they are moved.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.ranking import bucketed_position, range_join
@@ -344,9 +345,10 @@ def chronology(events: DataFrame, rules: dict[str, list[str]], scope: list[str])
 def sequence_breaks(events: DataFrame, scope: list[str], step: str, ts: str) -> DataFrame:
     """Scopes in which a later step begins before an earlier step has ended.
 
-    Steps are numbered from 1; each is reduced to its first and last time, and
-    a step meets only the step before it.
+    Each step is reduced to its first and last time and compared with the step
+    before it that exists, whatever number that has. The window holds one small
+    row per step of a scope.
     """
     spans = events.groupBy(*scope, step).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    before = spans.select(*scope, (F.col(step) + 1).alias(step), F.col("_last").alias("_before"))
-    return spans.join(before, [*scope, step]).filter("_first < _before").select(*scope, step)
+    before = F.lag("_last").over(W.partitionBy(*scope).orderBy(step))
+    return spans.withColumn("_before", before).filter("_first < _before").select(*scope, step)

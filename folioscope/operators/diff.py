@@ -15,15 +15,22 @@ from folioscope.operators.coverage import closure, dangling, partition_check
 
 
 def diff_records(old: DataFrame, new: DataFrame, keys: list[str], sha: str) -> DataFrame:
-    """``added``, ``removed``, ``updated`` or ``unchanged`` per key, by digest."""
+    """``added``, ``removed``, ``updated`` or ``unchanged`` per key, by digest.
+
+    A key one side holds twice is ``duplicate_key``; a record without a digest on
+    either side of a pair is ``no_digest``, because its content is not known.
+    """
     sides = stack([tag(old, "old", keys, [sha]), tag(new, "new", keys, [sha])]).groupBy(*keys).agg(
-        side_value("old", sha).alias("old_sha"), side_value("new", sha).alias("new_sha")
+        side_value("old", sha).alias("old_sha"), side_value("new", sha).alias("new_sha"),
+        side_count("old").alias("_n_old"), side_count("new").alias("_n_new"),
     )
     status = (
-        F.when(F.col("old_sha").isNull(), "added").when(F.col("new_sha").isNull(), "removed")
+        F.when((F.col("_n_old") > 1) | (F.col("_n_new") > 1), "duplicate_key")
+        .when(F.col("_n_old") == 0, "added").when(F.col("_n_new") == 0, "removed")
+        .when(F.col("old_sha").isNull() | F.col("new_sha").isNull(), "no_digest")
         .when(F.col("old_sha") == F.col("new_sha"), "unchanged").otherwise("updated")
     )
-    return sides.withColumn("status", status)
+    return sides.withColumn("status", status).drop("_n_old", "_n_new")
 
 
 def changed_fields(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -49,16 +56,30 @@ def _step(key: Column, pos: Column) -> Column:
     return F.concat(F.lit("/"), F.coalesce(escaped, pos.cast("string")))
 
 
+def nesting(json_text: Column) -> Column:
+    """How deep brackets are nested, those inside strings aside."""
+    strings_gone = F.regexp_replace(json_text, r'"(?:[^"\\\\]|\\\\.)*+"', "")
+    brackets = F.split(F.regexp_replace(strings_gone, r"[^\[\]{}]+", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, c: Column) -> Column:
+        now = at["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step)["most"]
+
+
 def flatten_json(
-    df: DataFrame, keys: list[str], json_text: str, depth: int = 8, whole_arrays: bool = False
+    df: DataFrame, keys: list[str], json_text: str, whole_arrays: bool = False
 ) -> DataFrame:
     """Leaves of JSON documents; a narrow transformation at every depth.
 
-    Anything nested deeper than ``depth`` stays one leaf and is still compared
-    whole. ``whole_arrays`` keeps arrays as one leaf, because positions inside
-    an array move when it is reordered.
+    Documents are flattened to the end: one pass over the texts first finds how
+    deep the deepest is nested. ``whole_arrays`` keeps arrays as one leaf,
+    because positions inside an array move when it is reordered.
     """
     tvf = df.sparkSession.tvf
+    depth = df.agg(F.max(nesting(F.col(json_text)))).first()[0] or 0
     flat = df.select(*keys, F.lit("").alias("pointer"), F.try_parse_json(json_text).alias("v"))
     for _ in range(depth):
         opened = F.col("v")
@@ -114,7 +135,8 @@ def compose(base: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
     """Base with ordered patches; the last patch of a key wins.
 
     ``patches`` has the base columns, ``action`` and ``seq``. One ``max_by`` per
-    key replaces a pass per patch, however many components there are.
+    key replaces a pass per patch, however many components there are. Two
+    different patches of one (key, seq) have no order: see ``patch_ties``.
     """
     columns = base.columns
     rows = stack([
@@ -129,6 +151,12 @@ def compose(base: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def patch_ties(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """Patches that ``compose`` can't order: keys with several different patches of one ``seq``."""
+    content = F.struct(*[c for c in patches.columns if c not in (*keys, "seq")])
+    return patches.groupBy(*keys, "seq").agg(F.count_distinct(content).alias("n_patches")).filter("n_patches > 1")
+
+
 def patch_overlaps(patches: DataFrame, keys: list[str], component: str) -> DataFrame:
     """Keys more than one component targets."""
     pairs = patches.groupBy(*keys, component).agg(F.count("*").alias("_n"))
@@ -139,21 +167,27 @@ def resolve_overlap(changes: DataFrame, rules: DataFrame, keys: list[str]) -> tu
     """Named fields from named components; everything else must be undisputed.
 
     ``changes(*keys, component, pointer, value)`` holds one value per component
-    and pointer; ``rules(*keys, pointer, component)`` names the winner of a
-    disputed pointer. Returns (resolved leaves, unresolved pointers).
+    and pointer, a NULL value being a removal; ``rules(*keys, pointer,
+    component)`` names the winner of a disputed pointer. Returns (resolved
+    leaves, unresolved pointers). A resolved removal has a NULL value. A pointer
+    for which two rules name different components is unresolved.
     """
     by = [*keys, "pointer"]
-    winners = rules.groupBy(*by).agg(F.max("component").alias("winner"))
-    ruled = changes.join(winners, by, "left")
-    per_pointer = ruled.groupBy(*by).agg(
-        F.count_distinct("value").alias("n_values"), F.max("value").alias("any_value"),
-        F.max(F.when(F.col("component") == F.col("winner"), F.col("value"))).alias("ruled_value"),
+    winners = rules.groupBy(*by).agg(
+        F.max("component").alias("winner"), (F.min("component") != F.max("component")).alias("_two_rules")
+    )
+    # A struct is never NULL, so a removal counts as a value of its own.
+    put = F.struct(F.col("value").alias("value"))
+    per_pointer = changes.join(winners, by, "left").groupBy(*by).agg(
+        F.count_distinct(put).alias("n_values"), F.max(put).alias("any_value"),
+        F.max(F.when(F.col("component") == F.col("winner"), put)).alias("ruled_value"),
+        F.bool_or(F.coalesce("_two_rules", F.lit(False))).alias("_two_rules"),
     )
     value = F.coalesce("ruled_value", F.when(F.col("n_values") == 1, F.col("any_value")))
-    judged = per_pointer.select(*by, "n_values", value.alias("value"))
+    judged = per_pointer.select(*by, "n_values", F.when(~F.col("_two_rules"), value).alias("put"))
     return (
-        judged.filter("value is not null").select(*by, "value"),
-        judged.filter("value is null").select(*by, "n_values"),
+        judged.filter("put is not null").select(*by, F.col("put.value").alias("value")),
+        judged.filter("put is null").select(*by, "n_values"),
     )
 
 
@@ -287,8 +321,10 @@ def edge_conflicts(
     once = edges.groupBy(a, t, b).agg(F.count("*").alias("n_bindings"))
     table = F.create_map(*[F.lit(x) for pair in inverse.items() for x in pair])
     expected = once.select(
-        F.col(b).alias(a), table[F.col(t)].alias(t), F.col(a).alias(b)
-    ).filter(F.col(t).isNotNull()).distinct()
+        F.col(b).alias(a), table[F.col(t)].alias(t), F.col(a).alias(b), F.col(t).alias("_own")
+    )
+    # A self-loop of a symmetric type is its own reverse, not a second edge.
+    expected = expected.filter(F.col(t).isNotNull() & ~((F.col(a) == F.col(b)) & (F.col(t) == F.col("_own")))).drop("_own").distinct()
     reversed_edges = once.join(expected, [a, t, b], "left_semi").select(
         a, b, F.lit("reversed").alias("kind"), F.col(t).alias("detail")
     )
@@ -334,8 +370,14 @@ def proposal_partition(ledger: DataFrame, population: DataFrame, keys: list[str]
     return counts, partition_check(ledger, population, keys)
 
 
-def population_accounting(before: DataFrame, after: DataFrame, by: list[str], weight: str) -> DataFrame:
-    """Records and weights per group before and after, and whether they are equal."""
+def population_accounting(
+    before: DataFrame, after: DataFrame, by: list[str], weight: str, ids: list[str] | None = None
+) -> DataFrame:
+    """Records and weights per group before and after, and whether they are equal.
+
+    With ``ids``, the columns that name a record, also the records only one side
+    holds: equal populations hold the same records, not only as many.
+    """
     rows = stack([tag(before, "before", by, [weight]), tag(after, "after", by, [weight])])
     def total(side: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("_side") == side, F.col(weight))), F.lit(0)).cast("bigint")
@@ -344,7 +386,15 @@ def population_accounting(before: DataFrame, after: DataFrame, by: list[str], we
         side_count("before").alias("n_before"), side_count("after").alias("n_after"),
         total("before").alias("weight_before"), total("after").alias("weight_after"),
     )
-    return out.withColumn("equal", F.expr("n_before = n_after and weight_before = weight_after"))
+    if ids is None:
+        return out.withColumn("equal", F.expr("n_before = n_after and weight_before = weight_after"))
+    swapped = key_counts(before, after, [*by, *ids]).groupBy(*by).agg(
+        F.coalesce(F.sum(F.greatest(F.lit(0), F.expr("n_left - n_right"))), F.lit(0)).cast("bigint").alias("n_lost"),
+        F.coalesce(F.sum(F.greatest(F.lit(0), F.expr("n_right - n_left"))), F.lit(0)).cast("bigint").alias("n_gained"),
+    )
+    return out.join(swapped, by).withColumn(
+        "equal", F.expr("n_lost = 0 and n_gained = 0 and weight_before = weight_after")
+    )
 
 
 def metadata_only(
@@ -369,4 +419,9 @@ def metadata_only(
     judged = changes.groupBy(*keys).agg(
         F.count("*").alias("n_changes"), F.count_if(~fine).alias("n_other_changes")
     )
-    return judged.withColumn("metadata_only", F.col("n_other_changes") == 0)
+    # Every document has a row, so one without a change is seen to be examined.
+    none = F.lit(0).cast("bigint")
+    every = stack([old_leaves.select(*keys), new_leaves.select(*keys)]).distinct()
+    return every.join(judged, keys, "left").withColumns({
+        "n_changes": F.coalesce("n_changes", none), "n_other_changes": F.coalesce("n_other_changes", none),
+    }).withColumn("metadata_only", F.col("n_other_changes") == 0)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import ratio
+from folioscope.functions.ranking import explode_range
 from folioscope.functions.skew import hot_join
 from folioscope.operators.coverage import canonicalize, closure
 
@@ -23,13 +24,6 @@ JUDGMENTS = ["supported", "partially_supported", "unsupported"]
 KEEPS = ["kept", "not_kept"]
 AXES = ["treatment", "fit", "judgment", "keep"]
 
-# Gate names.
-GATES = [
-    "wrong_locator", "broken_reference", "scope_locator", "systemic_unsupported_content",
-    "central_omission", "stance", "compound_heading_failure", "substitutive_see_reference_failure",
-    "cross_reference_failure", "systemic_clutter", "grounding_fallback", "true_structural_failure",
-]
-
 UNKNOWN = "?"
 
 
@@ -104,9 +98,16 @@ def to_percent(judgment: Column) -> Column:
 
 
 def expand_locators(locators: DataFrame) -> DataFrame:
-    """One row per page of a displayed locator range; none for a range that ends before it begins."""
-    ordered = locators.filter("page_from <= page_to")
-    return ordered.withColumn("page", F.explode(F.sequence("page_from", "page_to")))
+    """One row per page of a displayed locator range, with ``bad_range``.
+
+    A range that ends before it begins, or lacks an end, is one row with a NULL
+    page and ``bad_range`` true. Long ranges are expanded in blocks by many tasks.
+    """
+    bad = ~F.coalesce(F.col("page_from") <= F.col("page_to"), F.lit(False))
+    marked = locators.withColumn("bad_range", bad)
+    keys = locators.columns[:1]
+    pages = explode_range(marked.filter(~F.col("bad_range")), keys, F.col("page_from"), F.col("page_to"), "page")
+    return pages.unionByName(marked.filter("bad_range").withColumn("page", F.lit(None).cast("bigint")))
 
 
 def locator_counts(locators: DataFrame, by: list[str]) -> DataFrame:
@@ -382,8 +383,13 @@ def blocked_destinations(blocked: DataFrame, destinations: DataFrame) -> DataFra
 
 
 def _gate_states(premises: dict[str, str]) -> tuple[Column, Column]:
-    """Whether a row is evidence for a gate, and whether it still may be."""
-    known, possible = F.lit(True), F.lit(True)
+    """Whether a row is evidence for a gate, and whether it still may be.
+
+    Only an inspected row is evidence; a row not measured yet may become it, an
+    uninspectable one never.
+    """
+    known = F.coalesce(F.col("inspected"), F.lit(False))
+    possible = F.coalesce(F.col("inspected"), F.lit(True))
     for column, value in premises.items():
         equal = F.col(column) == F.lit(value)
         known = known & F.coalesce(equal, F.lit(False))
@@ -405,8 +411,9 @@ def gates(locators: DataFrame, rules: dict[str, dict], by: list[str]) -> DataFra
     """Gates per candidate from known premises only.
 
     ``rules`` maps a gate to ``{"premises": {column: value}, "at_least": n}``, a
-    policy input of a dozen entries. A row is evidence when every premise is
-    known true; it is possible evidence when no premise is known false. Gates
+    policy input of a dozen entries. An inspected row is evidence when every
+    premise is known true; it is possible evidence when no premise is known
+    false. Gates
     with no possible evidence have no row.
     """
     counted = grouped(locators, by, gate_aggregates(rules))
@@ -443,6 +450,20 @@ def readiness(validity: Column, sufficient: Column, gated: Column) -> Column:
     )
 
 
+def sufficiency(blockers: Column, measured: Column, not_measured: Column, inconsistent: Column) -> Column:
+    """Evidence suffices with some measured locator, none left to measure, none blocked or inconsistent."""
+    zero = F.lit(0)
+    return (
+        (F.coalesce(measured, zero) > 0) & (F.coalesce(not_measured, zero) == 0)
+        & (F.coalesce(blockers, zero) == 0) & (F.coalesce(inconsistent, zero) == 0)
+    )
+
+
+def evidenced_validity(validity: Column, uninspectable: Column) -> Column:
+    """A valid candidate with locators nobody can inspect is indeterminate."""
+    return F.when((validity == "valid") & (F.coalesce(uninspectable, F.lit(0)) > 0), "indeterminate").otherwise(validity)
+
+
 def outcomes(candidates: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """Machine outcomes by precedence, beside any human release decision.
 

@@ -118,18 +118,20 @@ def role_table() -> dict[str, list[str]]:
     return {p: BASE_ROLES + (ACCESS_ROLES if p == "v10" else []) for p in PROFILES.values()}
 
 
-def role_check(bindings: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
+def role_check(bindings: DataFrame, roles: dict[str, list[str]], releases: DataFrame | None = None) -> DataFrame:
     """Roles a release misses, binds beyond its profile's roles, or repeats.
 
     ``bindings(release_id, profile, role)``. Required roles are written beside
     each release from the small policy table, without a join on the profile,
-    which has very few values.
+    which has very few values. ``releases(release_id, profile)`` names the
+    releases that must bind roles; without it a release that binds none is not seen.
     """
     keys = ["release_id", "role"]
     table = F.create_map(*[
         x for p, names in roles.items() for x in (F.lit(p), F.array(*[F.lit(r) for r in names]))
     ])
-    required = bindings.select("release_id", "profile").distinct().select(
+    known = bindings if releases is None else releases
+    required = known.select("release_id", "profile").distinct().select(
         "release_id", F.explode(table[F.col("profile")]).alias("role")
     )
     counts = stack([tag(required, "required", keys), tag(bindings, "bound", keys)])
@@ -295,8 +297,3 @@ def scope_binding(artifacts: DataFrame, parents: DataFrame, key: str, fields: li
     return joined.withColumn(
         "scope_ok", F.coalesce(F.col("_found"), F.lit(False)) & same
     ).drop("_found", *[f"_parent_{f}" for f in fields])
-
-
-def digest_documents(docs: DataFrame, json_col: str) -> DataFrame:
-    """Documents with their canonical digest; broken JSON gets NULL."""
-    return docs.withColumn("sha256", canonical_sha(F.col(json_col)))

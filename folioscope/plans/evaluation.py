@@ -16,8 +16,10 @@ def evaluate_candidates(
 ) -> DataFrame:
     """One row per candidate: populations, bounds, machine outcomes, human decision.
 
-    ``candidates(candidate_id, validity)``. Any blocker or inconsistent row makes
-    the assessment insufficient; a gate that may still fire does not fire. All
+    ``candidates(candidate_id, validity)``. Any blocker, inconsistent or not
+    measured row makes the assessment insufficient, and so does having no
+    measured locator; an uninspectable row leaves a valid candidate
+    indeterminate. A gate that may still fire does not fire. All
     numbers of a candidate come from one pass over the locators and one
     aggregation of a few dozen sums.
     """
@@ -43,6 +45,9 @@ def evaluate_candidates(
     )
     board = candidates.join(measured, "candidate_id", "left").withColumns({
         "n_blockers": F.coalesce("n_blockers", F.lit(0)), "gated": F.coalesce("gated", F.lit(False)),
-        "sufficient": (F.coalesce("n_blockers", F.lit(0)) == 0) & (F.coalesce("inconsistent", F.lit(0)) == 0),
+        "sufficient": evaluate.sufficiency(
+            F.col("n_blockers"), F.expr("n_locators - not_measured - uninspectable"), F.col("not_measured"), F.col("inconsistent")
+        ),
+        "validity": evaluate.evidenced_validity(F.col("validity"), F.col("uninspectable")),
     })
     return evaluate.outcomes(board, decisions)

@@ -27,6 +27,8 @@ def measure_sources(
     edges = cut_lineage(measure.page_edges(cleaned))
     counted, joins = measure.cross_page_joins(edges)
     labels = page_map.select("source_id", "page", F.col("label").alias("page_label"))
+    # Words of a page the map doesn't hold are counted nowhere, so each such page fails a check.
+    unmapped = counted.join(labels, ["source_id", "page"], "left_anti")
     report = labels.join(counted, ["source_id", "page"], "left").withColumn(
         "words", F.coalesce("words", F.lit(0))
     )
@@ -37,6 +39,10 @@ def measure_sources(
         "rollup": measure.rollup_words(counted, chunk_pages),
         "checks": checks.all_checks([
             measure.measurement_checks(report, chunk_pages),
+            checks.check_rows(
+                unmapped, "page_not_mapped", F.concat_ws("/", "source_id", "page"), F.lit(False),
+                F.concat(F.col("words").cast("string"), F.lit(" words")),
+            ),
             checks.check_rows(
                 problems, "page_owned_once", F.concat_ws("/", "source_id", "page"), F.lit(False), F.col("kind")
             ),

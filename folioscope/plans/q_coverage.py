@@ -369,7 +369,7 @@ def chronology(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber AS step, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1, 2)
-SELECT n.l_orderkey, n.step FROM s n JOIN s p ON n.l_orderkey = p.l_orderkey AND n.step = p.step + 1 WHERE n.a < p.b
+SELECT l_orderkey, step FROM (SELECT *, lag(b) OVER (PARTITION BY l_orderkey ORDER BY step) AS p FROM s) WHERE a < p
 """)
 def sequence_breaks(t: Tables) -> DataFrame:
     """Lines of an order shipped before the line ahead of them."""

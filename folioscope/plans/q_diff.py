@@ -52,7 +52,7 @@ def nested_json(df: DataFrame) -> DataFrame:
 
 
 def nested_leaves(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return tuple(diff.flatten_json(nested_json(d), KEY, "json", depth=3) for d in changed_customers(t))
+    return tuple(diff.flatten_json(nested_json(d), KEY, "json") for d in changed_customers(t))
 
 
 LEAVES_SQL = CHANGED_SQL + """,
@@ -143,15 +143,26 @@ OVERLAP_SQL = """
 WITH ch AS (
   SELECT p_partkey, 'A' AS component, '/name' AS pointer, p_name AS value FROM part WHERE p_partkey % 2 = 0
   UNION ALL SELECT p_partkey, 'B', '/name', 'from B' FROM part WHERE p_partkey % 3 = 0
-  UNION ALL SELECT p_partkey, 'B', '/size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 0),
-j AS (SELECT p_partkey, pointer, count(DISTINCT value) AS n, max(value) AS v, max(value) FILTER (component = 'B' AND pointer = '/name' AND p_partkey % 4 = 0) AS w FROM ch GROUP BY 1, 2)
-SELECT p_partkey, pointer, coalesce(w, CASE WHEN n = 1 THEN v END) AS value, w IS NULL AND n > 1 AS unresolved FROM j
+  UNION ALL SELECT p_partkey, 'B', '/size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 0
+  -- C removes some names: a removal disputes a value and can win
+  UNION ALL SELECT p_partkey, 'C', '/name', NULL FROM part WHERE p_partkey % 5 = 0),
+r AS (
+  SELECT p_partkey, 'B' AS component FROM part WHERE p_partkey % 4 = 0
+  UNION ALL SELECT p_partkey, 'C' FROM part WHERE p_partkey % 25 = 0),
+j AS (
+  SELECT p_partkey, pointer, count(DISTINCT coalesce('v' || value, 'removed')) AS n, max(value) AS v,
+         count(*) FILTER (pointer = '/name' AND component = (SELECT max(component) FROM r WHERE r.p_partkey = ch.p_partkey)) AS ruled,
+         max(value) FILTER (pointer = '/name' AND component = (SELECT max(component) FROM r WHERE r.p_partkey = ch.p_partkey)) AS w,
+         pointer = '/name' AND (SELECT count(*) FROM r WHERE r.p_partkey = ch.p_partkey) > 1 AS two
+  FROM ch GROUP BY 1, 2)
+SELECT p_partkey, pointer, CASE WHEN two THEN NULL WHEN ruled > 0 THEN w WHEN n = 1 THEN v END AS value,
+       two OR (ruled = 0 AND n > 1) AS unresolved FROM j
 """
 
 
 @query(OVERLAP_SQL)
 def resolve_overlap(t: Tables) -> DataFrame:
-    """Two components change names; a rule gives every fourth part's name to B."""
+    """Three components change names, one by removal; rules name winners, twice two of them."""
     key = F.col("p_partkey")
     def change(cond, component: str, pointer: str, value) -> DataFrame:
         return t.part.filter(cond).select(
@@ -162,8 +173,12 @@ def resolve_overlap(t: Tables) -> DataFrame:
         change(key % 2 == 0, "A", "/name", F.col("p_name"))
         .unionByName(change(key % 3 == 0, "B", "/name", F.lit("from B")))
         .unionByName(change(key % 3 == 0, "B", "/size", F.col("p_size")))
+        .unionByName(change(key % 5 == 0, "C", "/name", F.lit(None)))
     )
-    rules = t.part.filter(key % 4 == 0).select("p_partkey", F.lit("/name").alias("pointer"), F.lit("B").alias("component"))
+    def rule(cond, component: str) -> DataFrame:
+        return t.part.filter(cond).select("p_partkey", F.lit("/name").alias("pointer"), F.lit(component).alias("component"))
+
+    rules = rule(key % 4 == 0, "B").unionByName(rule(key % 25 == 0, "C"))
     resolved, unresolved = diff.resolve_overlap(changes, rules, ["p_partkey"])
     return resolved.withColumn("unresolved", F.lit(False)).unionByName(
         unresolved.select("p_partkey", "pointer", F.lit(None).cast("string").alias("value"), F.lit(True).alias("unresolved"))
@@ -268,7 +283,7 @@ def page_opportunities_diff(t: Tables) -> DataFrame:
 @query("""
 WITH e AS (SELECT DISTINCT l_partkey AS source, l_returnflag AS type, l_suppkey AS target FROM lineitem),
 i AS (SELECT * FROM (VALUES ('A', 'R'), ('R', 'A'), ('N', 'N')) v(type, inverse))
-SELECT e.source, e.target, 'reversed' AS kind, e.type AS detail FROM e WHERE (e.source, e.type, e.target) IN (SELECT e2.target, i.inverse, e2.source FROM e e2 JOIN i ON e2.type = i.type)
+SELECT e.source, e.target, 'reversed' AS kind, e.type AS detail FROM e WHERE (e.source, e.type, e.target) IN (SELECT e2.target, i.inverse, e2.source FROM e e2 JOIN i ON e2.type = i.type WHERE NOT (e2.source = e2.target AND e2.type = i.inverse))
 UNION ALL SELECT source, target, 'types', CAST(count(*) AS VARCHAR) FROM e GROUP BY 1, 2 HAVING count(*) > 1
 """)
 def edge_conflicts(t: Tables) -> DataFrame:

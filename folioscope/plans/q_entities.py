@@ -57,7 +57,7 @@ def release_bindings(t: Tables) -> DataFrame:
         F.when(~even, F.array(binding)).alias("evidence"),
     )
     docs = t.orders.select(F.col("o_orderkey").cast("string").alias("path"), F.to_json(doc).alias("json"))
-    return explode_releases(docs)["bindings"]
+    return explode_releases(docs)["bindings"].drop("descriptor")
 
 
 @query("""

@@ -79,22 +79,24 @@ def percent_scale(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT l_suppkey, CAST(page AS INTEGER) AS page, count(*) AS n FROM (
-  SELECT l_suppkey, unnest(range(l_linenumber, l_linenumber + CAST(l_quantity AS INTEGER) % 3 + 1)) AS page FROM lineitem) GROUP BY 1, 2
+WITH r AS (SELECT l_suppkey, l_linenumber AS a, l_linenumber + CAST(l_quantity AS INTEGER) % 4 - 1 AS b FROM lineitem)
+SELECT l_suppkey, page, bad_range, count(*) AS n FROM (
+  SELECT l_suppkey, CAST(unnest(range(a, b + 1)) AS BIGINT) AS page, false AS bad_range FROM r
+  UNION ALL SELECT l_suppkey, NULL, true FROM r WHERE b < a) GROUP BY 1, 2, 3
 """)
 def locator_expand(t: Tables) -> DataFrame:
-    """Displayed page ranges as single assignments, counted per supplier and page."""
+    """Displayed page ranges as single assignments, counted per supplier and page; some are reversed."""
     rows = evaluate.expand_locators(locator_ranges(t))
-    return rows.groupBy("l_suppkey", "page").agg(F.count("*").alias("n"))
+    return rows.groupBy("l_suppkey", "page", "bad_range").agg(F.count("*").alias("n"))
 
 
 def locator_ranges(t: Tables) -> DataFrame:
-    last = F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3
+    last = F.col("l_linenumber") + F.col("l_quantity").cast("int") % 4 - 1
     return t.lineitem.select("l_suppkey", F.col("l_linenumber").alias("page_from"), last.alias("page_to"))
 
 
 @query("""
-SELECT l_suppkey, count(*) AS displayed_locators, CAST(sum(CAST(l_quantity AS INTEGER) % 3 + 1) AS BIGINT) AS page_assignments FROM lineitem GROUP BY 1
+SELECT l_suppkey, count(*) AS displayed_locators, CAST(sum(CAST(l_quantity AS INTEGER) % 4) AS BIGINT) AS page_assignments FROM lineitem GROUP BY 1
 """)
 def locator_counts(t: Tables) -> DataFrame:
     return evaluate.locator_counts(locator_ranges(t), ["l_suppkey"])
@@ -225,8 +227,8 @@ GATE_RULES = {
 def gate_sql() -> str:
     parts = []
     for gate, rule in GATE_RULES.items():
-        known = " AND ".join(f"coalesce({c} = '{v}', false)" for c, v in rule["premises"].items())
-        possible = " AND ".join(f"coalesce({c} = '{v}', true)" for c, v in rule["premises"].items())
+        known = "coalesce(inspected, false) AND " + " AND ".join(f"coalesce({c} = '{v}', false)" for c, v in rule["premises"].items())
+        possible = "coalesce(inspected, true) AND " + " AND ".join(f"coalesce({c} = '{v}', true)" for c, v in rule["premises"].items())
         parts.append(
             f"SELECT candidate_id, '{gate}' AS gate, {rule['at_least']} AS at_least, count(*) FILTER ({known}) AS n_confirmed, "
             f"count(*) FILTER ({possible}) AS n_possible FROM loc GROUP BY 1"
@@ -245,7 +247,7 @@ def gates(t: Tables) -> DataFrame:
 
 
 @query(LOCATORS_SQL + """
-SELECT candidate_id, path_id, locator_id FROM loc WHERE treatment = 'absent' AND fit = 'no_fit' AND keep = 'not_kept'
+SELECT candidate_id, path_id, locator_id FROM loc WHERE inspected AND treatment = 'absent' AND fit = 'no_fit' AND keep = 'not_kept'
 """)
 def gate_evidence(t: Tables) -> DataFrame:
     found = evaluate.gate_evidence(locators(t), GATE_RULES["wrong_locator"]["premises"])
@@ -253,26 +255,30 @@ def gate_evidence(t: Tables) -> DataFrame:
 
 
 @query(GATES_SQL + """
-, bl AS (SELECT candidate_id, count(*) AS n FROM c WHERE inspected AND (treatment IS NULL OR fit IS NULL OR judgment_class IN ('not_kept_subtype_unresolved', 'semantic_unresolved')) AND path_id % 997 < 9 GROUP BY 1),
+, bl AS (SELECT candidate_id, count(*) AS n FROM c WHERE inspected AND (treatment IS NULL OR fit IS NULL OR judgment_class IN ('not_kept_subtype_unresolved', 'semantic_unresolved')) GROUP BY 1),
+n AS (SELECT candidate_id, count(*) AS n FROM loc GROUP BY 1),
 f AS (SELECT candidate_id, bool_or(n_confirmed >= at_least) AS gated FROM g GROUP BY 1),
 s AS (SELECT s_suppkey AS candidate_id, CASE WHEN s_suppkey % 10 = 0 THEN 'invalid' WHEN s_suppkey % 10 = 1 THEN 'indeterminate' ELSE 'valid' END AS validity,
-             coalesce(n, 0) < 4 AS sufficient, coalesce(gated, false) AS gated, CASE WHEN s_suppkey % 4 = 0 THEN 'approved_with_deviation' END AS human_decision
-      FROM supplier LEFT JOIN bl ON s_suppkey = bl.candidate_id LEFT JOIN f ON s_suppkey = f.candidate_id)
+             coalesce(coalesce(bl.n, 0) * 100 < n.n * 36, false) AS sufficient, coalesce(gated, false) AS gated, CASE WHEN s_suppkey % 4 = 0 THEN 'approved_with_deviation' END AS human_decision
+      FROM supplier LEFT JOIN bl ON s_suppkey = bl.candidate_id LEFT JOIN n ON s_suppkey = n.candidate_id LEFT JOIN f ON s_suppkey = f.candidate_id)
 SELECT *, CASE WHEN validity = 'invalid' THEN 'invalid' WHEN validity = 'valid' AND sufficient THEN 'authoritative' ELSE 'indeterminate' END AS authority,
        CASE WHEN gated THEN 'not_ready' WHEN validity = 'valid' AND sufficient THEN 'ready' ELSE 'indeterminate' END AS readiness FROM s
 """)
 def outcomes(t: Tables) -> DataFrame:
     """Suppliers as candidates: gates, blockers and validity decide, a human decision stands beside."""
     rows = locators(t)
-    blocked = evaluate.blockers(rows).filter("path_id % 997 < 9").groupBy("candidate_id").agg(F.count("*").alias("n"))
+    blocked = evaluate.blockers(rows).groupBy("candidate_id").agg(F.count("*").alias("n"))
+    total = rows.groupBy("candidate_id").agg(F.count("*").alias("n_locators"))
     gated = evaluate.gates(rows, GATE_RULES, CANDIDATE).groupBy("candidate_id").agg(F.bool_or("fires").alias("gated"))
     key = F.col("s_suppkey")
     validity = F.when(key % 10 == 0, "invalid").when(key % 10 == 1, "indeterminate").otherwise("valid")
     board = (
         t.supplier.select(key.alias("candidate_id"), validity.alias("validity"))
-        .join(blocked, "candidate_id", "left").join(gated, "candidate_id", "left")
+        .join(blocked, "candidate_id", "left").join(total, "candidate_id", "left").join(gated, "candidate_id", "left")
         .select(
-            "candidate_id", "validity", (F.coalesce("n", F.lit(0)) < 4).alias("sufficient"),
+            "candidate_id", "validity",
+            # Blockers on fewer than 36 of 100 locators; without locators nothing suffices.
+            F.coalesce(F.coalesce("n", F.lit(0)) * 100 < F.col("n_locators") * 36, F.lit(False)).alias("sufficient"),
             F.coalesce("gated", F.lit(False)).alias("gated"),
         )
     )
@@ -411,19 +417,17 @@ def comparison(t: Tables) -> DataFrame:
 , k AS (SELECT candidate_id, count(*) AS n, CAST(count(*) FILTER (judgment_class = 'supported') AS BIGINT) AS kept,
                count(*) FILTER (judgment_class IN ('semantic_unresolved', 'uninspectable', 'not_measured', 'inconsistent')) AS u,
                count(fit_lo) AS f, CAST(sum(fit_lo) AS BIGINT) AS flo, CAST(sum(fit_hi) AS BIGINT) AS fhi,
-               count(*) FILTER (judgment_class = 'inconsistent') AS bad FROM c GROUP BY 1),
+               count(*) FILTER (judgment_class IN ('inconsistent', 'not_measured', 'uninspectable')) AS bad FROM c GROUP BY 1),
 b AS (SELECT candidate_id, count(*) AS nb FROM bl WHERE len(axes) > 0 GROUP BY 1),
 g AS (SELECT candidate_id, bool_or(n_confirmed >= at_least) AS gated FROM ({gate_sql()}) GROUP BY 1)
-SELECT candidate_id, {ratio_sql("kept", "n")} AS precision_lower, {ratio_sql("kept + u", "n")} AS precision_upper, {ratio_sql("flo", "f")} AS fit_lower, {ratio_sql("fhi", "f")} AS fit_upper,
+SELECT s_suppkey AS candidate_id, {ratio_sql("kept", "n")} AS precision_lower, {ratio_sql("kept + u", "n")} AS precision_upper, {ratio_sql("flo", "f")} AS fit_lower, {ratio_sql("fhi", "f")} AS fit_upper,
        coalesce(nb, 0) AS n_blockers, CASE WHEN gated THEN 'not_ready' WHEN coalesce(nb, 0) = 0 AND bad = 0 THEN 'ready' ELSE 'indeterminate' END AS readiness
-FROM k LEFT JOIN b USING (candidate_id) LEFT JOIN g USING (candidate_id)
+FROM supplier LEFT JOIN k ON s_suppkey = k.candidate_id LEFT JOIN b USING (candidate_id) LEFT JOIN g USING (candidate_id)
 """)
 def evaluation_board(t: Tables) -> DataFrame:
-    """The whole evaluation job over every supplier with lines."""
+    """The whole evaluation job over every supplier, those without lines too."""
     rows = locators(t)
-    candidates = t.supplier.join(t.lineitem, F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select(
-        F.col("s_suppkey").alias("candidate_id"), F.lit("valid").alias("validity")
-    )
+    candidates = t.supplier.select(F.col("s_suppkey").alias("candidate_id"), F.lit("valid").alias("validity"))
     board = evaluate_candidates(rows, candidates, GATE_RULES, FIT_CREDITS, SELECTIVITY_CREDITS)
     return board.select(
         "candidate_id", "precision_lower", "precision_upper", "fit_lower", "fit_upper", "n_blockers", "readiness"

@@ -10,14 +10,13 @@ from folioscope.functions.numbers import bucket_of
 from folioscope.functions.ranking import bucketed_position
 from folioscope.operators import diff, measure, pages
 from folioscope.plans.registry import Tables, query
-from folioscope.sources.readers import spread
 
 PAGES_PER_CHUNK = 10
 
 
 def texts(t: Tables, *columns: str) -> DataFrame:
-    """Document texts with the named columns, over all cores."""
-    return spread(t.documents.select("doc_id", "text", *columns), "doc_id")
+    """Document texts with the named columns."""
+    return t.documents.select("doc_id", "text", *columns)
 
 
 def ranked_documents(t: Tables) -> DataFrame:
@@ -491,7 +490,7 @@ def metadata_only(t: Tables) -> DataFrame:
 
     old = measurement("'first'", "n_chars", False)
     new = measurement("if(doc_id % 4 = 0, 'second', 'first')", "if(doc_id % 5 = 0, n_chars + 1, n_chars)", True)
-    leaves = [diff.flatten_json(d, ["doc_id"], "json", depth=2) for d in (old, new)]
+    leaves = [diff.flatten_json(d, ["doc_id"], "json") for d in (old, new)]
     return diff.metadata_only(
         *leaves, ["doc_id"], dropped=["/metadata_correction"], restored=["/protocol/source_role_note"]
     )

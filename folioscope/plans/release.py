@@ -16,8 +16,8 @@ from folioscope.sources.entities import explode_releases
 def _none_of(releases: DataFrame, problems: DataFrame, check: str) -> DataFrame:
     """One check row per release: it has none of these problems."""
     counted = problems.groupBy("release_id").agg(F.count("*").alias("n"), F.min("detail").alias("first"))
-    joined = releases.select("release_id").join(counted, "release_id", "left")
-    return check_rows(joined, check, F.col("release_id"), F.col("n").isNull(), F.col("first"))
+    joined = releases.select("release_id", "scope").join(counted, "release_id", "left")
+    return check_rows(joined, check, F.col("scope"), F.col("n").isNull(), F.col("first"))
 
 
 def audit_releases(
@@ -31,50 +31,67 @@ def audit_releases(
     ``registrations(state, stage, schema_version, path, sha256)`` and
     ``expected`` with the same columns, ``state`` being the release id.
     """
+    # The key of a release is its descriptor's path, which is always there and keeps
+    # two descriptors of one id apart; the id it states names its check rows.
     parts = explode_releases(docs)
-    releases, bindings = parts["releases"], parts["bindings"]
-    archives, declared = parts["archives"], parts["declared"]
+    releases = parts["releases"].withColumns({
+        "stated": F.col("release_id"), "release_id": F.col("path"), "scope": F.coalesce("release_id", "path"),
+    })
+    bindings, archives, declared = (
+        parts[name].withColumn("release_id", F.col("descriptor")).drop("descriptor")
+        for name in ("bindings", "archives", "declared")
+    )
     profiled = identity.select_profile(releases, profiles)
-    scope = F.col("release_id")
+    scope = F.col("scope")
 
-    shape = identity.binding_shape(bindings).filter("not (sha_ok and path_ok)").select(
+    bound = bindings.select("release_id", "path", "sha256").unionByName(
+        archives.select("release_id", F.col("archive").alias("path"), "sha256")
+    )
+    shape = identity.binding_shape(bound).filter("not (sha_ok and path_ok)").select(
         "release_id", F.col("path").alias("detail")
+    ).unionByName(
+        declared.filter(~F.coalesce(identity.safe_path(F.col("name")), F.lit(False))).select(
+            "release_id", F.col("name").alias("detail")
+        )
     )
-    own = releases.select("release_id", "path")
-    dupes = identity.binding_dupes(bindings.select("release_id", "path").unionByName(
-        archives.select("release_id", F.col("archive").alias("path"))
-    ), own).select("release_id", F.concat_ws(": ", "problem", "path").alias("detail"))
+    nameless = releases.filter("stated is null").select("release_id", F.lit("release_id").alias("detail"))
+    dupes = identity.binding_dupes(bound.select("release_id", "path"), releases.select("release_id", "path")).select("release_id", F.concat_ws(": ", "problem", "path").alias("detail"))
 
     with_role = bindings.filter("role is not null").join(
         profiled.select("release_id", "profile"), "release_id"
     )
-    roles = identity.role_check(with_role, identity.role_table()).select(
+    roles = identity.role_check(with_role, identity.role_table(), profiled).select(
         "release_id", F.concat_ws(": ", "problem", "role").alias("detail")
     )
 
-    bound = bindings.select("release_id", "path", "sha256").unionByName(
-        archives.select("release_id", F.col("archive").alias("path"), "sha256")
-    )
     found = files.groupBy("path").agg(F.max("sha256").alias("_have"))
     bytes_differ = bound.join(found, "path", "left").filter(
         F.col("_have").isNull() | (F.col("_have") != F.col("sha256"))
     ).select("release_id", F.col("path").alias("detail"))
 
-    # An archive is judged against the bindings of its own release only.
-    own_path = F.concat_ws("|", "release_id", "artifact_path")
-    own_declared = declared.select("archive", "name", own_path.alias("artifact_path"))
-    own_bindings = bindings.select(F.concat_ws("|", "release_id", "path").alias("path"), "role", "sha256")
-    owner = archives.select("archive", "release_id")
-    per_member = identity.audit_bundle(members, own_declared, own_bindings).filter("status <> 'ok'")
+    # An archive is judged for each release that declares it, against that release's
+    # own bindings. Its members meet every such release.
+    own = lambda *columns: F.concat_ws("|", "release_id", *columns)
+    named = archives.select("release_id", "archive").distinct()
+    own_members = members.join(named, "archive").select(own("archive").alias("archive"), "name", "sha256")
+    own_declared = declared.select(own("archive").alias("archive"), "name", own("artifact_path").alias("artifact_path"))
+    own_bindings = bindings.select(own("path").alias("path"), "role", "sha256")
+    owner = named.select(own("archive").alias("archive"), "release_id", F.col("archive").alias("given"))
+    per_member = identity.audit_bundle(own_members, own_declared, own_bindings).filter("status <> 'ok'")
+    empty = named.join(declared, ["release_id", "archive"], "left_anti").select(
+        "release_id", F.concat(F.lit("no members: "), "archive").alias("detail")
+    )
     member_problems = per_member.join(owner, "archive").select(
         "release_id", F.concat_ws(": ", "status", "name").alias("detail")
+    ).unionByName(empty)
+    held = identity.bundle_roles(own_declared, own_bindings, identity.FREEZE_ROLES)
+    freeze = owner.join(held, "archive", "left").filter(~F.coalesce("complete", F.lit(False))).select(
+        "release_id", F.col("given").alias("detail")
     )
-    freeze = identity.bundle_roles(own_declared, own_bindings, identity.FREEZE_ROLES).filter(
-        "not complete"
-    ).join(owner, "archive").select("release_id", F.col("archive").alias("detail"))
-    registered = identity.unique_registration(registrations, expected).filter("status <> 'ok'").select(
-        F.col("state").alias("release_id"), F.concat_ws(": ", "status", "stage").alias("detail")
-    )
+    stray = members.select("archive").distinct().join(named.select("archive").distinct(), "archive", "left_anti")
+    registered = identity.unique_registration(registrations, expected).filter("status <> 'ok'").join(
+        releases.select(F.col("stated").alias("state"), "release_id"), "state"
+    ).select("release_id", F.concat_ws(": ", "status", "stage").alias("detail"))
 
     return all_checks([
         check_rows(
@@ -94,4 +111,6 @@ def audit_releases(
         _none_of(releases, member_problems, "archive_members"),
         _none_of(releases, freeze, "archive_freeze_proof"),
         _none_of(releases, registered, "registrations"),
+        _none_of(releases, nameless, "release_id"),
+        check_rows(stray, "archive_declared", F.col("archive"), F.lit(False), F.lit("no release declares it")),
     ])

@@ -56,7 +56,8 @@ def explode_releases(docs: DataFrame) -> dict[str, DataFrame]:
     """Release descriptors ``docs(path, json)`` as tables of their parts.
 
     ``releases`` one row per descriptor; ``bindings`` artifacts by role and
-    evidence without a role; ``archives`` and ``declared`` archive members.
+    evidence without a role; ``archives`` and ``declared`` archive members. All
+    but the first name their descriptor's path, since a release id may be absent.
     """
     doc = F.try_parse_json("json")
     text = lambda name: F.try_variant_get(doc, f"$.{name}", "string")
@@ -65,24 +66,25 @@ def explode_releases(docs: DataFrame) -> dict[str, DataFrame]:
         text("methodology_commit").alias("revision"), text("artifact_freeze_commit").alias("freeze_commit"),
     )
     binding = "struct<path:string,sha256:string>"
+    own = F.col("path").alias("descriptor")
     part = lambda name, kind: F.try_variant_get(doc, f"$.{name}", kind)
     roles = docs.select(
-        text("release_id").alias("release_id"), F.explode(part("artifacts", f"map<string,{binding}>")).alias("role", "b")
+        own, text("release_id").alias("release_id"), F.explode(part("artifacts", f"map<string,{binding}>")).alias("role", "b")
     )
     evidence = docs.select(
-        text("release_id").alias("release_id"), F.lit(None).cast("string").alias("role"),
+        own, text("release_id").alias("release_id"), F.lit(None).cast("string").alias("role"),
         F.explode(part("evidence", f"array<{binding}>")).alias("b"),
     )
-    bindings = roles.unionByName(evidence).select("release_id", "role", "b.path", "b.sha256")
+    bindings = roles.unionByName(evidence).select("descriptor", "release_id", "role", "b.path", "b.sha256")
     archives = docs.select(
-        text("release_id").alias("release_id"),
+        own, text("release_id").alias("release_id"),
         F.explode(part("checkpoints", "array<struct<path:string,sha256:string,members:map<string,string>>>")).alias("c"),
     )
     return {
         "releases": releases,
         "bindings": bindings,
-        "archives": archives.select("release_id", F.col("c.path").alias("archive"), F.col("c.sha256").alias("sha256")),
+        "archives": archives.select("descriptor", "release_id", F.col("c.path").alias("archive"), F.col("c.sha256").alias("sha256")),
         "declared": archives.select(
-            "release_id", F.col("c.path").alias("archive"), F.explode("c.members").alias("name", "artifact_path")
+            "descriptor", "release_id", F.col("c.path").alias("archive"), F.explode("c.members").alias("name", "artifact_path")
         ),
     }

@@ -96,12 +96,3 @@ def read_layout(spark: SparkSession, path: str | list[str], row_tag: str = "doc"
     ))
     return layout_from_pages(pages, lines)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the files give fewer partitions than there are cores.
-
-    Work per row such as text cleaning would otherwise run in a few tasks. Larger
-    inputs have more splits than cores and are returned as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -27,10 +27,9 @@ def test_hot_join_equals_join(spark, rows):
     small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("low")).filter("k is null or k <> 'c'")
     low = {r.k: r.low for r in small.collect()}
     inner = sorted([(k, i, low[k]) for k, i in data if k in low], key=repr)
-    for limit in (0, 20, 10**6):
-        assert rows(hot_join(big, small, ["k"], "n", hot_rows=limit)) == inner
-        left = rows(hot_join(big, small, ["k"], "n", "left", hot_rows=limit))
-        assert left == sorted([(k, i, low.get(k)) for k, i in data], key=repr)
+    assert rows(hot_join(big, small, ["k"], "n")) == inner
+    left = rows(hot_join(big, small, ["k"], "n", "left"))
+    assert left == sorted([(k, i, low.get(k)) for k, i in data], key=repr)
 
 
 def test_dangling_keeps_every_row(spark, rows):
@@ -50,6 +49,18 @@ def test_range_join_equals_brute_force(spark, rows):
     assert range_join(p, r.filter("false"), ["g"], "x", "lo", "hi", how="left").count() == 200
 
 
+def test_ranges_of_every_length(spark, rows):
+    ranges = [("a", 0, 3 * 10**12, "huge"), ("a", 5, 9, "tiny"), ("b", -(2**62), 2**62, "all"), ("b", 9, 5, "reversed"),
+              ("a", 10**12, 10**12 + 50_000, "middle")]
+    points = [(g, x) for g in "abc" for x in (-1, 0, 7, 10**12 + 7, 3 * 10**12, 3 * 10**12 + 1, 2**62)]
+    p = spark.createDataFrame(points, "g string, x bigint")
+    r = spark.createDataFrame(ranges, "g string, lo bigint, hi bigint, name string")
+    want = [(g, x, n) for g, x in points for h, lo, hi, n in ranges if g == h and lo <= x <= hi]
+    assert rows(range_join(p, r, ["g"], "x", "lo", "hi").select("g", "x", "name")) == sorted(want, key=repr)
+    alone = [(g, x, None) for g, x in points if not any(w[:2] == (g, x) for w in want)]
+    assert rows(range_join(p, r, ["g"], "x", "lo", "hi", how="left").select("g", "x", "name")) == sorted(want + alone, key=repr)
+
+
 def test_same_child_id_under_two_parents(spark):
     df = spark.createDataFrame([("t1", "f1"), ("t2", "f1")], "task string, facet string")
     assert coverage.dupes(df, ["task", "facet"]).count() == 0

@@ -26,10 +26,14 @@ def test_flatten_keeps_missing_null_and_empty_apart(spark):
     assert whole["/d/m~0n"] == '[true,{"k":"v"}]'
 
 
-def test_deeper_than_the_depth_is_compared_whole(spark):
-    old, new = {"1": {"a": {"b": {"c": {"d": 1}}}}}, {"1": {"a": {"b": {"c": {"d": 2}}}}}
-    got = diff.diff_fields(leaves(spark, old, depth=2), leaves(spark, new, depth=2), KEY).first()
-    assert (got.pointer, got.before, got.after) == ("/a/b", '{"c":{"d":1}}', '{"c":{"d":2}}')
+def test_documents_are_flattened_to_the_end(spark):
+    def nested(x):
+        for _ in range(11):
+            x = {'b"[': [x]}
+        return {"1": x, "2": "[{"}
+
+    got = diff.diff_fields(leaves(spark, nested(1)), leaves(spark, nested(2)), KEY).collect()
+    assert [(r.pointer, r.before, r.after) for r in got] == [('/b"[/0' * 11, "1", "2")]
 
 
 def random_doc(rng, depth=0):
@@ -109,6 +113,45 @@ def test_opportunity_diff(spark, rows):
     assert got == [(1, "changed"), (2, "unchanged"), (3, "removed"), (4, "added")]
 
 
+def test_removals_dispute_and_win(spark, rows):
+    changes = spark.createDataFrame(
+        [("r", "A", "/p", None), ("r", "B", "/p", "x"), ("s", "A", "/p", None), ("s", "B", "/p", "x"),
+         ("t", "A", "/p", None), ("u", "A", "/p", "x"), ("u", "B", "/p", "y")],
+        "id string, component string, pointer string, value string",
+    )
+    rules = spark.createDataFrame(
+        [("s", "/p", "A"), ("u", "/p", "A"), ("u", "/p", "B")], "id string, pointer string, component string"
+    )
+    resolved, unresolved = diff.resolve_overlap(changes, rules, KEY)
+    assert rows(resolved) == [("s", "/p", None), ("t", "/p", None)]
+    assert rows(unresolved.select("id")) == [("r",), ("u",)]
+
+
+def test_unclear_records_have_a_status_of_their_own(spark, rows):
+    side = "id int, sha string"
+    old = spark.createDataFrame([(1, None), (2, "a"), (2, "b"), (3, None), (5, "x")], side)
+    new = spark.createDataFrame([(1, None), (2, "b"), (4, None), (5, "x")], side)
+    assert rows(diff.diff_records(old, new, ["id"], "sha").select("id", "status")) == [
+        (1, "no_digest"), (2, "duplicate_key"), (3, "removed"), (4, "added"), (5, "unchanged")]
+    patches = spark.createDataFrame([(1, "put", "a", 1), (1, "put", "b", 1), (2, "put", "a", 1), (2, "put", "a", 2)],
+                                    "id int, action string, v string, seq int")
+    assert rows(diff.patch_ties(patches, ["id"])) == [(1, 1, 2)]
+
+
+def test_swapped_records_are_not_equal(spark):
+    part = "g string, id int, w int"
+    before, after = spark.createDataFrame([("a", 1, 5)], part), spark.createDataFrame([("a", 2, 5)], part)
+    assert diff.population_accounting(before, after, ["g"], "w").first()["equal"]
+    row = diff.population_accounting(before, after, ["g"], "w", ["id"]).first()
+    assert (row.n_lost, row.n_gained, row["equal"]) == (1, 1, False)
+
+
+def test_self_loop_of_a_symmetric_type(spark):
+    edges = spark.createDataFrame([("a", "same", "a"), ("a", "causes", "a"), ("a", "caused_by", "a")], "source string, type string, target string")
+    found = diff.edge_conflicts(edges, {"same": "same", "causes": "caused_by", "caused_by": "causes"})
+    assert sorted(r.detail for r in found.filter("kind = 'reversed'").collect()) == ["caused_by", "causes"]
+
+
 def test_edge_conflicts(spark, rows):
     edges = spark.createDataFrame([("a", "causes", "b"), ("b", "caused_by", "a"), ("a", "near", "b"), ("c", "causes", "d")], "source string, type string, target string")
     assert rows(diff.edge_conflicts(edges, {"causes": "caused_by", "caused_by": "causes"})) == [

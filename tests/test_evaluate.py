@@ -168,6 +168,22 @@ def test_parents_and_requirements(spark, rows):
     ]
 
 
+def test_no_readiness_without_evidence(spark):
+    sure, wrong = ("mixed", "exact_fit", "supported", "kept"), ("absent", "no_fit", "unsupported", "not_kept")
+    data = [
+        ("unmeasured", "p", "l", *sure, None), ("partly", "p", "l", *sure, True), ("partly", "p", "m", *sure, None),
+        ("unseen", "p", "l", *sure, True), ("unseen", "p", "m", *wrong, False),
+    ]
+    names = ("unmeasured", "partly", "unseen", "nothing")
+    cands = spark.createDataFrame([(c, "valid") for c in names], "candidate_id string, validity string")
+    rules = {"wrong_locator": {"premises": {"treatment": "absent"}, "at_least": 1}}
+    fit = {"exact_fit": 2, "material_partial_fit": 1, "no_fit": 0}
+    out = {r.candidate_id: r for r in evaluate_candidates(spark.createDataFrame(data, SCHEMA), cands, rules, fit, CREDITS).collect()}
+    assert set(out) == set(names)
+    assert all((r.authority, r.readiness, r.gated) == ("indeterminate", "indeterminate", False) for r in out.values())
+    assert (out["unseen"].validity, out["partly"].validity) == ("indeterminate", "valid")
+
+
 def test_candidates_end_to_end(spark):
     sure = [("mixed", "exact_fit", "supported", "kept")] * 3
     data = [("ok", "p", f"l{i}", *a, True) for i, a in enumerate(sure)]
@@ -180,4 +196,5 @@ def test_candidates_end_to_end(spark):
     assert (out["ok"].authority, out["ok"].readiness, out["ok"].precision) == ("authoritative", "ready", Decimal("1.000000"))
     assert (out["open"].authority, out["open"].readiness, out["open"].precision) == ("indeterminate", "indeterminate", None)
     assert (out["bad"].authority, out["bad"].readiness) == ("authoritative", "not_ready")
+    assert (out["empty"].authority, out["empty"].readiness) == ("indeterminate", "indeterminate")
     assert out["bad"].selectivity_lower == Decimal("2.000000")

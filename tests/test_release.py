@@ -114,7 +114,37 @@ def second_registration(r):
     r["registrations"].append(r["registrations"][0])
 
 
+def no_roles(r):
+    r["doc"]["artifacts"] = {}
+
+
+def climbing_archive(r):
+    path = f"../{r['rid']}.zip"
+    r["doc"]["checkpoints"][0]["path"] = path
+    r["files"][path] = sha("zip")
+    r["members"] = [(path, *m[1:]) for m in r["members"]]
+
+
+def climbing_member(r):
+    members = r["doc"]["checkpoints"][0]["members"]
+    members["../draft.json"] = f"{r['rid']}/draft.json"
+    r["members"].append((f"{r['rid']}/a.zip", "../draft.json", sha("draft")))
+
+
+def no_members(r):
+    r["doc"]["checkpoints"][0]["members"] = {}
+    r["members"] = []
+
+
+def no_id(r):
+    del r["doc"]["release_id"]
+    r["doc"]["artifacts"]["draft"]["sha256"] = "0" * 63
+
+
 CASES = [
+    (no_roles, {"roles", "archive_members", "archive_freeze_proof"}), (climbing_archive, {"binding_shape"}),
+    (climbing_member, {"binding_shape"}), (no_members, {"archive_members", "archive_freeze_proof"}),
+    (no_id, {"field_set", "release_id", "binding_shape", "artifact_bytes", "archive_members"}),
     (drop_role, {"roles"}), (extra_field, {"field_set"}), (wrong_pin, {"profile"}), (short_commit, {"freeze_commit"}),
     (duplicate_path, {"distinct_paths"}), (binds_itself, {"distinct_paths"}), (climbing_path, {"binding_shape"}),
     (changed_bytes, {"artifact_bytes"}), (missing_file, {"artifact_bytes"}), (swapped_member, {"archive_members"}),
@@ -156,8 +186,10 @@ def failed(spark):
         spark.createDataFrame(every("registrations"), reg), spark.createDataFrame(expected, reg),
     )
     rows = checks.collect()
-    assert all(sum(r.scope == x["rid"] for r in rows) == 11 for x in releases)
-    return {x["rid"]: {r.check for r in rows if r.scope == x["rid"] and not r.ok} for x in releases}
+    # A release without an id is named by its descriptor.
+    names = {x["rid"]: {x["rid"], f"rel/{x['rid']}.json"} for x in releases}
+    assert all(sum(r.scope in names[x["rid"]] for r in rows) == 12 for x in releases)
+    return {x["rid"]: {r.check for r in rows if r.scope in names[x["rid"]] and not r.ok} for x in releases}
 
 
 def test_valid_release_passes(failed):
@@ -169,5 +201,28 @@ def test_one_change_fails_its_own_check(failed, edit, checks):
     assert failed[edit.__name__] == checks
 
 
+def test_shared_and_stray_archives(spark):
+    """One archive path bound by two releases is judged for each; an archive nobody declares is reported."""
+    a, b = valid("a"), valid("b")
+    b["doc"]["checkpoints"] = copy.deepcopy(a["doc"]["checkpoints"])
+    members = b["doc"]["checkpoints"][0]["members"]
+    for name, path in members.items():
+        members[name] = path.replace("a/", "b/", 1)
+    b["doc"]["artifacts"]["draft"]["sha256"] = sha("other draft")
+    b["files"]["b/draft.json"] = sha("other draft")
+    texts = [(f"rel/{r['rid']}.json", canonical(seal(r["doc"]))) for r in (a, b)]
+    reg = "state string, stage string, schema_version string, path string, sha256 string"
+    files = {**a["files"], **b["files"]}
+    rows = audit_releases(
+        spark.createDataFrame(texts, "path string, json string"),
+        spark.createDataFrame(list(files.items()), "path string, sha256 string"),
+        spark.createDataFrame(a["members"] + [("z.zip", "x", sha("x"))], "archive string, name string, sha256 string"),
+        PROFILES, spark.createDataFrame(a["registrations"] + b["registrations"], reg), spark.createDataFrame([], reg),
+    ).filter("not ok").collect()
+    in_archive = {m[2:-5] for m in members}
+    want = {("z.zip", "archive_declared")} | ({("b", "archive_members")} if "draft" in in_archive else set())
+    assert {(r.scope, r.check) for r in rows} == want
+
+
 def test_unsealed_change_fails_the_self_hash(failed):
     assert failed["unsealed"] == {"self_hash"}

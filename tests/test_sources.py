@@ -81,12 +81,6 @@ def test_snapshots_and_checks(spark, tmp_path):
     assert (r.n_checks, r.n_failed, r.ok) == (9, 1, False)
 
 
-def test_spread_only_where_cores_would_idle(spark):
-    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(64)
-    assert readers.spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert readers.spread(many, "id").rdd.getNumPartitions() == 64
-
-
 def test_lineage_cut_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert cut_lineage(df).agg(F.sum("x")).first()[0] == 90
