@@ -25,6 +25,15 @@ KEEPS = ["kept", "not_kept"]
 AXES = ["treatment", "fit", "judgment", "keep"]
 
 UNKNOWN = "?"
+# Fixed value: the treatment of a row that physically can't be inspected. It is no
+# semantic state, so it takes part in no world of the other axes.
+UNAVAILABLE = "unavailable"
+
+
+def is_unavailable() -> Column:
+    """A row recorded as unavailable; with any other axis settled it contradicts itself."""
+    others = F.col("fit").isNull() & F.col("judgment").isNull() & F.col("keep").isNull()
+    return F.coalesce((F.col("treatment") == UNAVAILABLE) & others, F.lit(False))
 
 
 def world_table() -> list[dict[str, str]]:
@@ -119,8 +128,15 @@ def locator_counts(locators: DataFrame, by: list[str]) -> DataFrame:
 
 
 def worlds(locators: DataFrame) -> DataFrame:
-    """One row per locator and consistent world; the settled values as ``w_*``."""
-    rows = with_patterns(locators, ["worlds"]).withColumn("w", F.explode("worlds")).drop("worlds")
+    """One row per locator and consistent world; the settled values as ``w_*``.
+
+    An unavailable row has one world of its own, in which no other axis has a value.
+    """
+    own = F.array(F.struct(*[
+        (F.lit(UNAVAILABLE) if a == "treatment" else F.lit(None).cast("string")).alias(a) for a in AXES
+    ]))
+    every = F.when(is_unavailable(), own).otherwise(F.col("worlds"))
+    rows = with_patterns(locators, ["worlds"]).withColumn("w", F.explode(every)).drop("worlds")
     return rows.withColumns({f"w_{a}": F.col(f"w.{a}") for a in AXES}).drop("w")
 
 
@@ -138,7 +154,7 @@ def validate_axes(locators: DataFrame) -> DataFrame:
         for a in AXES
     ]))
     keys = ["candidate_id", "path_id", "locator_id"]
-    inconsistent = F.coalesce(F.col("n_worlds"), F.lit(0)) == 0
+    inconsistent = (F.coalesce(F.col("n_worlds"), F.lit(0)) == 0) & ~is_unavailable()
     empty = F.array(F.struct(
         F.lit(None).cast("string").alias("axis"), F.lit(None).cast("string").alias("forced")
     ))
@@ -159,7 +175,7 @@ def classify(rows: DataFrame) -> DataFrame:
     )
     status = (
         F.when(F.col("inspected").isNull(), "not_measured")
-        .when(~F.col("inspected"), "uninspectable").otherwise(settled)
+        .when(~F.col("inspected") | is_unavailable(), "uninspectable").otherwise(settled)
     )
     return rows.withColumn("judgment_class", status)
 
@@ -234,7 +250,7 @@ def axis_interval(rows: DataFrame, axis: str, credits: dict[str, int]) -> DataFr
 def axis_aggregates() -> dict[str, Column]:
     """Sums over ``axis_interval`` rows."""
     return {
-        "n_scored": F.count("axis_lo"), "n_inconsistent": F.count_if(F.col("axis_lo").isNull()),
+        "n_scored": F.count("axis_lo"), "n_inconsistent": F.count_if(F.col("axis_lo").isNull() & ~is_unavailable()),
         "n_unresolved": F.count_if(F.col("axis_lo") < F.col("axis_hi")),
         "credit_lower": F.sum("axis_lo").cast("bigint"), "credit_upper": F.sum("axis_hi").cast("bigint"),
     }
@@ -288,7 +304,7 @@ def selectivity_interval(rows: DataFrame, credits: dict[str, int]) -> DataFrame:
     must = can & (F.size(applicable) == F.size("v_treatment"))
     return rows.withColumns({
         "sel_lo": F.array_min(level), "sel_hi": F.array_max(level),
-        "sel_none": F.size("v_treatment") == 0, "sel_must": must, "sel_may": can & ~must,
+        "sel_none": (F.size("v_treatment") == 0) & ~is_unavailable(), "sel_must": must, "sel_may": can & ~must,
     })
 
 
@@ -353,7 +369,7 @@ def unresolved_axes() -> Column:
     ``keep`` is named only while the keep decision itself is open; a known
     non-keep with an open subtype names ``judgment``.
     """
-    return F.when(F.col("inspected"), F.array_compact(F.array(
+    return F.when(F.col("inspected") & ~is_unavailable(), F.array_compact(F.array(
         F.when(F.col("treatment").isNull(), "treatment"),
         F.when(F.col("fit").isNull(), "fit"),
         F.when(F.col("judgment_class") == "not_kept_subtype_unresolved", "judgment"),
@@ -386,10 +402,11 @@ def _gate_states(premises: dict[str, str]) -> tuple[Column, Column]:
     """Whether a row is evidence for a gate, and whether it still may be.
 
     Only an inspected row is evidence; a row not measured yet may become it, an
-    uninspectable one never.
+    uninspectable or unavailable one never.
     """
-    known = F.coalesce(F.col("inspected"), F.lit(False))
-    possible = F.coalesce(F.col("inspected"), F.lit(True))
+    there = ~is_unavailable()
+    known = F.coalesce(F.col("inspected"), F.lit(False)) & there
+    possible = F.coalesce(F.col("inspected"), F.lit(True)) & there
     for column, value in premises.items():
         equal = F.col(column) == F.lit(value)
         known = known & F.coalesce(equal, F.lit(False))

@@ -16,14 +16,14 @@ CANDIDATE = ["candidate_id"]
 # The axes of a line. Known values follow the line's flags; some are left open,
 # and some contradict each other on purpose.
 AXES_SQL = {
-    "treatment": """CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'substantive' WHEN l_returnflag = 'N' THEN 'mixed'
+    "treatment": """CASE WHEN l_orderkey % 53 = 0 THEN 'unavailable' WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_returnflag = 'A' THEN 'substantive' WHEN l_returnflag = 'N' THEN 'mixed'
                          WHEN l_partkey % 2 = 0 THEN 'weak' ELSE 'absent' END""",
-    "fit": """CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'exact_fit'
+    "fit": """CASE WHEN l_orderkey % 53 = 0 THEN CASE WHEN l_linenumber = 1 THEN 'exact_fit' END WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_linestatus = 'O' THEN 'exact_fit'
                    WHEN l_partkey % 3 = 0 THEN 'material_partial_fit' ELSE 'no_fit' END""",
-    "judgment": """CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN 'partially_supported'
+    "judgment": """CASE WHEN l_orderkey % 53 = 0 OR l_orderkey % 3 = 0 THEN NULL WHEN l_linestatus = 'F' AND l_partkey % 3 = 0 THEN 'partially_supported'
                         WHEN l_linestatus = 'F' THEN 'unsupported' WHEN l_returnflag = 'R' OR l_linenumber % 2 = 0 THEN 'partially_supported'
                         ELSE 'supported' END""",
-    "keep": """CASE WHEN l_orderkey % 4 < 2 THEN NULL WHEN l_linestatus = 'F' OR l_returnflag = 'R' OR l_linenumber % 2 = 0 THEN 'not_kept'
+    "keep": """CASE WHEN l_orderkey % 53 = 0 OR l_orderkey % 4 < 2 THEN NULL WHEN l_linestatus = 'F' OR l_returnflag = 'R' OR l_linenumber % 2 = 0 THEN 'not_kept'
                     ELSE 'kept' END""",
     "inspected": "CASE WHEN l_orderkey % 51 = 0 THEN NULL ELSE l_orderkey % 50 <> 0 END",
 }
@@ -39,8 +39,9 @@ def locators(t: Tables) -> DataFrame:
 
 LOCATORS_SQL = f"""
 WITH loc AS (
-  SELECT l_suppkey AS candidate_id, l_orderkey AS path_id, l_linenumber || '-' || l_partkey AS locator_id,
-         {", ".join(f"{sql} AS {name}" for name, sql in AXES_SQL.items())} FROM lineitem),
+  SELECT *, coalesce(treatment = 'unavailable' AND fit IS NULL AND judgment IS NULL AND keep IS NULL, false) AS una FROM (
+    SELECT l_suppkey AS candidate_id, l_orderkey AS path_id, l_linenumber || '-' || l_partkey AS locator_id,
+           {", ".join(f"{sql} AS {name}" for name, sql in AXES_SQL.items())} FROM lineitem)),
 w AS (
   SELECT wt, wf, wj, CASE WHEN wj = 'supported' THEN 'kept' ELSE 'not_kept' END AS wk
   FROM (VALUES ('substantive'), ('mixed'), ('weak'), ('absent')) a(wt), (VALUES ('exact_fit'), ('material_partial_fit'), ('no_fit')) b(wf),
@@ -61,7 +62,7 @@ ps AS (
   FROM pw GROUP BY 1, 2, 3, 4),
 c AS (
   SELECT loc.*, ps.* EXCLUDE (treatment, fit, judgment, keep),
-         CASE WHEN inspected IS NULL THEN 'not_measured' WHEN NOT inspected THEN 'uninspectable' WHEN nj = 1 THEN mj
+         CASE WHEN inspected IS NULL THEN 'not_measured' WHEN NOT inspected OR una THEN 'uninspectable' WHEN nj = 1 THEN mj
               WHEN nk > 1 THEN 'semantic_unresolved' WHEN nj > 1 THEN 'not_kept_subtype_unresolved' ELSE 'inconsistent' END AS judgment_class
   FROM loc JOIN ps ON loc.treatment IS NOT DISTINCT FROM ps.treatment AND loc.fit IS NOT DISTINCT FROM ps.fit
     AND loc.judgment IS NOT DISTINCT FROM ps.judgment AND loc.keep IS NOT DISTINCT FROM ps.keep)
@@ -106,6 +107,7 @@ def locator_counts(t: Tables) -> DataFrame:
 SELECT wt AS w_treatment, wf AS w_fit, wj AS w_judgment, wk AS w_keep, count(*) AS n FROM loc JOIN pw
   ON loc.treatment IS NOT DISTINCT FROM pw.treatment AND loc.fit IS NOT DISTINCT FROM pw.fit AND loc.judgment IS NOT DISTINCT FROM pw.judgment AND loc.keep IS NOT DISTINCT FROM pw.keep
 WHERE wt IS NOT NULL GROUP BY 1, 2, 3, 4
+UNION ALL SELECT 'unavailable', NULL, NULL, NULL, count(*) FROM loc WHERE una HAVING count(*) > 0
 """)
 def axis_worlds(t: Tables) -> DataFrame:
     """How many locators admit each consistent world."""
@@ -116,7 +118,7 @@ def axis_worlds(t: Tables) -> DataFrame:
 
 @query(LOCATORS_SQL + """
 , v AS (
-  SELECT candidate_id, 'inconsistent' AS problem, NULL AS axis, NULL AS forced FROM c WHERE n_worlds = 0
+  SELECT candidate_id, 'inconsistent' AS problem, NULL AS axis, NULL AS forced FROM c WHERE n_worlds = 0 AND NOT una
   UNION ALL SELECT candidate_id, 'forced', 'treatment', mt FROM c WHERE treatment IS NULL AND nt = 1
   UNION ALL SELECT candidate_id, 'forced', 'fit', mf FROM c WHERE fit IS NULL AND nf = 1
   UNION ALL SELECT candidate_id, 'forced', 'judgment', mj FROM c WHERE judgment IS NULL AND nj = 1
@@ -149,7 +151,7 @@ SELECTIVITY_CREDITS = {"substantive": 4, "mixed": 2, "weak": 0}
 
 
 @query(LOCATORS_SQL + f"""
-, s AS (SELECT candidate_id, count(fit_lo) AS n, count(*) - count(fit_lo) AS bad, count(*) FILTER (fit_lo < fit_hi) AS u, CAST(sum(fit_lo) AS BIGINT) AS lo, CAST(sum(fit_hi) AS BIGINT) AS hi FROM c GROUP BY 1)
+, s AS (SELECT candidate_id, count(fit_lo) AS n, count(*) FILTER (fit_lo IS NULL AND NOT una) AS bad, count(*) FILTER (fit_lo < fit_hi) AS u, CAST(sum(fit_lo) AS BIGINT) AS lo, CAST(sum(fit_hi) AS BIGINT) AS hi FROM c GROUP BY 1)
 SELECT candidate_id, n AS n_scored, bad AS n_inconsistent, u AS n_unresolved, lo AS credit_lower, hi AS credit_upper, {ratio_sql("lo", "n")} AS mean_lower, {ratio_sql("hi", "n")} AS mean_upper FROM s
 """)
 def axis_bounds(t: Tables) -> DataFrame:
@@ -168,7 +170,7 @@ def population_counts(t: Tables) -> DataFrame:
 
 
 @query(LOCATORS_SQL + f"""
-, r AS (SELECT candidate_id, n_worlds = 0 AS bad, sel_lo IS NOT NULL AND NOT can_be_absent AS must, sel_lo IS NOT NULL AND can_be_absent AS may, sel_lo, sel_hi FROM c),
+, r AS (SELECT candidate_id, n_worlds = 0 AND NOT una AS bad, sel_lo IS NOT NULL AND NOT can_be_absent AS must, sel_lo IS NOT NULL AND can_be_absent AS may, sel_lo, sel_hi FROM c),
 b AS (SELECT candidate_id, count(*) AS n, count(*) FILTER (bad) AS bad, count(*) FILTER (must) AS d, count(*) FILTER (may) AS o,
              coalesce(sum(sel_lo) FILTER (must), 0) AS c_lo, coalesce(sum(sel_hi) FILTER (must), 0) AS c_hi FROM r GROUP BY 1),
 lv AS (SELECT candidate_id, 'lo' AS side, sel_lo AS credit, count(*) AS n FROM r WHERE may GROUP BY 1, 3 UNION ALL SELECT candidate_id, 'hi', sel_hi, count(*) FROM r WHERE may GROUP BY 1, 3),
@@ -189,7 +191,7 @@ BLOCKERS_SQL = LOCATORS_SQL + """
 , bl AS (
   SELECT candidate_id, path_id, locator_id, judgment_class, list_filter([CASE WHEN treatment IS NULL THEN 'treatment' END, CASE WHEN fit IS NULL THEN 'fit' END,
          CASE WHEN judgment_class = 'not_kept_subtype_unresolved' THEN 'judgment' END, CASE WHEN judgment_class = 'semantic_unresolved' THEN 'keep' END], lambda x: x IS NOT NULL) AS axes
-  FROM c WHERE inspected)
+  FROM c WHERE inspected AND NOT una)
 """
 
 
@@ -227,8 +229,8 @@ GATE_RULES = {
 def gate_sql() -> str:
     parts = []
     for gate, rule in GATE_RULES.items():
-        known = "coalesce(inspected, false) AND " + " AND ".join(f"coalesce({c} = '{v}', false)" for c, v in rule["premises"].items())
-        possible = "coalesce(inspected, true) AND " + " AND ".join(f"coalesce({c} = '{v}', true)" for c, v in rule["premises"].items())
+        known = "coalesce(inspected, false) AND NOT una AND " + " AND ".join(f"coalesce({c} = '{v}', false)" for c, v in rule["premises"].items())
+        possible = "coalesce(inspected, true) AND NOT una AND " + " AND ".join(f"coalesce({c} = '{v}', true)" for c, v in rule["premises"].items())
         parts.append(
             f"SELECT candidate_id, '{gate}' AS gate, {rule['at_least']} AS at_least, count(*) FILTER ({known}) AS n_confirmed, "
             f"count(*) FILTER ({possible}) AS n_possible FROM loc GROUP BY 1"
@@ -255,7 +257,7 @@ def gate_evidence(t: Tables) -> DataFrame:
 
 
 @query(GATES_SQL + """
-, bl AS (SELECT candidate_id, count(*) AS n FROM c WHERE inspected AND (treatment IS NULL OR fit IS NULL OR judgment_class IN ('not_kept_subtype_unresolved', 'semantic_unresolved')) GROUP BY 1),
+, bl AS (SELECT candidate_id, count(*) AS n FROM c WHERE inspected AND NOT una AND (treatment IS NULL OR fit IS NULL OR judgment_class IN ('not_kept_subtype_unresolved', 'semantic_unresolved')) GROUP BY 1),
 n AS (SELECT candidate_id, count(*) AS n FROM loc GROUP BY 1),
 f AS (SELECT candidate_id, bool_or(n_confirmed >= at_least) AS gated FROM g GROUP BY 1),
 s AS (SELECT s_suppkey AS candidate_id, CASE WHEN s_suppkey % 10 = 0 THEN 'invalid' WHEN s_suppkey % 10 = 1 THEN 'indeterminate' ELSE 'valid' END AS validity,

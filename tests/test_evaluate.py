@@ -46,7 +46,8 @@ CASES = [
     (("substantive", "exact_fit", None, None), "semantic_unresolved"),
     ((None, None, None, None), "semantic_unresolved"),
     (("absent", "exact_fit", None, None), "inconsistent"),
-    (("unavailable", None, None, None), "inconsistent"),
+    (("unavailable", None, None, None), "uninspectable"),
+    (("unavailable", "exact_fit", None, None), "inconsistent"),
     (("mixed", "material_partial_fit", None, None), "partially_supported"),
     (("mixed", "no_fit", None, None), "unsupported"),
 ]
