@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontamination, jaccard_join, mixing, token_ids, toxicity
-from folioscope.llm.shared import stored, table
+from folioscope.llm.shared import stored, table, tuned
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: one document of each group stays."""
+    tuned(spark)
     return jaccard_join.representatives(docs)
 
 
@@ -39,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID output: files of ids, read back."""
-    return token_ids.encode_documents(spark, docs)
+    return token_ids.encode_documents(tuned(spark), docs)
 
 
 STAGES = [

@@ -26,7 +26,8 @@ WINDOW = 10
 # Characters of benchmark text sent to the tasks at once.
 BLOCK_CHARS = 8_000_000
 # Bytes of document text in one index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+TEXT_FIELD = "`_dc_text` string"
 
 
 class Phrases:
@@ -123,7 +124,7 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _find(block, shard_bytes: int, first: bool, last: bool):
+def _find(block, shard_bytes: int, first: bool, last: bool, with_text: bool):
     """Adds a block's spans and items to each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +138,8 @@ def _find(block, shard_bytes: int, first: bool, last: bool):
                 spans[words.doc[w]].append(int(w - words.first[words.doc[w]]))
             for doc, item in pairs:
                 items[doc].append(phrases.names[item])
-            keep = [c for c in batch.schema.names if c not in ("_dc_hits", "_dc_items", "_dc_n", "_dc_spans")]
+            out = {"_dc_hits", "_dc_items"} | ({"_dc_text"} if last and not with_text else set())
+            keep = [c for c in batch.schema.names if c not in out]
             columns = {c: batch.column(c) for c in keep}
             columns["_dc_hits"] = pa.array([sorted(set(x)) for x in spans], pa.list_(pa.int64()))
             columns["_dc_items"] = pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))
@@ -173,8 +175,8 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[pa.Table]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
-         shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with n_words, hit_words (word numbers), items and spans (bytes to remove).
+         shard_bytes: int = SHARD_BYTES, with_text: bool = True) -> DataFrame:
+    """``docs``, with or without their text, with n_words, hit_words (word numbers), items and spans (bytes to remove).
 
     Words are runs of letters, digits and non-ASCII characters after A-Z is
     lower-cased. Null or empty texts have no words, no hits and no items; items
@@ -185,18 +187,21 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     """
     spark = docs.sparkSession
     own = ["n_words", "hit_words", "items", "spans"]
-    kept = [c for c in docs.columns if c not in own]
+    kept = [c for c in docs.columns if c not in own and c != "text"]
     out = docs.select(*kept, F.col("text").alias("_dc_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema]
     parts = list(blocks(benchmark, block_chars))
     for k, part in enumerate(parts):
         block = spark.sparkContext.broadcast(Phrases(part, window))
         last = k == len(parts) - 1
-        kind = fields + ", _dc_hits array<bigint>, _dc_items array<string>"
-        kind += ", _dc_n bigint, _dc_spans array<array<bigint>>" if last else ""
-        out = out.mapInArrow(_find(block, shard_bytes, k == 0, last), kind)
+        kinds = [x for x in fields if with_text or not last or x != TEXT_FIELD]
+        kinds += ["_dc_hits array<bigint>", "_dc_items array<string>"]
+        kinds += ["_dc_n bigint", "_dc_spans array<array<bigint>>"] if last else []
+        out = out.mapInArrow(_find(block, shard_bytes, k == 0, last, with_text), ", ".join(kinds))
+    given = [c for c in docs.columns if c in kept or (c == "text" and with_text)]
     return out.select(
-        *kept, F.col("_dc_n").alias("n_words"), F.col("_dc_hits").alias("hit_words"),
+        *[F.col("_dc_text").alias(c) if c == "text" else F.col(c) for c in given],
+        F.col("_dc_n").alias("n_words"), F.col("_dc_hits").alias("hit_words"),
         F.col("_dc_items").alias("items"), F.col("_dc_spans").alias("spans"),
     )
 
@@ -233,7 +238,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, table(spark, sf_dir, "benchmark"), with_text=False)
     return found.select(
         "doc_id", "n_words", F.size("hit_words").cast("bigint").alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),

@@ -384,11 +384,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "_jj_text"):
-        shingles, bounds = shingle_sets(batch.column("_jj_text"))
+    for batch in slices(batches, "text"):
+        shingles, bounds = shingle_sets(batch.column("text"))
         digests = [_digest(shingles[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        columns = {c: batch.column(c) for c in batch.schema.names if c != "_jj_text"}
-        yield pa.RecordBatch.from_pydict(columns | {"_jj_digest": pa.array(digests, pa.binary())})
+        yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names} | {"_jj_digest": pa.array(digests, pa.binary())})
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -402,7 +401,7 @@ def representatives(docs: DataFrame) -> DataFrame:
         F.col("class_id").alias("_jj_id"), "class_set"
     ).agg(F.min("digest").alias("_jj_set")).drop("class_set")  # of sets of one id in one class one stays
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.withColumn("_jj_text", F.col("text")).mapInArrow(_digested, kind + ", _jj_digest binary")
+    rows = docs.mapInArrow(_digested, kind + ", _jj_digest binary")
     met = rows.join(
         chosen, F.col("doc_id").eqNullSafe(F.col("_jj_id")) & (F.col("_jj_digest") == F.col("_jj_set")), "left"
     )

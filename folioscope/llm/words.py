@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
+# Bytes of text that are worked on at once; a longer text is a slice of its own.
+SLICE = 1 << 20
 
 _ALL = np.arange(256)
 BLANK = (_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D))
@@ -30,7 +32,7 @@ LOWER = np.where(UPPER, _ALL + 32, _ALL).astype(np.uint8)
 SAME = _ALL.astype(np.uint8)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.full(n, _P, U64)
@@ -40,8 +42,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i for i < n, kept for the next call of a like size."""
-    up, down = _powers(1 << max(16, int(n).bit_length()))
+    """P**i and P**-i for i < n; those for texts up to the usual size of a slice are kept."""
+    usual = SLICE + (1 << 17)
+    up, down = _powers(usual) if n <= usual else _powers.__wrapped__(n)
     return up[:n], down[:n]
 
 
@@ -77,7 +80,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches cut so that their texts hold about ``size`` bytes, one text at least."""
     for batch in batches:
         if not batch.num_rows:
