@@ -26,7 +26,7 @@ WINDOW = 10
 # Characters of benchmark text sent to the tasks at once.
 BLOCK_CHARS = 8_000_000
 # Bytes of document text in one index.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 TEXT_FIELD = "`_dc_text` string"
 
 
@@ -124,7 +124,7 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _find(block, shard_bytes: int, first: bool, last: bool, with_text: bool):
+def _find(block, shard_bytes: int, first: bool, last: bool, with_text: bool, remove: bool):
     """Adds a block's spans and items to each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +145,10 @@ def _find(block, shard_bytes: int, first: bool, last: bool, with_text: bool):
             columns["_dc_items"] = pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))
             if last:
                 columns["_dc_n"] = pa.array(words.n_words, pa.int64())
-                columns["_dc_spans"] = pa.array(
-                    [_merged(words, d, x) for d, x in enumerate(columns["_dc_hits"].to_pylist())],
-                    pa.list_(pa.list_(pa.int64())),
-                )
+                cuts = [_merged(words, d, x) for d, x in enumerate(columns["_dc_hits"].to_pylist())]
+                columns["_dc_spans"] = pa.array(cuts, pa.list_(pa.list_(pa.int64())))
+                if remove:
+                    columns["_dc_text"] = _removed(batch.column("_dc_text"), cuts)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -175,11 +175,11 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_CHARS) -> Iterator[pa.Table]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS,
-         shard_bytes: int = SHARD_BYTES, with_text: bool = True) -> DataFrame:
+         shard_bytes: int = SHARD_BYTES, with_text: bool = True, remove: bool = False) -> DataFrame:
     """``docs``, with or without their text, with n_words, hit_words (word numbers), items and spans (bytes to remove).
 
-    Words are runs of letters, digits and non-ASCII characters after A-Z is
-    lower-cased. Null or empty texts have no words, no hits and no items; items
+    With ``remove`` the spans are cut out of the text. Words are runs of letters,
+    digits and non-ASCII characters after A-Z is lower-cased. Null or empty texts have no words, no hits and no items; items
     without words never occur; an item without an id is named by an empty
     string, and items of equal names count once. Repeated documents each get
     their row. Empty tables give no rows or no hits. Columns of ``docs`` stay;
@@ -197,7 +197,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
         kinds = [x for x in fields if with_text or not last or x != TEXT_FIELD]
         kinds += ["_dc_hits array<bigint>", "_dc_items array<string>"]
         kinds += ["_dc_n bigint", "_dc_spans array<array<bigint>>"] if last else []
-        out = out.mapInArrow(_find(block, shard_bytes, k == 0, last, with_text), ", ".join(kinds))
+        out = out.mapInArrow(_find(block, shard_bytes, k == 0, last, with_text, remove), ", ".join(kinds))
     given = [c for c in docs.columns if c in kept or (c == "text" and with_text)]
     return out.select(
         *[F.col("_dc_text").alias(c) if c == "text" else F.col(c) for c in given],
@@ -206,19 +206,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     )
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            if spans:
-                raw, kept, at = texts[i].encode(), [], 0
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                texts[i] = b"".join([*kept, raw[at:]]).decode()
-        columns = {c: batch.column(c) for c in batch.schema.names if c != "spans"}
-        columns["text"] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_pydict(columns)
+def _removed(texts: pa.Array, spans: list[list[list[int]]]) -> pa.Array:
+    """Texts without their spans."""
+    out = texts.to_pylist()
+    for i, cuts in enumerate(spans):
+        if cuts:
+            raw, kept, at = out[i].encode(), [], 0
+            for a, b in cuts:
+                kept.append(raw[at:a])
+                at = b
+            out[i] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(out, pa.string())
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -226,9 +224,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     # Columns may bear the names find() adds, so they travel under others.
     given = [c for c in docs.columns if c != "text"]
     plain = docs.select("text", *[F.col(c).alias(f"_dc_{i}") for i, c in enumerate(given)])
-    found = find(plain, benchmark, **options).select(*plain.columns, "spans")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    out = found.mapInArrow(_removed, fields).select(
+    out = find(plain, benchmark, remove=True, **options).select(
         *["text" if c == "text" else F.col(f"_dc_{given.index(c)}").alias(c) for c in docs.columns]
     )
     if "n_chars" in docs.columns:

@@ -8,6 +8,7 @@ the hash (H(b) - H(a)) * P**-a, all modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 2**64)
 # Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _ALL = np.arange(256)
 BLANK = (_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D))
@@ -92,6 +93,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE) ->
             last = max(first + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(first, last - first)
             first = last
+    release()
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task, since workers live on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 class Words:
