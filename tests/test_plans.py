@@ -41,16 +41,10 @@ def test_no_rows_are_ordered_in_one_task(plans):
             assert "Window" not in near or "_n#" in near, name
 
 
-# Queries whose operator joins hot keys by a broadcast bounded by rows / HOT_ROWS.
-HOT_KEY_JOINS = {
-    "dangling_refs", "duplicate_positions", "crosswalk_shape", "chronology", "bundle_audit", "comparable", "lineage_closure"
-}
-
-
 def test_only_bounded_frames_are_broadcast(plans):
     found = {name for name, text in plans.items() if "BroadcastExchange" in text}
     axis_patterns = {name for name in found if "p_treatment" in plans[name]}
-    assert found - axis_patterns == HOT_KEY_JOINS
+    assert found == axis_patterns
 
 
 def test_scans_are_pruned(plans):
