@@ -131,15 +131,13 @@ def page_scope(nested: DataFrame, evidence: DataFrame, parent: list[str], page:
 def page_range_scope(nested: DataFrame, owners: DataFrame, parent: list[str], page: str) -> DataFrame:
     """Nested pages outside every range of their owner; ``owners(*parent, lo, hi)``.
 
-    An equi join on the parent with the range as a residual condition, so no
-    range is expanded.
+    Pages meet ranges on the parent and a bin of the page, so a parent with many
+    pages and ranges is spread over its bins.
     """
     pages = nested.select(*parent, page).distinct()
-    same = F.lit(True)
-    for k in parent:
-        same = same & (F.col(f"n.{k}") == F.col(f"o.{k}"))
-    inside = F.col(f"n.{page}").between(F.col("o.lo"), F.col("o.hi"))
-    return pages.alias("n").join(owners.alias("o"), same & inside, "left_anti")
+    ranges = owners.select(*parent, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    met = range_join(pages, ranges, parent, page, "_lo", "_hi", how="left")
+    return met.filter("_lo is null").select(*parent, page)
 
 
 def excluded_pages(refs: DataFrame, special: DataFrame, keys: list[str]) -> DataFrame:

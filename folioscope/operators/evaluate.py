@@ -16,6 +16,7 @@ from folioscope.functions.numbers import ratio
 from folioscope.functions.ranking import explode_range
 from folioscope.functions.skew import hot_join
 from folioscope.operators.coverage import canonicalize, closure
+from folioscope.session import cut_lineage
 
 # The axes and their settled states.
 TREATMENTS = ["substantive", "mixed", "weak", "absent"]
@@ -515,10 +516,12 @@ def treatment_recall(
     A unit is found when at least one valid route meets it on ``match`` (for
     instance source, subject and page); further facts and routes do not count
     twice. Totals join candidates by their scope, never each unit with each candidate.
+    Both sides of the meeting are checkpointed, so that a unit many candidates
+    route to can be split.
     """
-    unit_rows = units.select(*match, cls).distinct()
+    unit_rows = cut_lineage(units.select(*match, cls).distinct())
     totals = unit_rows.groupBy(scope, cls).agg(F.count("*").alias("n_units"))
-    valid = routes.filter("valid").select("candidate_id", *match).distinct()
+    valid = cut_lineage(routes.filter("valid").select("candidate_id", *match).distinct())
     found = valid.join(unit_rows, match).groupBy("candidate_id", scope, cls).agg(F.count("*").alias("n_found"))
     board = candidates.select("candidate_id", scope).join(totals, scope)
     out = board.join(found, ["candidate_id", scope, cls], "left").withColumn(

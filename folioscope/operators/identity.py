@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.canonical import canonical_sha, drop_fields, json_field
 from folioscope.functions.sides import side_count, side_value, stack, tag
 from folioscope.functions.skew import hot_join
+from folioscope.session import cut_lineage
 
 # Profiles by schema version, and the roles a release must bind.
 PROFILES = {
@@ -213,10 +214,14 @@ def audit_bundle(members: DataFrame, declared: DataFrame, bindings: DataFrame) -
 
 
 def bundle_roles(declared: DataFrame, bindings: DataFrame, required: list[str]) -> DataFrame:
-    """How many of the required roles' artifacts each archive holds."""
-    role_paths = bindings.filter(F.col("role").isin(required)).select(
+    """How many of the required roles' artifacts each archive holds.
+
+    The bound paths are checkpointed, so that the join of a path in very many
+    archives can be split.
+    """
+    role_paths = cut_lineage(bindings.filter(F.col("role").isin(required)).select(
         F.col("path").alias("artifact_path"), "role"
-    ).distinct()
+    ).distinct())
     held = declared.join(role_paths, "artifact_path", "left")
     return held.groupBy("archive").agg(
         F.count_distinct("role").alias("n_required_roles"),
