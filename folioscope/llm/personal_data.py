@@ -4,8 +4,9 @@ Base patterns run on the text as it is. Then small transducers rewrite disguises
 (look-alike characters, spelled digits, written at and dot) to plain characters;
 each output character carries the source span it came from. The same patterns
 run on the normalised text, and what they find there is led back to source
-spans. Base spans stay; a span inside one of its kind adds nothing and is dropped. Rewriting is done only in texts that hold a disguise at all; elsewhere the
-normalised text is the text itself.
+spans. Base spans stay; a span inside one of its kind adds nothing and is dropped.
+Rewriting is done only in texts that hold something a transducer may rewrite;
+elsewhere the normalised text is the text itself.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,52 +113,69 @@ SPELLED = re.compile(
 SPELLED_PART = re.compile(rf"\b(?:{_NUMBER})\b", re.IGNORECASE)
 DOTTED_NUMBERS = re.compile(rf"[0-9]{{1,3}}(?:(?:\.|{BRACKET_DOT}|{WORD_DOT})[0-9]{{1,3}}){{3}}", re.IGNORECASE)
 PLUS = re.compile(r"\bplus\s{1,2}(?=[0-9])", re.IGNORECASE)
-# Texts without any of these, and without the words below, have nothing to rewrite.
-ODD = re.compile(rf"[{UNSEEN}{''.join(map(re.escape, LOOKALIKES))}！-～①-⓪⁰-₉\U0001d400-\U0001d7ff]")
+# Texts without a character of ``changed()``, any of these and the words below have nothing to rewrite.
 BRACKETED = re.compile(rf"{_OPEN}(?:{_AT}|{_DOT}){_CLOSE}", re.IGNORECASE)
+NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+SPACED_AT = re.compile(r"\s@\s")
 LONE_WORDS = ("dot", "punkt", "punto", "plus")
+# Runs of ASCII letters and digits that every number word holds one of.
+NUMBER_PARTS = {re.split("[^a-z]", w)[-1] for w in NUMBER_WORDS}
+# Letters that ``re.IGNORECASE`` takes for an ASCII one; the Kelvin sign is in ``changed()``.
+FOLDED = {"ſ": "s", "İ": "i", "ı": "i"}
+ASCII_LETTER_DIGIT = LETTER_DIGIT & (np.arange(256) < 0x80)
 
 
 class Mapped:
-    """A text and, for each of its characters, the source span it stands for."""
+    """A text and, for each of its characters, the source span it stands for; None: each for itself."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]]):
+    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None):
         self.text, self.spans = text, spans
 
     def rewritten(self, pattern: re.Pattern, plain) -> Mapped:
-        """Each match replaced by ``plain(match)``; its characters stand for the whole match."""
+        """Each match replaced by ``plain(match)``; its characters stand for the whole match.
+
+        A match that stays as it is keeps the spans of its characters.
+        """
+        new = [(m.span(), plain(m)) for m in pattern.finditer(self.text)]
+        new = [((a, b), x) for (a, b), x in new if x is not None and x != self.text[a:b]]
+        if not new:
+            return self
+        old = self.spans or [(i, i + 1) for i in range(len(self.text))]
         out, spans, at = [], [], 0
-        for m in pattern.finditer(self.text):
-            a, b = m.span()
-            new = plain(m)
-            if new is None or a == b:
-                continue
+        for (a, b), x in new:
             out.append(self.text[at:a])
-            spans.extend(self.spans[at:a])
-            out.append(new)
-            spans.extend([(self.spans[a][0], self.spans[b - 1][1])] * len(new))
+            spans.extend(old[at:a])
+            out.append(x)
+            spans.extend([(old[a][0], old[b - 1][1])] * len(x))
             at = b
         out.append(self.text[at:])
-        spans.extend(self.spans[at:])
+        spans.extend(old[at:])
         return Mapped("".join(out), spans)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.spans[start][0], self.spans[end - 1][1]
+        return (self.spans[start][0], self.spans[end - 1][1]) if self.spans else (start, end)
+
+
+def _plain(c: str) -> str:
+    if c in UNSEEN:
+        return ""
+    new = LOOKALIKES.get(c, c)
+    if new == c and ord(c) > 0x2000:
+        form = unicodedata.normalize("NFKC", c)
+        new = form if form.isascii() else c
+    return new
+
+
+@lru_cache(maxsize=1)
+def changed() -> dict[str, str]:
+    """Every character that ``_plain`` rewrites, and to what."""
+    return {c: _plain(c) for c in map(chr, range(0x80, 0x110000)) if _plain(c) != c}
 
 
 def plain_characters(text: str) -> Mapped:
     """Transducer 1: look-alikes and compatibility forms to ASCII, unseen characters go."""
-    out, spans = [], []
-    for i, c in enumerate(text):
-        if c in UNSEEN:
-            continue
-        new = LOOKALIKES.get(c, c)
-        if new == c and ord(c) > 0x2000:
-            form = unicodedata.normalize("NFKC", c)
-            new = form if form.isascii() else c
-        out.append(new)
-        spans.extend([(i, i + 1)] * len(new))
-    return Mapped("".join(out), spans)
+    whole = Mapped(text)
+    return whole if text.isascii() else whole.rewritten(NOT_ASCII, lambda m: changed().get(m.group()))
 
 
 def _address(m: re.Match) -> str | None:
@@ -169,45 +188,59 @@ def _address(m: re.Match) -> str | None:
     return f"{DOTTED.sub('.', m['local'])}@{domain}"
 
 
+def _digit(m: re.Match) -> str:
+    return NUMBER_WORDS["".join(FOLDED.get(c, c) for c in m.group()).lower()]
+
+
 def _digits(m: re.Match) -> str | None:
     if len(SPELLED_PART.findall(m.group())) < 3:
         return None
     plain = re.sub(WORD_DOT, ".", m.group(), flags=re.IGNORECASE)
-    plain = SPELLED_PART.sub(lambda w: NUMBER_WORDS[w.group().lower()], plain)
+    plain = SPELLED_PART.sub(_digit, plain)
     plain = re.sub(r"(?i)\bplus\b", "+", plain)
     return re.sub(r"(?<=[0-9+])[\s,-]{1,2}(?=[0-9])", "", plain)
 
 
 def normalised(text: str) -> Mapped:
-    """The composition of all transducers."""
+    """The composition of all transducers; the last two change a text only by a written dot or at sign."""
     m = plain_characters(text)
     m = m.rewritten(SPELLED, _digits)
     m = m.rewritten(PLUS, lambda _: "+")
-    m = m.rewritten(DOTTED_NUMBERS, lambda x: DOTTED.sub(".", x.group()))
+    if DOTTED.search(m.text):
+        m = m.rewritten(DOTTED_NUMBERS, lambda x: DOTTED.sub(".", x.group()))
+    elif not written_sign(m.text):
+        return m
     return m.rewritten(ADDRESS, _address)
 
 
 def _hashes(words) -> np.ndarray:
-    return np.unique(Words(pa.array(list(words)), LETTER_DIGIT, LOWER).hashes())
+    return np.unique(Words(pa.array(list(words)), ASCII_LETTER_DIGIT, LOWER).hashes())
 
 
 def worded(texts: pa.Array) -> np.ndarray:
-    """Which texts hold a word of LONE_WORDS or three spelled digits in a row."""
-    words = Words(texts, LETTER_DIGIT, LOWER)
+    """Which texts may hold a word of LONE_WORDS or three spelled digits, wherever these stand.
+
+    Words are runs of ASCII letters and digits, so a number word beside any other
+    sign counts, and "fünf" counts by its last run.
+    """
+    words = Words(texts, ASCII_LETTER_DIGIT, LOWER)
     hashes = words.hashes()
-    out = np.zeros(len(texts), bool)
+    number = np.isin(hashes, _hashes(NUMBER_PARTS))
+    out = np.bincount(words.doc[number], minlength=len(texts)) >= 3
     out[words.doc[np.isin(hashes, _hashes(LONE_WORDS))]] = True
-    number = np.isin(hashes, _hashes(NUMBER_WORDS))
-    three = number[:-2] & number[1:-1] & number[2:] & (words.doc[:-2] == words.doc[2:])
-    out[words.doc[:-2][three]] = True
     return out
 
 
+def written_sign(text: str) -> bool:
+    """Whether a text holds an at sign or a dot in brackets, or an at sign between blanks."""
+    return "@" in text and bool(SPACED_AT.search(text)) or any(c in text for c in "([{<") and bool(BRACKETED.search(text))
+
+
 def disguised(text: str) -> bool:
-    """Whether a text holds a character or a bracket that some transducer rewrites."""
-    if not text.isascii() and ODD.search(text):
+    """Whether a text holds a character or a sign that some transducer rewrites."""
+    if not text.isascii() and (not changed().keys().isdisjoint(text) or any(c in text for c in FOLDED)):
         return True
-    return " @ " in text or any(c in text for c in "([{<") and bool(BRACKETED.search(text))
+    return written_sign(text)
 
 
 def find(text: str | None, worded: bool = True) -> tuple[list, list]:

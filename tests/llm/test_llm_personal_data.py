@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import personal_data as pd
@@ -71,6 +73,47 @@ def test_plain_prose_is_left_alone(text):
     assert pd.find(text) == ([], [])
 
 
+DISGUISED = [
+    "+44 seven 9 four 1 two 5 six 3 eight 0", "a\t@\tb.org", "a\n@\u00a0b.org", "a\ufe6bb.org", "a@b\ufe52org",
+    "F\u00dcNF dot null dot null dot eins", "\u017feven \u017fix f\u0130ve dot one dot one dot one",
+    "4\u2075 +\u2474 30 1234567", "one\u00a0nine\u3000two dot 1 dot 1 dot 1",
+]
+PIECES = [
+    *pd.NUMBER_WORDS, "F\u00dcNF", "Z\u00c9RO", "\u017feven", "f\u0130ve", "s\u0131x", "plus", "plu\u017f", "dot", "pun\u212at", "at", "\u00c4T",
+    "(at)", "[dot]", "{ . }", "< @ >", "@", "\t@\n", "a", "b.c", "mail", "org", "1", "44", "192", "+", "\ufe6b", "\ufe52", "\u2488",
+    "\u200b", "_one_", "on\u00e9", "\u65e5\u672c",
+]
+BETWEEN = [" ", " ", "\t", "\n", ",", ".", "-", "", "  ", "\x1c", "\x85", "\u00a0", "\u3000", "_"]
+
+
+def gated(texts):
+    return [pd.find(t, bool(w)) for t, w in zip(texts, pd.worded(pa.array(texts)), strict=True)]
+
+
+@pytest.mark.parametrize("text", DISGUISED[:5])
+def test_gate_lets_disguises_through(text):
+    found, all_ = gated([text])[0]
+    assert len(all_) > len(found)
+
+
+def test_gate_loses_nothing_the_transducers_find():
+    rnd = random.Random(7)
+    mixed = ["".join(rnd.choice(PIECES) + rnd.choice(BETWEEN) for _ in range(rnd.randint(1, 14))) for _ in range(20_000)]
+    texts = DISGUISED + TRICKY + mixed
+    assert gated(texts) == [pd.find(t, True) for t in texts]
+
+
+def test_folded_letters_are_number_words():
+    assert pd.find("one one dot \u017feven dot f\u0130ve dot s\u0131x")[1] == [("ip", 0, 34)]
+
+
+def test_plain_matches_keep_their_spans():
+    # The address part is plain; the card ends inside it, and the dot-spelled one elsewhere is rewritten.
+    text = "4650195898803591.2.3.4 and one dot two dot 3 dot 4"
+    assert ("card", 0, 16) in pd.find(text)[0]
+    assert [s for s in pd.find(text)[1] if s[0] == "card"] == [("card", 0, 16)]
+
+
 @pytest.mark.parametrize("frame", ["hard", "small", "clashing"])
 def test_tables(request, frame):
     docs = request.getfixturevalue(frame)
