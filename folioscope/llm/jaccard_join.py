@@ -394,16 +394,18 @@ def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of the smallest id.
 
     Rows are told apart by id and set, so of rows that repeat both one stays.
-    Texts without words are classes of their own and stay.
+    Texts without words are classes of their own and stay, whatever ids they share.
     """
     found = classes(docs)
     chosen = found.filter(F.col("digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(
         F.col("class_id").alias("_jj_id"), "class_set"
     ).agg(F.min("digest").alias("_jj_set")).drop("class_set")  # of sets of one id in one class one stays
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.mapInArrow(_digested, kind + ", _jj_digest binary")
+    rows = docs.mapInArrow(_digested, kind + ", _jj_digest binary").withColumn(
+        "_jj_row", F.when(F.col("_jj_digest").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    )
     met = rows.join(
         chosen, F.col("doc_id").eqNullSafe(F.col("_jj_id")) & (F.col("_jj_digest") == F.col("_jj_set")), "left"
     )
     kept = met.filter(F.col("_jj_set").isNotNull() | F.col("_jj_digest").isNull())
-    return kept.dropDuplicates(["doc_id", "_jj_digest"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "_jj_digest", "_jj_row"]).select(*docs.columns)

@@ -94,6 +94,13 @@ def test_one_row_of_each_class_stays(spark, small, clashing, empty):
     )
 
 
+def test_wordless_rows_that_share_an_id_stay(spark):
+    lone = [(None, "..."), (None, "!?"), (None, None), (None, ""), (5, "--"), (5, "++"), (5, "--")]
+    rows = lone + [(6, "some words that repeat"), (6, "some words that repeat")]
+    kept = jj.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(lone + rows[-1:], key=repr)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
     frame = spark.createDataFrame(edges, "a bigint, b bigint").select(
