@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators import identity
+from folioscope.operators import coverage, diff, identity
 from folioscope.operators.checks import all_checks, check_rows
 from folioscope.sources.entities import explode_releases
 
 
+# What a correction of a density measurement may add with all under it, and replace.
+DROPPED, RESTORED = ["/metadata_correction"], ["/protocol/source_role_note"]
+
+
 def _none_of(releases: DataFrame, problems: DataFrame, check: str) -> DataFrame:
     """One check row per release: it has none of these problems."""
     counted = problems.groupBy("release_id").agg(F.count("*").alias("n"), F.min("detail").alias("first"))
@@ -20,9 +24,52 @@ def _none_of(releases: DataFrame, problems: DataFrame, check: str) -> DataFrame:
     return check_rows(joined, check, F.col("scope"), F.col("n").isNull(), F.col("first"))
 
 
+def semantic_checks(profiled: DataFrame, facts: dict[str, DataFrame], wrappers: list[str]) -> list[DataFrame]:
+    """Check rows over what the artifacts of a release say; ``facts`` name releases by the id they state.
+
+    ``overlays``, ``reviews``, ``deltas`` and ``reviewed`` are those of
+    ``independence`` (``overlay_id`` is the release id), asked of v10 releases;
+    ``policies(release_id, template, lock_sha)`` holds policy texts and the
+    lock's digest; ``scoped`` and ``locks(release_id, ...)`` hold the same scope
+    fields; ``original`` and ``corrected(release_id, document, pointer, value)``
+    the leaves of corrected density measurements; ``changes(release_id, id,
+    action, fields)`` and ``approved(release_id, id, action, field)`` the
+    benchmark's. A release without an overlay, a policy or a scope fails.
+    """
+    scope = F.col("scope")
+    named = profiled.select(F.col("release_id").alias("_path"), F.col("stated").alias("release_id"), "scope", "profile")
+
+    def each(judged: DataFrame, check: str, of: DataFrame = named) -> DataFrame:
+        """One row per release: it is judged, and never unfavourably."""
+        ok = judged.groupBy("release_id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
+        return check_rows(of.join(ok, "release_id", "left"), check, scope, F.col("ok"), F.lit(""))
+
+    def none(problems: DataFrame, detail: str, check: str) -> DataFrame:
+        found = problems.groupBy("release_id").agg(F.count("*").alias("n"), F.min(detail).alias("first"))
+        joined = named.join(found, "release_id", "left")
+        return check_rows(joined, check, scope, F.col("n").isNull(), F.col("first"))
+
+    access = coverage.independence(facts["overlays"], facts["reviews"], facts["deltas"], facts["reviewed"])
+    policies = facts["policies"].withColumn("ok", identity.semantic_sha(F.col("template"), wrappers) == F.col("lock_sha"))
+    fields = [c for c in facts["locks"].columns if c != "release_id"]
+    scoped = identity.scope_binding(facts["scoped"], facts["locks"], "release_id", fields)
+    revised = diff.metadata_only(
+        facts["original"], facts["corrected"], ["release_id", "document"], DROPPED, RESTORED
+    ).filter("not metadata_only")
+    loose = diff.unapproved(facts["changes"], facts["approved"], ["release_id", "id"])
+    return [
+        each(access.withColumnRenamed("overlay_id", "release_id"), "access_review", named.filter("profile = 'v10'")),
+        each(policies, "policy_semantics"),
+        each(scoped.withColumnRenamed("scope_ok", "ok"), "scope_binding"),
+        none(revised, "document", "metadata_only"),
+        none(loose, "field", "approved_changes"),
+    ]
+
+
 def audit_releases(
     docs: DataFrame, files: DataFrame, members: DataFrame, profiles: dict[str, tuple[str, str]],
-    registrations: DataFrame, expected: DataFrame,
+    registrations: DataFrame, expected: DataFrame, facts: dict[str, DataFrame] | None = None,
+    wrappers: tuple[str, ...] = (),
 ) -> DataFrame:
     """Check rows for ``docs(path, json)``.
 
@@ -30,6 +77,8 @@ def audit_releases(
     gives (profile, pinned revision) per schema version;
     ``registrations(state, stage, schema_version, path, sha256)`` and
     ``expected`` with the same columns, ``state`` being the release id.
+    ``facts`` and the policy's ``wrappers`` are those of ``semantic_checks``;
+    without facts only the transport is judged.
     """
     # The key of a release is its descriptor's path, which is always there and keeps
     # two descriptors of one id apart; the id it states names its check rows.
@@ -113,4 +162,5 @@ def audit_releases(
         _none_of(releases, registered, "registrations"),
         _none_of(releases, nameless, "release_id"),
         check_rows(stray, "archive_declared", F.col("archive"), F.lit(False), F.lit("no release declares it")),
+        *(semantic_checks(profiled, facts, list(wrappers)) if facts is not None else []),
     ])

@@ -226,3 +226,47 @@ def test_shared_and_stray_archives(spark):
 
 def test_unsealed_change_fails_the_self_hash(failed):
     assert failed["unsealed"] == {"self_hash"}
+
+
+def test_semantic_checks(spark):
+    """One release passes all; each other breaks one of the semantic checks, and one has no facts."""
+    ids = ["fine", "self_reviewed", "unreviewed", "other_policy", "other_scope", "recounted", "unapproved", "unknown"]
+    told = ids[:-1]
+    releases = [valid(i) for i in ids]
+    texts = [(f"rel/{r['rid']}.json", canonical(seal(r["doc"]))) for r in releases]
+    every = [row for r in releases for row in r["files"].items()]
+    reg = "state string, stage string, schema_version string, path string, sha256 string"
+    frame = spark.createDataFrame
+    leaf = "release_id string, document string, pointer string, value string"
+    body = canonical({"audience": "x"})
+    facts = {
+        "overlays": frame([(i, "ann", False) for i in told], "overlay_id string, author_id string, candidate_seen boolean"),
+        "reviews": frame([(i, "ann" if i == "self_reviewed" else "bob", False) for i in told],
+                         "overlay_id string, reviewer_id string, candidate_seen boolean"),
+        "deltas": frame([(i, "d1") for i in told], "overlay_id string, delta_id string"),
+        "reviewed": frame([(i, "d1") for i in told if i != "unreviewed"], "overlay_id string, delta_id string"),
+        "policies": frame([(i, canonical({"audience": "y" if i == "other_policy" else "x", "policy_id": i}), sha(body)) for i in told],
+                          "release_id string, template string, lock_sha string"),
+        "scoped": frame([(i, "s2" if i == "other_scope" else "s1") for i in told], "release_id string, source_sha string"),
+        "locks": frame([(i, "s1") for i in told], "release_id string, source_sha string"),
+        "original": frame([(i, "density", "/total", "100") for i in told], leaf),
+        "corrected": frame(
+            [(i, "density", "/total", "101" if i == "recounted" else "100") for i in told]
+            + [(i, "density", "/metadata_correction/by", "ann") for i in told], leaf),
+        "changes": frame([(i, "S1", "change", ["stance"] if i == "unapproved" else ["name"]) for i in told],
+                         "release_id string, id string, action string, fields array<string>"),
+        "approved": frame([(i, "S1", "change", "name") for i in told],
+                          "release_id string, id string, action string, field string"),
+    }
+    none = frame([], reg)
+    rows = audit_releases(
+        frame(texts, "path string, json string"), frame(every, "path string, sha256 string"),
+        frame([m for r in releases for m in r["members"]], "archive string, name string, sha256 string"),
+        PROFILES, none, none, facts, ("policy_id",),
+    ).collect()
+    assert len(rows) == 17 * len(ids)
+    assert {(r.scope, r.check) for r in rows if not r.ok} == {
+        ("self_reviewed", "access_review"), ("unreviewed", "access_review"), ("other_policy", "policy_semantics"),
+        ("other_scope", "scope_binding"), ("recounted", "metadata_only"), ("unapproved", "approved_changes"),
+        ("unknown", "access_review"), ("unknown", "policy_semantics"), ("unknown", "scope_binding"),
+    }
