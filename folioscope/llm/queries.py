@@ -1,6 +1,9 @@
 """The operators' queries and their SQL twins."""
 
-from folioscope.llm import chat, decontamination, jaccard_join, licenses, line_dedup, mixing, personal_data, quality, token_ids, toxicity
+from folioscope.llm import (
+    chat, decontamination, divergence, importance, jaccard_join, licenses, line_dedup, mixing, personal_data, quality,
+    token_counts, token_ids, toxicity,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +16,9 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_personal_data": personal_data.op10_personal_data,
+    "op11_importance": importance.op11_importance,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
@@ -21,4 +27,6 @@ ORACLES = {
     "op7_chat": chat.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
