@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import bucket_of
-from folioscope.operators import coverage
+from folioscope.operators import coverage, near
 from folioscope.plans.registry import Tables, query
 
 
@@ -247,6 +247,55 @@ def near_dupe_texts(t: Tables) -> DataFrame:
     return coverage.near_dupes(labels, ["lang"], "label", "id")
 
 
+CLASSES_SQL = """
+WITH RECURSIVE {labels},
+e AS ({links}),
+r(lang, id, root) USING KEY (lang, id) AS (
+  SELECT lang, id, id FROM l
+  UNION SELECT e.lang, e.b, min(r.root) FROM r JOIN e ON e.lang = r.lang AND e.a = r.id
+        JOIN recurring.r AS o ON o.lang = e.lang AND o.id = e.b WHERE r.root < o.root GROUP BY ALL),
+c AS (SELECT lang, id, root AS class_id FROM r)
+SELECT c.lang, c.id, c.class_id, n_forms
+FROM c JOIN (SELECT lang, class_id, count(DISTINCT form) AS n_forms FROM c JOIN l USING (lang, id) GROUP BY ALL) n USING (lang, class_id)
+"""
+# Brute force: every text of a language against every other.
+SETS_SQL = CLASSES_SQL.format(labels="""t AS (
+  SELECT lang, doc_id AS id, list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT lang, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [hash(w)]
+                              ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: hash(w[i:i + {n} - 1])) END) AS x FROM t),
+d AS (SELECT DISTINCT * FROM s),
+l AS (SELECT t.lang, t.id, CASE WHEN count(x) = 0 THEN 'none' || t.id ELSE md5(list(x ORDER BY x)::VARCHAR) END AS form, count(x) AS n
+      FROM (SELECT lang, id FROM t) t LEFT JOIN d ON d.lang = t.lang AND d.id = t.id GROUP BY t.lang, t.id)""", links="""
+  SELECT a.lang, a.id AS a, b.id AS b FROM (
+    SELECT p.lang, p.id AS x, q.id AS y, count(*) AS shared FROM d p JOIN d q ON p.lang = q.lang AND p.x = q.x AND p.id <> q.id GROUP BY ALL) m
+  JOIN l a ON a.lang = m.lang AND a.id = x JOIN l b ON b.lang = m.lang AND b.id = y WHERE 5 * shared >= 4 * (a.n + b.n - shared)""")
+
+
+@query(SETS_SQL.replace("{n}", "1"))
+def near_word_sets(t: Tables) -> DataFrame:
+    """Classes of whole documents that share four fifths of their words."""
+    docs = t.documents.select("lang", "doc_id", "text")
+    return near.near_texts(docs, ["lang"], "text", "doc_id", words=1)
+
+
+@query(SETS_SQL.replace("{n}", "5"))
+def near_shingles(t: Tables) -> DataFrame:
+    """Classes of whole documents that share four fifths of their runs of five words."""
+    return near.near_texts(t.documents.select("lang", "doc_id", "text"), ["lang"], "text", "doc_id")
+
+
+@query(CLASSES_SQL.format(labels="""w AS (
+  SELECT lang, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS term FROM documents),
+l AS (SELECT lang, term AS id, term AS form FROM w GROUP BY ALL HAVING count(*) >= 10)""", links="""
+  SELECT a.lang, a.id AS a, b.id AS b FROM l a JOIN l b ON a.lang = b.lang AND abs(len(a.id) - len(b.id)) <= 1
+  WHERE levenshtein(a.id, b.id) = 1"""))
+def near_terms(t: Tables) -> DataFrame:
+    """The terms of a language in at least ten documents, in classes of one changed letter."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
+    terms = t.documents.select("lang", F.explode(words).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return near.near_spellings(terms.filter("n >= 10").select("lang", "term"), ["lang"], "term", "term")
+
+
 @query("""
 SELECT sha256(text) AS subject, count(DISTINCT source) AS n_chunks, count(*) AS n_evidence FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1
 """)
