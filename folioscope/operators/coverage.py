@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.ranking import bucketed_position, range_join
 from folioscope.functions.numbers import ratio
 from folioscope.functions.sides import key_counts
+from folioscope.functions.scan import scan
 from folioscope.functions.skew import hot_join
 from folioscope.functions.text import label_key, label_near_key
 
@@ -341,12 +342,33 @@ def chronology(events: DataFrame, rules: dict[str, list[str]], scope: list[str])
 
 
 def sequence_breaks(events: DataFrame, scope: list[str], step: str, ts: str) -> DataFrame:
-    """Scopes in which a later step begins before an earlier step has ended.
+    """Steps of a scope that begin before some earlier step has ended.
 
-    Each step is reduced to its first and last time and compared with the step
-    before it that exists, whatever number that has. The window holds one small
-    row per step of a scope.
+    Each step is reduced to its first and last time and compared with the latest
+    end of all steps before it, whatever numbers those have.
     """
     spans = events.groupBy(*scope, step).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    before = F.lag("_last").over(W.partitionBy(*scope).orderBy(step))
-    return spans.withColumn("_before", before).filter("_first < _before").select(*scope, step)
+    ended = scan(spans, scope, [step], maxima={"_before": "_last"})
+    return ended.filter("_first < _before").select(*scope, step)
+
+
+def latest_prerequisite(events: DataFrame, rules: dict[str, list[str]], scope: list[str]) -> DataFrame:
+    """The latest prerequisite strictly before each dependent event, NULL where there is none.
+
+    ``events(*scope, kind, ts, event_id)``; one row per event and prerequisite of
+    its kind: (*scope, event_id, kind, prerequisite, ready_id, ready_at). Of
+    prerequisites at one time the one of the largest id counts. An as-of lookup:
+    both kinds lie in one order, and a running maximum carries the last
+    prerequisite forward.
+    """
+    pairs = [(kind, need) for kind, needs in rules.items() for need in needs]
+    # At one time dependents come first, so an event is never before itself or its equals.
+    roles = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(0).alias("turn")) for k, n in pairs],
+                    *[F.struct(F.lit(n).alias("k"), F.lit(n).alias("n"), F.lit(1).alias("turn")) for n in sorted({n for _, n in pairs})])
+    mine = F.explode(F.filter(roles, lambda x: x["k"] == F.col("kind")))
+    rows = events.filter(F.col("kind").isin(*{x for p in pairs for x in p})).select(*scope, "kind", "ts", "event_id", mine.alias("_r"))
+    rows = rows.select(*scope, "kind", "ts", "event_id", F.col("_r.n").alias("prerequisite"), F.col("_r.turn").alias("_turn"))
+    rows = rows.withColumn("_ready", F.when(F.col("_turn") == 1, F.struct("ts", "event_id")))
+    asof = scan(rows, [*scope, "prerequisite"], ["ts", "_turn", "event_id"], maxima={"_last": "_ready"})
+    return asof.filter("_turn = 0").select(
+        *scope, "event_id", "kind", "prerequisite", F.col("_last.event_id").alias("ready_id"), F.col("_last.ts").alias("ready_at"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.numbers import bucket_of
-from folioscope.operators import coverage, near
+from folioscope.operators import coverage, intervals, near
 from folioscope.plans.registry import Tables, query
 
 
@@ -418,9 +418,70 @@ def chronology(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber AS step, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1, 2)
-SELECT l_orderkey, step FROM (SELECT *, lag(b) OVER (PARTITION BY l_orderkey ORDER BY step) AS p FROM s) WHERE a < p
+SELECT l_orderkey, step FROM s WHERE EXISTS (SELECT 1 FROM s e WHERE e.l_orderkey = s.l_orderkey AND e.step < s.step AND s.a < e.b)
 """)
 def sequence_breaks(t: Tables) -> DataFrame:
-    """Lines of an order shipped before the line ahead of them."""
+    """Lines of an order shipped before some line ahead of them."""
     lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("step"), "l_shipdate")
     return coverage.sequence_breaks(lines, ["l_orderkey"], "step", "l_shipdate")
+
+
+@query("""
+SELECT d.user_id, d.event_id, d.event_type AS kind, p.event_type AS prerequisite, p.event_id AS ready_id, p.ts AS ready_at
+FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'signup' ELSE 'view' END AS need FROM events WHERE event_type IN ('purchase', 'click')) d
+ASOF JOIN events p ON d.user_id = p.user_id AND d.need = p.event_type AND d.ts > p.ts
+UNION ALL
+SELECT user_id, event_id, event_type, CASE event_type WHEN 'purchase' THEN 'signup' ELSE 'view' END, NULL, NULL FROM events d
+WHERE event_type IN ('purchase', 'click') AND NOT EXISTS (
+  SELECT 1 FROM events p WHERE p.user_id = d.user_id AND p.ts < d.ts AND p.event_type = CASE d.event_type WHEN 'purchase' THEN 'signup' ELSE 'view' END)
+""")
+def latest_prerequisite(t: Tables) -> DataFrame:
+    """The last signup before each purchase and the last view before each click."""
+    rules = {"purchase": ["signup"], "click": ["view"]}
+    events = t.events.select("user_id", "event_id", "ts", F.col("event_type").alias("kind"))
+    return coverage.latest_prerequisite(events, rules, ["user_id"])
+
+
+# Orders as ranges of a line of 10^14 places: a day has 10^9, an order takes its price in millions.
+RANGES_SQL = """
+r AS (SELECT o_custkey AS k, CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 1000000000 AS lo,
+             CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 1000000000 + CAST(floor(o_totalprice) AS BIGINT) * 1000000 - 1 AS hi FROM orders),
+w AS (SELECT k, min(lo) + 5000000000 AS lo, max(lo) AS hi FROM r GROUP BY k),
+p AS (SELECT k, lo AS p FROM r UNION SELECT k, hi + 1 FROM r UNION SELECT k, lo FROM w WHERE lo <= hi UNION SELECT k, hi + 1 FROM w WHERE lo <= hi),
+s AS (SELECT k, p AS first, lead(p) OVER (PARTITION BY k ORDER BY p) - 1 AS last FROM p),
+c AS (
+  SELECT s.k, first, last, (SELECT count(*) FROM r WHERE r.k = s.k AND r.lo <= first AND last <= r.hi) AS depth,
+         (SELECT count(*) FROM w WHERE w.k = s.k AND w.lo <= first AND last <= w.hi) AS expected
+  FROM s WHERE last IS NOT NULL)
+"""
+
+
+def order_ranges(t: Tables) -> tuple[DataFrame, DataFrame]:
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86400).cast("bigint")
+    lo = day * 1_000_000_000
+    ranges = t.orders.select(F.col("o_custkey").alias("k"), lo.alias("lo"), (lo + F.floor("o_totalprice").cast("bigint") * 1_000_000 - 1).alias("hi"))
+    whole = ranges.groupBy("k").agg((F.min("lo") + 5_000_000_000).alias("lo"), F.max("lo").alias("hi"))
+    return ranges, whole
+
+
+@query("WITH " + RANGES_SQL + """,
+m AS (SELECT *, count(*) FILTER (depth <> d OR expected <> e OR d IS NULL) OVER (PARTITION BY k ORDER BY first) AS run
+      FROM (SELECT *, lag(depth) OVER (PARTITION BY k ORDER BY first) AS d, lag(expected) OVER (PARTITION BY k ORDER BY first) AS e FROM c)),
+g AS (SELECT k, run, min(first) AS first, max(last) AS last, any_value(depth) AS depth, any_value(expected) AS expected FROM m GROUP BY k, run)
+SELECT k, first, last, depth, CASE WHEN expected = 0 THEN 'outside' WHEN depth = 0 THEN 'gap' ELSE 'overlap' END AS problem
+FROM g WHERE (expected = 0 AND depth > 0) OR (expected > 0 AND depth <> 1)
+""")
+def interval_coverage(t: Tables) -> DataFrame:
+    """Stretches of a customer's time that no order or several orders take."""
+    return intervals.interval_coverage(*order_ranges(t), ["k"], "lo", "hi")
+
+
+@query("WITH " + RANGES_SQL + """
+SELECT k, CAST(sum(last - first + 1) AS BIGINT) AS n_pages, CAST(coalesce(sum(last - first + 1) FILTER (depth > 0), 0) AS BIGINT) AS n_inspected,
+       CAST(coalesce(sum(last - first + 1) FILTER (depth = 0), 0) AS BIGINT) AS n_open, min(first) FILTER (depth = 0) AS next_page,
+       count(*) FILTER (depth = 0) = 0 AS complete
+FROM c WHERE expected > 0 GROUP BY k
+""")
+def interval_progress(t: Tables) -> DataFrame:
+    """How much of a customer's time orders take."""
+    return intervals.interval_progress(*order_ranges(t), ["k"], "lo", "hi")
