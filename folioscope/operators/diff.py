@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.sides import key_counts, side_count, side_value, stack, tag
 from folioscope.operators.coverage import closure, dangling, partition_check
+from folioscope.operators.identity import LANES, multiset_sha, multiset_sums
+from folioscope.session import cut_lineage
 
 
 def diff_records(old: DataFrame, new: DataFrame, keys: list[str], sha: str) -> DataFrame:
@@ -37,64 +39,66 @@ def changed_fields(old: DataFrame, new: DataFrame, keys: list[str], fields: list
     """Names of the fields that differ, for keys on both sides; NULL equals NULL.
 
     Both versions meet in one aggregation that carries each side's record once.
+    A key that a side holds twice has no one record to compare: its only field
+    is ``*duplicate_key``.
     """
     both = stack([tag(old, "old", keys, fields), tag(new, "new", keys, fields)])
     record = F.struct(*fields)
     sides = both.groupBy(*keys).agg(
         F.max(F.when(F.col("_side") == "old", record)).alias("o"),
         F.max(F.when(F.col("_side") == "new", record)).alias("n"),
-    ).filter("o is not null and n is not null")
+        side_count("old").alias("_n_old"), side_count("new").alias("_n_new"),
+    ).filter("_n_old > 0 and _n_new > 0")
     changed = F.array_compact(F.array(*[
         F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.lit(f)) for f in fields
     ]))
-    return sides.select(*keys, changed.alias("fields")).filter(F.size("fields") > 0)
-
-
-def _step(key: Column, pos: Column) -> Column:
-    """One escaped JSON-pointer step; an array element steps by its position."""
-    escaped = F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-    return F.concat(F.lit("/"), F.coalesce(escaped, pos.cast("string")))
-
-
-def nesting(json_text: Column) -> Column:
-    """How deep brackets are nested, those inside strings aside."""
-    strings_gone = F.regexp_replace(json_text, r'"(?:[^"\\\\]|\\\\.)*+"', "")
-    brackets = F.split(F.regexp_replace(strings_gone, r"[^\[\]{}]+", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(at: Column, c: Column) -> Column:
-        now = at["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
-
-    return F.aggregate(brackets, start, step)["most"]
+    twice = (F.col("_n_old") > 1) | (F.col("_n_new") > 1)
+    judged = F.when(twice, F.array(F.lit("*duplicate_key"))).otherwise(changed)
+    return sides.select(*keys, judged.alias("fields")).filter(F.size("fields") > 0)
+
+
+# Recursion ends with the documents, not at a number of rows or levels.
+_UNBOUNDED = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.cteRecursionLevelLimit": "-1"}
+_LEAVES = """
+WITH RECURSIVE _nodes ({keys}, pointer, place, v, opened) AS (
+  SELECT {keys}, '', '', try_parse_json({text}), true FROM {{docs}}
+  UNION ALL
+  SELECT {keys}, concat(pointer, CASE WHEN pos IS NULL THEN '' ELSE concat('/', {step}) END),
+         concat(place, CASE WHEN pos IS NULL THEN '' ELSE concat('/', coalesce({name}, cast(pos AS string))) END),
+         CASE WHEN pos IS NULL THEN v ELSE value END, pos IS NOT NULL
+  FROM _nodes, LATERAL variant_explode_outer({opened}) WHERE opened)
+SELECT {keys}, pointer, place, to_json(v) AS value FROM _nodes WHERE NOT opened
+"""
+_ESCAPED = "replace(replace({}, '~', '~0'), '/', '~1')"
 
 
 def flatten_json(
-    df: DataFrame, keys: list[str], json_text: str, whole_arrays: bool = False
+    df: DataFrame, keys: list[str], json_text: str, whole_arrays: bool = False, array_key: str | None = None
 ) -> DataFrame:
-    """Leaves of JSON documents; a narrow transformation at every depth.
-
-    Documents are flattened to the end: one pass over the texts first finds how
-    deep the deepest is nested. ``whole_arrays`` keeps arrays as one leaf,
-    because positions inside an array move when it is reordered.
+    """Leaves (*keys, pointer, value) of JSON documents, flattened to their end.
+
+    A recursive query opens one level of every document a round; what can't be
+    opened is a leaf. A document's leaves depend on that document alone, and
+    nothing runs while the plan is built. Empty objects and arrays are leaves, and
+    a text that is not JSON is one leaf without a value. ``whole_arrays`` keeps
+    arrays as one leaf. With ``array_key``, elements that are objects with that
+    field step by its value (``/items/id=7/name``) and others by position, so
+    reordering changes no pointer; ``place`` then tells where the leaf lies.
     """
-    tvf = df.sparkSession.tvf
-    depth = df.agg(F.max(nesting(F.col(json_text)))).first()[0] or 0
-    flat = df.select(*keys, F.lit("").alias("pointer"), F.try_parse_json(json_text).alias("v"))
-    for _ in range(depth):
-        opened = F.col("v")
-        if whole_arrays:
-            opened = F.when(F.try_variant_get("v", "$", "array<variant>").isNull(), F.col("v"))
-        flat = flat.withColumn("_x", opened)
-        flat = flat.lateralJoin(tvf.variant_explode_outer(F.col("_x").outer()))
-        inner = F.col("pos").isNotNull()
-        flat = flat.select(
-            *keys,
-            F.when(inner, F.concat("pointer", _step(F.col("key"), F.col("pos"))))
-            .otherwise(F.col("pointer")).alias("pointer"),
-            F.when(inner, F.col("value")).otherwise(F.col("v")).alias("v"),
-        )
-    return flat.select(*keys, "pointer", F.to_json("v").alias("value"))
+    spark = df.sparkSession
+    for name, value in _UNBOUNDED.items():
+        spark.conf.set(name, value)
+    named = _ESCAPED.format("key")
+    position = "cast(pos AS string)"
+    if array_key:
+        own = f"CASE WHEN key IS NULL THEN try_variant_get(value, '$.{array_key}', 'string') END"
+        position = f"coalesce(concat('{array_key}=', {_ESCAPED.format(own)}), {position})"
+    sql = _LEAVES.format(
+        keys=", ".join(f"`{k}`" for k in keys), text=f"`{json_text}`", name=named, step=f"coalesce({named}, {position})",
+        opened="CASE WHEN try_variant_get(v, '$', 'array<variant>') IS NULL THEN v END" if whole_arrays else "v",
+    )
+    leaves = spark.sql(sql, docs=df.select(*keys, json_text))
+    return leaves if array_key else leaves.drop("place")
 
 
 def flatten_fields(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -110,14 +114,19 @@ def flatten_fields(df: DataFrame, keys: list[str], fields: list[str]) -> DataFra
 
 
 def diff_fields(old_leaves: DataFrame, new_leaves: DataFrame, keys: list[str]) -> DataFrame:
-    """Leaf changes as ``add``, ``remove`` or ``replace`` with before and after."""
+    """Leaf changes as ``add``, ``remove`` or ``replace`` with before and after.
+
+    A pointer that a side holds twice (elements of one key) is ``ambiguous``.
+    """
     by = [*keys, "pointer"]
     sides = stack([tag(old_leaves, "old", by, ["value"]), tag(new_leaves, "new", by, ["value"])])
     sides = sides.groupBy(*by).agg(
-        side_value("old", "value").alias("before"), side_value("new", "value").alias("after")
+        side_value("old", "value").alias("before"), side_value("new", "value").alias("after"),
+        side_count("old").alias("_n_old"), side_count("new").alias("_n_new"),
     )
     op = (
-        F.when(F.col("before").isNull(), "add").when(F.col("after").isNull(), "remove")
+        F.when((F.col("_n_old") > 1) | (F.col("_n_new") > 1), "ambiguous")
+        .when(F.col("before").isNull(), "add").when(F.col("after").isNull(), "remove")
         .when(F.col("before") != F.col("after"), "replace")
     )
     return sides.withColumn("op", op).filter("op is not null").select(*by, "op", "before", "after")
@@ -135,18 +144,25 @@ def compose(base: DataFrame, patches: DataFrame, keys: list[str]) -> DataFrame:
     """Base with ordered patches; the last patch of a key wins.
 
     ``patches`` has the base columns, ``action`` and ``seq``. One ``max_by`` per
-    key replaces a pass per patch, however many components there are. Two
-    different patches of one (key, seq) have no order: see ``patch_ties``.
+    key replaces a pass per patch, however many components there are. Where the
+    last ``seq`` of a key has several different patches, or an unpatched base
+    several different records, there is no winner and the job fails with the key;
+    ``patch_ties`` lists such patches beforehand.
     """
     columns = base.columns
     rows = stack([
         base.select(*columns, F.lit("put").alias("action"), F.lit(0).cast("bigint").alias("seq")),
         patches.select(*columns, "action", F.col("seq").cast("bigint").alias("seq")),
     ])
+    content = F.struct("action", *[c for c in columns if c not in keys])
+    rows = rows.withColumn("_digest", F.when(F.col("action") == "remove", F.lit(0)).otherwise(F.xxhash64(content)))
     last = rows.groupBy(*keys).agg(
-        F.max_by(F.struct("action", *[c for c in columns if c not in keys]), "seq").alias("r")
+        F.max_by(content, "seq").alias("r"),
+        F.max(F.struct("seq", "_digest"))["_digest"].alias("_most"), F.min(F.struct(-F.col("seq"), "_digest"))["_digest"].alias("_least"),
     )
-    return last.filter("r.action = 'put'").select(
+    tie = F.concat(F.lit("several last patches of one key: "), F.to_json(F.struct(*keys)))
+    checked = F.when(F.col("_most") == F.col("_least"), F.col("r.action")).otherwise(F.raise_error(tie))
+    return last.filter(checked == "put").select(
         *[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in columns]
     )
 
@@ -191,10 +207,63 @@ def resolve_overlap(changes: DataFrame, rules: DataFrame, keys: list[str]) -> tu
     )
 
 
+def ancestors(pointer: Column) -> Column:
+    """The pointers above a JSON pointer, the empty one of the whole document first."""
+    steps = F.split(pointer, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+
+
+def nested_overlaps(changes: DataFrame, keys: list[str], component: str = "component") -> DataFrame:
+    """Pointers one component changes above pointers another component changes.
+
+    ``changes(*keys, component, pointer)``; rows (*keys, pointer, component,
+    inner_component, n_inner): whoever changes ``pointer`` also decides
+    ``n_inner`` pointers below it that ``inner_component`` changes. Every pointer
+    carries its own ancestors as keys, so the join is by equality; inner pointers
+    are counted by ancestor before they meet the outer one.
+    """
+    named = changes.filter(F.col("pointer") != "").select(*keys, F.col(component).alias("inner_component"), "pointer").distinct()
+    inner = named.withColumn("pointer", F.explode(ancestors(F.col("pointer")))).groupBy(*keys, "pointer", "inner_component").agg(
+        F.count("*").alias("n_inner"))
+    outer = changes.select(*keys, "pointer", F.col(component).alias("component")).distinct()
+    met = outer.join(inner, [*keys, "pointer"]).filter(F.col("component") != F.col("inner_component"))
+    return met.select(*keys, "pointer", "component", "inner_component", "n_inner")
+
+
+def resolve_nested(changes: DataFrame, rules: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``resolve_overlap`` where a pointer also disputes those below it.
+
+    A pointer that another component changes above or below stays unresolved,
+    unless one rule each gives all parties of that dispute to one component: the
+    rule of the outer pointer then decides for what lies below it, whose own
+    changes by others fall. Returns (resolved leaves, unresolved pointers).
+    """
+    resolved, unresolved = resolve_overlap(changes, rules, keys)
+    by = [*keys, "pointer"]
+    winners = rules.groupBy(*by).agg(F.min("component").alias("winner"), F.max("component").alias("_other"))
+    winners = winners.filter("winner = _other").drop("_other")
+    outer = nested_overlaps(changes, keys).select(*by).distinct().join(winners, by, "left")
+    # Disputed outer pointers, and below each of them every changed pointer.
+    below = changes.filter(F.col("pointer") != "").select(*by, "component").distinct().withColumn(
+        "_above", F.explode(ancestors(F.col("pointer"))))
+    above = outer.select(*keys, F.col("pointer").alias("_above"), "winner")
+    judged = below.join(above, [*keys, "_above"]).groupBy(*by).agg(
+        F.max(F.col("winner").isNull()).alias("_open"), F.bool_or(F.col("component") == F.col("winner")).alias("_own"))
+    open_outer = outer.filter("winner is null").select(*by)
+    fallen = judged.filter(~F.col("_open") & ~F.coalesce("_own", F.lit(False))).select(*by)
+    open_ = judged.filter("_open").select(*by).unionByName(open_outer).distinct()
+    kept = resolved.join(open_.unionByName(fallen).distinct(), by, "left_anti")
+    counts = changes.groupBy(*by).agg(F.count_distinct(F.struct("value")).alias("n_values"))
+    left = counts.join(open_, by, "left_semi").unionByName(
+        unresolved.join(open_.unionByName(fallen).distinct(), by, "left_anti").select(*by, "n_values"))
+    return kept, left
+
+
 def roundtrip(before: DataFrame, diffs: DataFrame, proposed: DataFrame, keys: list[str]) -> DataFrame:
     """Leaves where before + diff is not the proposed value; must be empty.
 
-    Also reports a diff whose recorded before-value is not the base's value.
+    Also reports a diff whose recorded before-value is not the base's value, and
+    pointers that a side holds twice as ``ambiguous``.
     """
     by = [*keys, "pointer"]
     rows = stack([
@@ -208,10 +277,12 @@ def roundtrip(before: DataFrame, diffs: DataFrame, proposed: DataFrame, keys: li
         side_value("before", "value").alias("base"), side_value("proposed", "value").alias("want"),
         side_value("diff", "value").alias("after"), F.max("op").alias("op"),
         F.max("diff_before").alias("diff_before"),
+        *[side_count(side).alias(f"_n_{side}") for side in ("before", "proposed", "diff")],
     )
     got = F.when(F.col("op").isNull(), F.col("base")).otherwise(F.col("after"))
     problem = (
-        F.when(F.col("op").isNotNull() & ~F.col("diff_before").eqNullSafe(F.col("base")), "before_differs")
+        F.when(F.expr("_n_before > 1 or _n_proposed > 1 or _n_diff > 1"), "ambiguous")
+        .when(F.col("op").isNotNull() & ~F.col("diff_before").eqNullSafe(F.col("base")), "before_differs")
         .when(~got.eqNullSafe(F.col("want")), "result_differs")
     )
     return sides.select(*by, problem.alias("problem")).filter("problem is not null")
@@ -221,10 +292,14 @@ def guard_before(base: DataFrame, patch: DataFrame, keys: list[str], sha: str) -
     """Patches with ``valid``: the base record still has the recorded digest.
 
     A patch without ``before_sha`` adds a record and needs the key to be free.
+    One verdict a patch: ``n_base`` counts the base records of its key, and a key
+    held twice is no valid base.
     """
-    current = base.select(*keys, F.col(sha).alias("_current"))
-    joined = patch.join(current, keys, "left")
-    return joined.withColumn("valid", F.col("before_sha").eqNullSafe(F.col("_current"))).drop("_current")
+    current = base.groupBy(*keys).agg(F.max(sha).alias("_current"), F.count("*").alias("n_base"))
+    joined = patch.join(current, keys, "left").withColumn("n_base", F.coalesce("n_base", F.lit(0).cast("bigint")))
+    held = F.when(F.col("before_sha").isNull(), F.col("n_base") == 0).otherwise(
+        (F.col("n_base") == 1) & F.col("before_sha").eqNullSafe(F.col("_current")))
+    return joined.withColumn("valid", held).drop("_current")
 
 
 def unapproved(changes: DataFrame, approved: DataFrame, keys: list[str]) -> DataFrame:
@@ -364,6 +439,41 @@ def lineage_closure(old: DataFrame, mapping: DataFrame, new: DataFrame) -> DataF
     return undisposed.unionByName(lost)
 
 
+def lineage_chains(mapping: DataFrame) -> DataFrame:
+    """(id, final_id, status, n_paths, n_steps): what became of every id after all versions.
+
+    ``mapping(old_id, new_id)`` holds the steps of all versions, NULL ``new_id``
+    for a removal; an id may split into several and several may merge into one.
+    ``current`` ids have no further step. ``n_paths`` counts the ways that lead
+    from one to the other (NULL beyond 64 bits), ``n_steps`` the longest. Steps
+    are composed with themselves, so a chain of n versions takes log2(n) rounds.
+    An id that still goes on after more steps than there are ids runs into a
+    ``cycle``, with an id of it as the final one.
+    """
+    steps = cut_lineage(mapping.select(F.col("old_id").alias("id"), F.col("new_id").alias("final_id")).distinct())
+    n_ids = steps.select("id").distinct().count()
+    going = steps.select(F.col("id").alias("_id")).distinct()
+    one = F.lit(1).cast("bigint")
+    now = steps.join(going, F.col("final_id") == F.col("_id"), "left").select(
+        "id", "final_id", one.alias("n_paths"), one.alias("n_steps"), F.col("_id").isNotNull().alias("open"))
+    now, reach = cut_lineage(now), 1
+    while reach <= n_ids and not now.filter("open").isEmpty():
+        on = now.select(F.col("id").alias("_id"), F.col("final_id").alias("_to"), F.col("n_paths").alias("_p"),
+                        F.col("n_steps").alias("_s"), F.col("open").alias("_open"))
+        moved = now.filter("open").join(on, F.col("final_id") == F.col("_id")).select(
+            "id", F.col("_to").alias("final_id"), F.try_multiply("n_paths", "_p").alias("n_paths"),
+            F.expr("least(n_steps + _s, 4611686018427387903)").alias("n_steps"), F.col("_open").alias("open"))
+        now = cut_lineage(now.filter("not open").unionByName(moved).groupBy("id", "final_id", "open").agg(
+            F.when(F.count("n_paths") == F.count("*"), F.try_sum("n_paths")).alias("n_paths"), F.max("n_steps").alias("n_steps")))
+        reach *= 2
+    status = F.when(F.col("open"), "cycle").when(F.col("final_id").isNull(), "removed").otherwise("current")
+    ends = now.withColumn("status", status).select("id", "final_id", "status", "n_paths", "n_steps")
+    # On a cycle the number of steps taken says nothing; one of its ids stands for it.
+    rings = ends.filter("status = 'cycle'").groupBy("id", "status").agg(F.min("final_id").alias("final_id")).select(
+        "id", "final_id", "status", F.lit(None).cast("bigint").alias("n_paths"), F.lit(None).cast("bigint").alias("n_steps"))
+    return ends.filter("status <> 'cycle'").unionByName(rings)
+
+
 def proposal_partition(ledger: DataFrame, population: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Counts per disposition, and the keys not disposed exactly once."""
     counts = ledger.groupBy("disposition").agg(F.count("*").alias("n"))
@@ -376,25 +486,34 @@ def population_accounting(
     """Records and weights per group before and after, and whether they are equal.
 
     With ``ids``, the columns that name a record, also the records only one side
-    holds: equal populations hold the same records, not only as many.
+    holds and a digest of each side's records with their weights (see
+    ``multiset_state``): equal populations hold the same records, not only as
+    many. A NULL group is a group.
     """
-    rows = stack([tag(before, "before", by, [weight]), tag(after, "after", by, [weight])])
-    def total(side: str) -> Column:
+    rows = stack([tag(before, "before", [*by, *(ids or [])], [weight]), tag(after, "after", [*by, *(ids or [])], [weight])])
+
+    def weighed(side: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("_side") == side, F.col(weight))), F.lit(0)).cast("bigint")
 
-    out = rows.groupBy(*by).agg(
-        side_count("before").alias("n_before"), side_count("after").alias("n_after"),
-        total("before").alias("weight_before"), total("after").alias("weight_after"),
-    )
+    sides = ("before", "after")
     if ids is None:
+        out = rows.groupBy(*by).agg(*[side_count(s).alias(f"n_{s}") for s in sides], *[weighed(s).alias(f"weight_{s}") for s in sides])
         return out.withColumn("equal", F.expr("n_before = n_after and weight_before = weight_after"))
-    swapped = key_counts(before, after, [*by, *ids]).groupBy(*by).agg(
-        F.coalesce(F.sum(F.greatest(F.lit(0), F.expr("n_left - n_right"))), F.lit(0)).cast("bigint").alias("n_lost"),
-        F.coalesce(F.sum(F.greatest(F.lit(0), F.expr("n_right - n_left"))), F.lit(0)).cast("bigint").alias("n_gained"),
-    )
-    return out.join(swapped, by).withColumn(
-        "equal", F.expr("n_lost = 0 and n_gained = 0 and weight_before = weight_after")
+    digest = F.sha2(F.to_json(F.struct(*ids, weight), {"ignoreNullFields": "false"}), 256)
+    per_record = rows.withColumn("_sha", digest).groupBy(*by, *ids, "_sha").agg(
+        *[side_count(s).alias(f"n_{s}") for s in sides], *[weighed(s).alias(f"weight_{s}") for s in sides])
+    per_id = per_record.groupBy(*by, *ids).agg(
+        *[F.sum(f"{c}_{s}").alias(f"{c}_{s}") for c in ("n", "weight") for s in sides],
+        *[x for s in sides for x in multiset_sums("_sha", f"n_{s}", f"_{s}")])
+    lost = F.greatest(F.lit(0), F.expr("n_before - n_after"))
+    gained = F.greatest(F.lit(0), F.expr("n_after - n_before"))
+    out = per_id.groupBy(*by).agg(
+        *[F.sum(f"{c}_{s}").cast("bigint").alias(f"{c}_{s}") for c in ("n", "weight") for s in sides],
+        F.sum(lost).cast("bigint").alias("n_lost"), F.sum(gained).cast("bigint").alias("n_gained"),
+        *[F.sum(f"_{s}{i}").alias(f"_{s}{i}") for s in sides for i in range(LANES)],
     )
+    named = out.withColumns({f"sha_{s}": multiset_sha(f"n_{s}", f"_{s}") for s in sides})
+    return named.drop(*[f"_{s}{i}" for s in sides for i in range(LANES)]).withColumn("equal", F.expr("sha_before = sha_after"))
 
 
 def metadata_only(

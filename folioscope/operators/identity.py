@@ -184,29 +184,33 @@ def unique_registration(registrations: DataFrame, expected: DataFrame) -> DataFr
 
 def audit_bundle(members: DataFrame, declared: DataFrame, bindings: DataFrame) -> DataFrame:
     """Per (archive, name): ``ok``, ``undeclared``, ``absent``, ``duplicate``,
-    ``unbound`` or ``differs``. Every problem of every archive is reported.
+    ``unbound``, ``conflict`` (its path is bound to several digests) or
+    ``differs``. Every problem of every archive is reported.
     """
     keys = ["archive", "name"]
     artifacts = stack([
         bindings.select(F.col("path").alias("artifact_path"), "sha256", F.lit("bound").alias("_side")),
         tag(declared, "declared", ["artifact_path"]),
     ]).groupBy("artifact_path").agg(
-        side_value("bound", "sha256").alias("want_sha"), side_count("declared").alias("_n")
+        side_value("bound", "sha256").alias("want_sha"), side_count("declared").alias("_n"),
+        (F.min(F.when(F.col("_side") == "bound", F.col("sha256"))) != side_value("bound", "sha256")).alias("several"),
     )
     want = hot_join(declared, artifacts, ["artifact_path"], "_n", "left")
     both = stack([
         members.select(*keys, F.col("sha256").alias("have"), F.lit("member").alias("_side")),
-        want.select(*keys, F.col("want_sha").alias("want"), F.lit("declared").alias("_side")),
+        want.select(*keys, F.col("want_sha").alias("want"), "several", F.lit("declared").alias("_side")),
     ])
     per_name = both.groupBy(*keys).agg(
         side_count("member").alias("n_members"), side_count("declared").alias("n_declared"),
         F.min("have").alias("have"), F.max("have").alias("have_max"), F.max("want").alias("want"),
+        F.bool_or(F.coalesce("several", F.lit(False))).alias("several"),
     )
     status = (
         F.when(F.col("n_declared") == 0, "undeclared")
         .when(F.col("n_members") == 0, "absent")
         .when(F.col("n_members") > 1, "duplicate")
         .when(F.col("want").isNull(), "unbound")
+        .when(F.col("several"), "conflict")
         .when(F.col("have") == F.col("want"), "ok")
         .otherwise("differs")
     )
@@ -255,14 +259,68 @@ def population_sha(
     return nodes.select(*by, F.col("_n").alias("n_records"), F.col("_d").alias("population_sha"))
 
 
+LANES = 4  # a digest of 64 hex digits is four whole numbers of 64 bits
+
+
+def multiset_sums(sha: str, n: str | None = None, prefix: str = "_s") -> list[Column]:
+    """Aggregates ``prefix0``..: sums of the four parts of record digests, ``n`` times each."""
+    def lane(i: int) -> Column:
+        part = F.conv(F.substring(sha, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+        return part if n is None else part * F.col(n).cast("decimal(18,0)")
+
+    zero = F.lit(0).cast("decimal(38,0)")
+    return [F.coalesce(F.sum(lane(i).cast("decimal(38,0)")), zero).alias(f"{prefix}{i}") for i in range(LANES)]
+
+
+def multiset_sha(n: str, prefix: str = "_s") -> Column:
+    """The digest of a population from its number of records and its sums."""
+    return F.sha2(F.concat_ws(":", F.col(n).cast("string"), *[F.col(f"{prefix}{i}").cast("string") for i in range(LANES)]), 256)
+
+
+def multiset_state(df: DataFrame, by: list[str], sha: str) -> DataFrame:
+    """(*by, n_records, _s0.._s3): what identifies a population of record digests and can be updated.
+
+    The sums do not depend on order, and those of two disjoint parts add up, so a
+    task's records are one row before they move. A record without a digest
+    counts as a record of digest 0. ``population_digest`` turns a state into text.
+    """
+    known = df.withColumn(sha, F.coalesce(sha, F.lit("0" * 64)))
+    return known.groupBy(*by).agg(F.count("*").alias("n_records"), *multiset_sums(sha))
+
+
+def update_state(state: DataFrame, added: DataFrame, removed: DataFrame, by: list[str], sha: str) -> DataFrame:
+    """The state after records came and went, without reading the population again.
+
+    Groups left without records go.
+    """
+    def signed(df: DataFrame, sign: int) -> DataFrame:
+        return df.select(*by, *[(F.lit(sign) * F.col(c)).cast(df.schema[c].dataType).alias(c) for c in df.columns if c not in by])
+
+    parts = stack([state, multiset_state(added, by, sha), signed(multiset_state(removed, by, sha), -1)])
+    columns = ["n_records", *[f"_s{i}" for i in range(LANES)]]
+    kinds = {c: state.schema[c].dataType for c in columns}
+    return parts.groupBy(*by).agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in columns]).filter("n_records <> 0")
+
+
+def population_digest(state: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n_records, population_sha) of states; equal exactly for equal multisets of digests."""
+    return state.select(*by, "n_records", multiset_sha("n_records").alias("population_sha"))
+
+
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per path: ``unchanged``, ``changed``, ``gone`` or ``new`` since the snapshot."""
+    """Per path: ``unchanged``, ``changed``, ``gone`` or ``new`` since the snapshot.
+
+    Presence is counted, so a path without a digest is still there; with a
+    digest missing on a side, or held twice, it is ``unknown``.
+    """
     both = stack([tag(before, "before", ["path"], ["sha256"]), tag(after, "after", ["path"], ["sha256"])])
     sides = both.groupBy("path").agg(
-        side_value("before", "sha256").alias("b"), side_value("after", "sha256").alias("a")
+        side_value("before", "sha256").alias("b"), side_value("after", "sha256").alias("a"),
+        side_count("before").alias("_n_before"), side_count("after").alias("_n_after"),
     )
     status = (
-        F.when(F.col("a").isNull(), "gone").when(F.col("b").isNull(), "new")
+        F.when(F.col("_n_after") == 0, "gone").when(F.col("_n_before") == 0, "new")
+        .when(F.expr("_n_before > 1 or _n_after > 1 or a is null or b is null"), "unknown")
         .when(F.col("a") == F.col("b"), "unchanged").otherwise("changed")
     )
     return sides.select("path", status.alias("status"))

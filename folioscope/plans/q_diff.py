@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.canonical import record_sha
-from folioscope.operators import diff
+from folioscope.operators import diff, identity
 from folioscope.plans.q_identity import CHANGED_SQL, CUSTOMER_FIELDS, changed_customers
 from folioscope.plans.registry import Tables, query
 
@@ -363,3 +363,156 @@ def population_accounting(t: Tables) -> DataFrame:
     before = t.part.select("p_brand", "p_size")
     after = before.filter("not (p_brand = 'Brand#1' and p_size > 40)")
     return diff.population_accounting(before, after, ["p_brand"], "p_size")
+
+
+# An order is a document of lines; the next version turns its lines round and changes some.
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber AS n, any_value(l_partkey) AS part, any_value(l_returnflag) AS flag FROM lineitem GROUP BY ALL HAVING count(*) = 1),
+a AS (SELECT l_orderkey, n, part, flag FROM l WHERE NOT (l_orderkey % 5 = 0 AND n = 2)),
+b AS (SELECT l_orderkey, n, CASE WHEN l_orderkey % 3 = 0 AND n = 1 THEN part + 1 ELSE part END AS part, flag FROM l WHERE NOT (l_orderkey % 7 = 0 AND n = 1)),
+x AS (SELECT l_orderkey, '/lines/n=' || n || unnest(['/n', '/part', '/note~1s/flag']) AS pointer, unnest([n::VARCHAR, part::VARCHAR, '"' || flag || '\\n\\\\"']) AS value FROM a),
+y AS (SELECT l_orderkey, '/lines/n=' || n || unnest(['/n', '/part', '/note~1s/flag']) AS pointer, unnest([n::VARCHAR, part::VARCHAR, '"' || flag || '\\n\\\\"']) AS value FROM b)
+SELECT l_orderkey, pointer, CASE WHEN x.value IS NULL THEN 'add' WHEN y.value IS NULL THEN 'remove' ELSE 'replace' END AS op, x.value AS before, y.value AS after
+FROM x FULL JOIN y USING (l_orderkey, pointer) WHERE x.value IS DISTINCT FROM y.value AND l_orderkey IN (SELECT l_orderkey FROM a) AND l_orderkey IN (SELECT l_orderkey FROM b)
+""")
+def keyed_array_diff(t: Tables) -> DataFrame:
+    """Orders as documents whose lines are turned round; only real changes of a line come out."""
+    once = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.any_value("l_partkey").alias("part"), F.any_value("l_returnflag").alias("flag"), F.count("*").alias("_n")).filter("_n = 1")
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+
+    def documents(lines: DataFrame, ascending: bool) -> DataFrame:
+        note = F.struct(F.concat("flag", F.lit("\n\\")).alias("flag"))
+        line = F.struct(n.alias("n"), "part", note.alias("note/s"))
+        return lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line), ascending).alias("lines")).select(
+            "l_orderkey", F.to_json(F.struct("lines")).alias("json"))
+
+    old = documents(once.filter(~((key % 5 == 0) & (n == 2))), True)
+    changed = F.when((key % 3 == 0) & (n == 1), F.col("part") + 1).otherwise(F.col("part"))
+    new = documents(once.filter(~((key % 7 == 0) & (n == 1))).withColumn("part", changed), False)
+    both = [d.join(o.select("l_orderkey"), "l_orderkey", "left_semi") for d, o in ((old, new), (new, old))]
+    return diff.diff_fields(*[diff.flatten_json(d, ["l_orderkey"], "json", array_key="n") for d in both], ["l_orderkey"])
+
+
+NESTED_SQL = """
+WITH ch AS (
+  SELECT o_custkey AS k, 'header' AS component, '/orders/' || o_orderkey AS pointer FROM orders WHERE o_orderkey % 5 = 0
+  UNION SELECT o_custkey, 'lines', '/orders/' || o_orderkey || '/lines/' || l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber < 4
+  UNION SELECT o_custkey, 'audit', '/orders/' || o_orderkey || '/lines' FROM orders WHERE o_orderkey % 3 = 0
+  UNION SELECT o_custkey, 'header', '/orders/' || o_orderkey || '/lines/1/flag' FROM orders WHERE o_orderkey % 10 = 0
+  UNION SELECT c_custkey, 'audit', '' FROM customer WHERE c_custkey % 50 = 0)
+"""
+
+
+def nested_changes(t: Tables) -> DataFrame:
+    """Changes at four depths of a customer's document, by three components."""
+    orders = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
+    at = F.concat(F.lit("/orders/"), "o")
+    lines = t.lineitem.filter("l_linenumber < 4").select(F.col("l_orderkey").alias("o"), "l_linenumber").join(orders, "o")
+
+    def change(df: DataFrame, component: str, pointer) -> DataFrame:
+        return df.select("k", F.lit(component).alias("component"), pointer.alias("pointer"))
+
+    return (
+        change(orders.filter("o % 5 = 0"), "header", at)
+        .unionByName(change(lines, "lines", F.concat(at, F.lit("/lines/"), "l_linenumber")))
+        .unionByName(change(orders.filter("o % 3 = 0"), "audit", F.concat(at, F.lit("/lines"))))
+        .unionByName(change(orders.filter("o % 10 = 0"), "header", F.concat(at, F.lit("/lines/1/flag"))))
+        .unionByName(change(t.customer.filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("k")), "audit", F.lit("")))
+    )
+
+
+@query(NESTED_SQL + """
+SELECT a.k, a.pointer, a.component, b.component AS inner_component, count(*) AS n_inner
+FROM ch a JOIN ch b ON a.k = b.k AND starts_with(b.pointer, a.pointer || '/') AND a.component <> b.component GROUP BY ALL
+""")
+def nested_overlaps(t: Tables) -> DataFrame:
+    return diff.nested_overlaps(nested_changes(t), ["k"])
+
+
+@query(NESTED_SQL + """,
+w AS (SELECT k, pointer FROM ch WHERE component = 'audit' AND k % 2 = 0 AND pointer LIKE '%lines'),
+o AS (SELECT DISTINCT a.k, a.pointer, w.pointer IS NOT NULL AS ruled
+      FROM ch a JOIN ch b ON a.k = b.k AND starts_with(b.pointer, a.pointer || '/') AND a.component <> b.component
+      LEFT JOIN w ON w.k = a.k AND w.pointer = a.pointer),
+j AS (SELECT ch.k, ch.pointer, bool_or(NOT o.ruled) AS still_open, bool_or(ch.component = 'audit') AS own
+      FROM ch JOIN o ON o.k = ch.k AND starts_with(ch.pointer, o.pointer || '/') GROUP BY ALL),
+s AS (SELECT k, pointer FROM j WHERE still_open UNION SELECT k, pointer FROM o WHERE NOT ruled),
+f AS (SELECT k, pointer FROM j WHERE NOT still_open AND NOT own)
+SELECT DISTINCT k, pointer, (k, pointer) IN (SELECT (k, pointer) FROM s) AS unresolved FROM ch WHERE (k, pointer) NOT IN (SELECT (k, pointer) FROM f) OR (k, pointer) IN (SELECT (k, pointer) FROM s)
+""")
+def resolve_nested(t: Tables) -> DataFrame:
+    """Rules give the lines of every other customer to the audit; the other disputes stay open."""
+    changes = nested_changes(t).distinct().withColumn("value", F.col("component"))
+    rules = changes.filter("component = 'audit' and k % 2 = 0 and pointer like '%lines'").select("k", "pointer", "component")
+    resolved, unresolved = diff.resolve_nested(changes, rules, ["k"])
+    return resolved.select("k", "pointer", F.lit(False).alias("unresolved")).unionByName(
+        unresolved.select("k", "pointer", F.lit(True).alias("unresolved")))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber AS seq, count(DISTINCT (l_partkey, l_returnflag)) AS n_patches FROM lineitem GROUP BY ALL HAVING count(DISTINCT (l_partkey, l_returnflag)) > 1
+""")
+def patch_ties(t: Tables) -> DataFrame:
+    """Order lines as patches of an order in the sequence of their numbers; some numbers repeat."""
+    patches = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("seq"), "l_partkey", "l_returnflag")
+    return diff.patch_ties(patches, ["l_orderkey"])
+
+
+@query("""
+SELECT p_brand, count(*) AS n_before, count(*) AS n_after, CAST(sum(p_size) AS BIGINT) AS weight_before, CAST(sum(p_size) AS BIGINT) AS weight_after,
+       CAST(count(*) FILTER (p_partkey % 7 = 0) AS BIGINT) AS n_lost, CAST(count(*) FILTER (p_partkey % 7 = 0) AS BIGINT) AS n_gained, count(*) FILTER (p_partkey % 7 = 0) = 0 AS equal, true AS updated
+FROM (SELECT p_partkey, p_size, nullif(p_brand, 'Brand#3') AS p_brand FROM part) GROUP BY ALL
+""")
+def population_swaps(t: Tables) -> DataFrame:
+    """Every seventh part is another one of equal size; counts agree, digests don't.
+
+    ``updated``: the digest of the new population equals that of the old one after
+    the changes alone were added and taken away. One brand is NULL.
+    """
+    brand = F.when(F.col("p_brand") != "Brand#3", F.col("p_brand"))
+    before = t.part.select(brand.alias("p_brand"), "p_partkey", "p_size")
+    swapped = before.filter("p_partkey % 7 = 0")
+    new = swapped.withColumn("p_partkey", -1 - F.col("p_partkey"))
+    after = before.filter("p_partkey % 7 <> 0").unionByName(new)
+    counts = diff.population_accounting(before, after, ["p_brand"], "p_size", ["p_partkey"]).drop("sha_before", "sha_after")
+    seal = lambda d: d.withColumn("sha", record_sha(["p_partkey", "p_size"]))
+    state = identity.multiset_state(seal(before), ["p_brand"], "sha")
+    updated = identity.update_state(state, seal(new), seal(swapped), ["p_brand"], "sha")
+    digests = diff.diff_records(identity.population_digest(updated, ["p_brand"]),
+                                identity.population_digest(identity.multiset_state(seal(after), ["p_brand"], "sha"), ["p_brand"]),
+                                ["p_brand"], "population_sha")
+    met = digests.select(F.col("p_brand").alias("_b"), (F.col("status") == "unchanged").alias("updated"))
+    return counts.join(met, F.col("p_brand").eqNullSafe(F.col("_b"))).drop("_b")
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT range AS v FROM range(10)),
+m AS (
+  SELECT v || ':' || c_custkey AS a, CASE WHEN c_custkey % 17 = v THEN NULL WHEN v % 3 = 1 THEN (v + 1) || ':' || (c_custkey // 2) ELSE (v + 1) || ':' || c_custkey END AS b FROM customer, v
+  UNION SELECT v || ':' || c_custkey, (v + 1) || ':' || (c_custkey + 1) FROM customer, v WHERE c_custkey % 11 = v
+  UNION SELECT 'x' || c_custkey, 'x' || (c_custkey - c_custkey % 3 + (c_custkey + 1) % 3) FROM customer WHERE c_custkey % 60 < 3),
+r AS (SELECT a, b, 1 AS n FROM m UNION ALL SELECT r.a, m.b, n + 1 FROM r JOIN m ON r.b = m.a WHERE n < 20)
+SELECT a AS id, b AS final_id, CASE WHEN b IS NULL THEN 'removed' ELSE 'current' END AS status, count(*) AS n_paths, max(n)::BIGINT AS n_steps
+FROM r WHERE b IS NULL OR b NOT IN (SELECT a FROM m) GROUP BY ALL
+UNION ALL SELECT a, 'x' || (substr(a, 2)::BIGINT // 3 * 3), 'cycle', NULL, NULL FROM m WHERE a LIKE 'x%'
+""")
+def lineage_chains(t: Tables) -> DataFrame:
+    """Ids of ten versions: they merge in pairs, split and go; rings of three never end."""
+    key = F.col("c_custkey")
+    half = F.expr("c_custkey div 2")
+    steps = t.customer.select("c_custkey", F.explode(F.expr("sequence(0, 9)")).alias("v"))
+    v = F.col("v")
+
+    def name(version, k):
+        return F.concat(version.cast("string"), F.lit(":"), k.cast("string"))
+
+    straight = steps.select(name(v, key).alias("old_id"), F.when(key % 17 == v, F.lit(None)).when(v % 3 == 1, name(v + 1, half)).otherwise(
+        name(v + 1, key)).alias("new_id"))
+    split = steps.filter(key % 11 == v).select(name(v, key).alias("old_id"), name(v + 1, key + 1).alias("new_id"))
+    rings = t.customer.filter("c_custkey % 60 < 3").select(
+        F.concat(F.lit("x"), key).alias("old_id"), F.concat(F.lit("x"), key - key % 3 + (key + 1) % 3).alias("new_id"))
+    found = diff.lineage_chains(straight.unionByName(split).unionByName(rings))
+    # Which id of a ring stands for it depends on the number of rounds; name the ring's first.
+    ring = F.concat(F.lit("x"), F.expr("cast(substr(final_id, 2) as bigint) div 3 * 3"))
+    return found.withColumn("final_id", F.when(F.col("status") == "cycle", ring).otherwise(F.col("final_id")))
