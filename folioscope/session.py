@@ -41,13 +41,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a frame that several outputs read.
-
-    Uses the shared folder the cluster names in ``spark.checkpoint.dir``; only a
-    local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local session may lack one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,4 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="folioscope-ckpt-")
         context.setCheckpointDir(shared)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a frame that several outputs read, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
