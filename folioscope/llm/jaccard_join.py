@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import graph
 from folioscope.llm.shared import cut, stored, table
 from folioscope.llm.words import LETTER_DIGIT, LOWER, U64, Words, mixed, prefix, ranges, slices
 
@@ -229,27 +230,26 @@ def candidate_edges(sets: DataFrame, limit: int = LIMIT, depth: int = DEPTH) ->
 
 
 # ---------------------------------------------------------------- components
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task as (smallest, member) trees, some tens of thousands at a time."""
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        names = sorted({*a, *b})
+        number = {name: i for i, name in enumerate(names)}
+        tops = roots(len(names), [(number[x], number[y]) for x, y in zip(a, b, strict=True)])
+        pairs = [(names[t], names[i]) for i, t in enumerate(tops) if t != i]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(member, root) of all connected components by alternating star contraction.
+    """(member, root) of all connected components; the root of a component, its smallest member, has no row.
 
-    ``edges`` has a and b. The root of a component is its smallest member and has
-    no row. Each round points all larger neighbours at the smallest one, so a
-    path halves; hot vertices are dealt out.
+    Tasks contract their own edges to trees before any row moves; stars then
+    end in one round of joins.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_unique(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.filter("u <> v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join_unique(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("member"), F.col("v").alias("root"))
-        mark = seen
+    trees = edges.select("a", "b").mapInArrow(_contracted, "a binary, b binary")
+    return graph.components(trees).filter("node <> root").withColumnRenamed("node", "member")
 
 
 # ---------------------------------------------------------------- exact links
