@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.shared import WORD, before, cut, table
+from folioscope.llm.shared import WORD, before, cut, stored, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -58,7 +58,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+def mix(
+    docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, row: str | None = None
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, key, source_size, target, taken.
 
     ``taken`` counts the words of the document in the mix: whole epochs of its
@@ -66,10 +68,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     may fall inside one document. Null or empty texts have size 0 and take 0.
     Null ids share one key; equal keys are ordered by id and size, so repeated
     rows are interchangeable. Null is a source of its own. An empty table gives
-    no rows. Other columns are ignored.
+    no rows. A long text counts by its words like any other. Other columns are
+    ignored, but for ``row``: a column that names each row, which is carried along
+    and orders rows that are otherwise equal.
     """
+    own = [row] if row else []
     keyed = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"),
+        "doc_id", "source", *own, n_words(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
     )
     keyed = cut(keyed.withColumns({
@@ -88,14 +93,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     )
     coarse = coarse.select("sk", "k1", before("n", ["sk"], ["k1"]).alias("base")).join(targets, "sk")
     fine = fine.select("sk", "k1", "k2", before("n", ["sk", "k1"], ["k2"]).alias("inner")).join(coarse, ["sk", "k1"])
-    start = before("size", ["sk", "k1", "k2"], ["key", "doc_id", "size"]) + F.col("inner") + F.col("base")
+    start = before("size", ["sk", "k1", "k2"], ["key", "doc_id", "size", *own]) + F.col("inner") + F.col("base")
     budget = F.floor(F.col("target")).cast("bigint")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
     rest = budget - whole * F.col("source_size")
     return (
         keyed.join(fine, ["sk", "k1", "k2"]).withColumn("start", start)
         .withColumn("last", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("bigint"))
-        .select("doc_id", "source", "size", "key", "source_size", "target", whole.alias("epochs"), "last",
+        .select("doc_id", "source", *own, "size", "key", "source_size", "target", whole.alias("epochs"), "last",
                 (whole * F.col("size") + F.col("last")).alias("taken"))
     )
 
@@ -104,23 +109,20 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     """The mix as documents: each epoch is a row, the document at the cut ends there.
 
     Columns of ``docs`` in their order; ``n_chars``, where present, counts the
-    text that stays. Documents of which no word is taken go. Rows of one id meet
-    their share by id and size, so repeated rows are kept apart by nothing and
-    counted once each.
+    text that stays. Documents of which no word is taken go. Rows are named and
+    stored first, so each meets its own share, whatever ids and texts repeat.
     """
-    plan = mix(docs, weights, share, epochs).groupBy(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size")
-    ).agg(F.max("epochs").alias("_mix_epochs"), F.max("last").alias("_mix_last"))
-    sized = docs.withColumn("_mix_n", n_words(F.col("text")))
-    met = sized.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("source").eqNullSafe(F.col("_mix_source"))
-                     & (F.col("_mix_n") == F.col("_mix_size")))
+    named = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mixing")
+    plan = mix(named, weights, share, epochs, row="_mix_row").filter("taken > 0").select(
+        "_mix_row", F.col("size").alias("_mix_size"), F.col("epochs").alias("_mix_epochs"), F.col("last").alias("_mix_last"))
+    met = named.join(plan, "_mix_row")
     whole = F.array_repeat(F.col("_mix_size"), F.col("_mix_epochs").cast("int"))
     part = F.when(F.col("_mix_last") > 0, F.array(F.col("_mix_last"))).otherwise(F.array().cast("array<bigint>"))
     rows = met.withColumn("_mix_take", F.explode(F.concat(whole, part))).filter("_mix_take > 0")
     # Each piece ends with a word, so the first n pieces hold n words.
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     head = F.array_join(F.slice(pieces, 1, F.col("_mix_take").cast("int")), "")
-    cut_text = F.when(F.col("_mix_take") < F.col("_mix_n"), head).otherwise(F.col("text"))
+    cut_text = F.when(F.col("_mix_take") < F.col("_mix_size"), head).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut_text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -51,7 +51,7 @@ def test_reruns_agree(small):
 
 
 def test_documents_hold_the_words_taken(spark, small, hard):
-    for docs in (small, hard.filter("doc_id <> 8")):
+    for docs in (small, hard):
         out = mixing.mixed_documents(docs)
         assert out.columns == docs.columns
         got, want = defaultdict(int), defaultdict(int)
@@ -64,6 +64,21 @@ def test_documents_hold_the_words_taken(spark, small, hard):
         assert {k: v for k, v in want.items() if v} == dict(got)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_take_their_own_shares(spark, doc_id):
+    """Equal rows under a cut that falls inside one of them."""
+    rows = [(doc_id, "one two three four", "s")] * 38 + [(doc_id, "five six", "s"), (doc_id, None, "s"), (1, "x " * 400, "t")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(3)
+    out = mixing.mixed_documents(docs, weights=(3, 7)).collect()
+    targets = targets_by_filling_of(mixing.mix(docs, weights=(3, 7)))
+    for source, target in targets.items():
+        assert sum(words(r.text) for r in out if r.source == source) == int(target)
+
+
+def targets_by_filling_of(plan):
+    return {r.source: r.target for r in plan.collect()}
+
+
 def test_empty(empty):
     assert mixing.mix(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
