@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import coverage, diff, identity
 from folioscope.operators.checks import all_checks, check_rows
+from folioscope.plans.proof import proof_checks
 from folioscope.sources.entities import explode_releases
 
 
@@ -69,7 +70,7 @@ def semantic_checks(profiled: DataFrame, facts: dict[str, DataFrame], wrappers:
 def audit_releases(
     docs: DataFrame, files: DataFrame, members: DataFrame, profiles: dict[str, tuple[str, str]],
     registrations: DataFrame, expected: DataFrame, facts: dict[str, DataFrame] | None = None,
-    wrappers: tuple[str, ...] = (),
+    wrappers: tuple[str, ...] = (), contents: DataFrame | None = None,
 ) -> DataFrame:
     """Check rows for ``docs(path, json)``.
 
@@ -77,8 +78,9 @@ def audit_releases(
     gives (profile, pinned revision) per schema version;
     ``registrations(state, stage, schema_version, path, sha256)`` and
     ``expected`` with the same columns, ``state`` being the release id.
-    ``facts`` and the policy's ``wrappers`` are those of ``semantic_checks``;
-    without facts only the transport is judged.
+    ``facts`` and the policy's ``wrappers`` are those of ``semantic_checks``. With
+    ``contents(path, json)``, the texts of the bound files, what they say is judged
+    too (``proof_checks``); without both only the transport is judged.
     """
     # The key of a release is its descriptor's path, which is always there and keeps
     # two descriptors of one id apart; the id it states names its check rows.
@@ -163,4 +165,6 @@ def audit_releases(
         _none_of(releases, nameless, "release_id"),
         check_rows(stray, "archive_declared", F.col("archive"), F.lit(False), F.lit("no release declares it")),
         *(semantic_checks(profiled, facts, list(wrappers)) if facts is not None else []),
+        *([proof_checks(profiled.select("release_id", "stated", "scope", "profile"), bindings, contents, list(wrappers))]
+          if contents is not None else []),
     ])
