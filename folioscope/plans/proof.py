@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.sides import stack
 from folioscope.operators import diff, identity
 from folioscope.operators.checks import all_checks, check_rows
+from folioscope.session import cut_lineage
 
 # Fixed values of the release format: what a lock's lineage and a template's schema are
 # called, and the stage and schema under which a state registers each role.
@@ -100,7 +101,8 @@ def proof_checks(releases: DataFrame, bindings: DataFrame, contents: DataFrame,
     """
     scope = F.col("scope")
     texts = bindings.join(contents, "path").select("release_id", "role", "path", "sha256", "json")
-    facts = releases.join(release_facts(texts, wrappers), "release_id", "left")
+    # Small rows that many checks read.
+    facts = cut_lineage(releases.join(release_facts(texts, wrappers), "release_id", "left"))
 
     def same(a: str, b: str) -> Column:
         return F.col(a) == F.col(b)
@@ -161,6 +163,7 @@ def proof_checks(releases: DataFrame, bindings: DataFrame, contents: DataFrame,
         "release_id", F.col("path").alias("lock_path"),
         F.explode(F.try_variant_get(F.try_parse_json("json"), "$.density_basis.chunks", chunk)).alias("c"),
     ).select("release_id", beside(F.col("lock_path"), F.col("c.source_artifact.path")).alias("path"), F.col("c.source_artifact.sha256").alias("sha256")).distinct()
+    named = cut_lineage(named)
     bound = bindings.select("release_id", "path", "sha256").distinct()
     unbound = named.join(bound, ["release_id", "path", "sha256"], "left_anti").select("release_id", F.col("path").alias("detail"))
     measured = named.select("release_id", "path").distinct().join(contents, "path")
