@@ -104,6 +104,21 @@ def first_page_assignment(t: Tables) -> DataFrame:
     return coverage.assign_by_first_page(evidence, buckets, [], "o_custkey", "day")
 
 
+@query(f"""
+WITH f AS (SELECT o_custkey, min(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)) AS first_page FROM orders WHERE o_custkey % 10 <> 0 GROUP BY 1)
+SELECT o_orderkey, o_custkey, bucket FROM orders LEFT JOIN (SELECT o_custkey, bucket FROM f LEFT JOIN {BUCKETS_SQL} ON first_page BETWEEN lo AND hi) USING (o_custkey)
+""")
+def children_buckets(t: Tables) -> DataFrame:
+    """Orders take the bucket of their customer; every tenth customer was not assigned."""
+    day = F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("bigint")
+    buckets = t.spark.createDataFrame(
+        [("B1", 0, 99), ("B2", 100, 399), ("B3", 400, 1499)], "bucket string, lo bigint, hi bigint"
+    )
+    evidence = t.orders.filter("o_custkey % 10 <> 0").select("o_custkey", day.alias("day"))
+    assigned = coverage.assign_by_first_page(evidence, buckets, [], "o_custkey", "day")
+    return coverage.follow_parent(t.orders.select("o_orderkey", "o_custkey"), assigned, ["o_custkey"])
+
+
 @query("""
 WITH f AS (SELECT user_id, min(event_id) AS first_position FROM events GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY first_position) AS rank FROM f)

@@ -63,6 +63,24 @@ def words_by_chunk(t: Tables) -> DataFrame:
     return measure.rollup_owned(ranked.withColumn("chunk_id", F.concat(F.lit("CHUNK-"), number)))
 
 
+@query("""
+WITH p AS (
+  SELECT source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, len(regexp_extract_all(text, '[^\\s]+')) AS words FROM documents),
+c AS (SELECT source_id, (page - 1) // 10 AS n, min(page) AS lo, max(page) AS hi FROM p WHERE page % 7 <> 3 GROUP BY ALL),
+o AS (SELECT p.source_id, 'CHUNK-' || n AS chunk_id, p.words FROM p JOIN c ON p.source_id = c.source_id AND p.page BETWEEN lo AND hi)
+SELECT source_id, CASE WHEN grouping(chunk_id) = 0 THEN chunk_id END AS chunk_id,
+       CASE WHEN grouping(source_id) = 1 THEN 'all' WHEN grouping(chunk_id) = 1 THEN 'source' ELSE 'chunk' END AS level,
+       count(*) AS pages, CAST(sum(words) AS BIGINT) AS words
+FROM o GROUP BY ROLLUP (source_id, chunk_id)
+""")
+def words_rolled_up(t: Tables) -> DataFrame:
+    """Pages meet the chunks that own them; chunks end at pages of a smaller map, so some pages have none."""
+    counted = t.documents.select(F.col("source").alias("source_id"), "doc_id", F.regexp_count("text", F.lit(r"[^\s]+")).cast("bigint").alias("words"))
+    numbered = bucketed_position(counted, ["source_id"], "doc_id", "page")
+    chunk_pages = pages.expand_chunks(chunks_of(numbered.filter("page % 7 <> 3").select("source_id", "page")))
+    return measure.rollup_words(numbered, chunk_pages)
+
+
 LINES_SQL = """
 lines AS (
   SELECT d.doc_id AS page, d.source AS source_id, l.line_no, 40 + 12 * l.line_no AS y, l.line,
@@ -382,6 +400,15 @@ def sidecar(t: Tables) -> DataFrame:
     return pages.chunk_sidecar(order_chunks(t))
 
 
+@query(ORDER_PAGES_SQL + """
+SELECT source_id, chunk_id, row_number() OVER (PARTITION BY source_id, chunk_id ORDER BY page) AS chunk_page, page, ownership FROM cp
+""")
+def numbered_chunk_pages(t: Tables) -> DataFrame:
+    """The same numbers from pages that are expanded already."""
+    expanded = pages.expand_chunks(order_chunks(t)).select("source_id", "chunk_id", "page", "ownership")
+    return pages.number_chunk_pages(expanded)
+
+
 @query(ORDER_PAGES_SQL + """
 SELECT source_id, chunk_id, count(*) AS page_count, count(*) FILTER (ownership = 'owned') AS owned_page_count,
        count(*) FILTER (ownership = 'context') AS context_page_count FROM cp GROUP BY 1, 2
