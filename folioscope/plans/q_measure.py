@@ -12,6 +12,8 @@ from folioscope.operators import diff, measure, pages
 from folioscope.plans.registry import Tables, query
 
 PAGES_PER_CHUNK = 10
+# Document ids count up from 0, so two levels of buckets leave one row for each 2**32 of them.
+DENSE = 2
 
 
 def texts(t: Tables, *columns: str) -> DataFrame:
@@ -22,7 +24,7 @@ def texts(t: Tables, *columns: str) -> DataFrame:
 def ranked_documents(t: Tables) -> DataFrame:
     """(source_id, page, doc_id): documents of a source are its pages in id order."""
     ids = t.documents.select(F.col("source").alias("source_id"), "doc_id")
-    return bucketed_position(ids, ["source_id"], "doc_id", "page")
+    return bucketed_position(ids, ["source_id"], "doc_id", "page", levels=DENSE)
 
 
 def chunks_of(ranked: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def words_by_chunk(t: Tables) -> DataFrame:
         F.col("source").alias("source_id"), "doc_id",
         tx.count_tokens(tx.dehyphenate(F.col("text"))).alias("words"),
     )
-    ranked = bucketed_position(counted, ["source_id"], "doc_id", "page")
+    ranked = bucketed_position(counted, ["source_id"], "doc_id", "page", levels=DENSE)
     number = bucket_of(F.col("page") - 1, PAGES_PER_CHUNK)
     return measure.rollup_owned(ranked.withColumn("chunk_id", F.concat(F.lit("CHUNK-"), number)))
 
@@ -76,7 +78,7 @@ FROM o GROUP BY ROLLUP (source_id, chunk_id)
 def words_rolled_up(t: Tables) -> DataFrame:
     """Pages meet the chunks that own them; chunks end at pages of a smaller map, so some pages have none."""
     counted = t.documents.select(F.col("source").alias("source_id"), "doc_id", F.regexp_count("text", F.lit(r"[^\s]+")).cast("bigint").alias("words"))
-    numbered = bucketed_position(counted, ["source_id"], "doc_id", "page")
+    numbered = bucketed_position(counted, ["source_id"], "doc_id", "page", levels=DENSE)
     chunk_pages = pages.expand_chunks(chunks_of(numbered.filter("page % 7 <> 3").select("source_id", "page")))
     return measure.rollup_words(numbered, chunk_pages)
 
