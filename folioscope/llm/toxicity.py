@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import cut, table
-from folioscope.llm.words import LETTER, LOWER, U64, Words, mixed, ranges, slices
+from folioscope.llm.words import LETTER, LOWER, U64, Words, mixed, prefix, ranges, slices
 
 # Seed words of the grammar, * marks an open end.
 SEEDS = {
@@ -182,8 +183,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, triple = words.windows(words.hashes(), 3)
         bounds = np.searchsorted(words.doc[first], np.arange(batch.num_rows))
         full = np.diff(np.append(bounds, len(first))) > 0
+        whole = ranges(prefix(words.raw), words.at[:-1], words.at[1:]).view(np.int64)
         for k in range(3):
-            low = np.arange(batch.num_rows).astype(np.int64)  # texts of a word or two are told apart
+            low = whole.copy()  # a text of a word or two stands for itself
             if full.any():
                 low[full] = np.minimum.reduceat(mixed(triple + U64(k)), bounds[full]).view(np.int64)
             batch = batch.append_column(f"m{k}", pa.array(low))
@@ -294,10 +296,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS) -> M
     entries = seed_entries()
     if not n_clean or not n_toxic:
         return Model(Lexicon(entries), *regression(np.zeros((0, len(MARKS) + 1)), np.zeros(0)))
-    # A word of one text that has many copies is no evidence: of copies one row counts.
-    distinct = sample.select("text", "label").mapInArrow(
-        _sketched, "text string, label int, m0 bigint, m1 bigint, m2 bigint"
-    ).dropDuplicates(["m0"]).dropDuplicates(["m1"]).dropDuplicates(["m2"])
+    # A word of one text that has many copies is no evidence: of copies with one label,
+    # rows that agree on two of three minimum hashes, the one of the smallest id counts.
+    distinct = sample.mapInArrow(
+        _sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, label int, m0 bigint, m1 bigint, m2 bigint"
+    )
+    for pair in (("m0", "m1"), ("m0", "m2"), ("m1", "m2")):
+        copies = W.partitionBy("label", *pair).orderBy("doc_id", F.xxhash64("text"))
+        distinct = distinct.withColumn("_copy", F.row_number().over(copies)).filter("_copy = 1").drop("_copy")
     distinct = cut(distinct.select("text", "label"))  # at most sum(rows) rows
     totals = dict(distinct.groupBy("label").count().collect())
     n_clean, n_toxic = totals.get(0, 0) or 1, totals.get(1, 0) or 1
@@ -324,7 +330,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS) -> M
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sample.mapInArrow(vectors, f"doc_id {kind}, label int, x array<double>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    # One order, whatever the layout: rows of one id and label by their inputs.
+    first = pa.array([str(v) for v in got.column("x").to_pylist()])
+    got = got.append_column("order", first).sort_by([("doc_id", "ascending"), ("label", "ascending"), ("order", "ascending")])
     x = inputs(np.array(got.column("x").to_pylist()))
     return Model(lexicon, *regression(x, got.column("label").to_numpy().astype(float)))
 

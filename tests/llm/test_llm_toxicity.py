@@ -30,6 +30,24 @@ def test_labels_of_the_fold_are_not_read(tables):
     assert (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def test_layout_does_not_change_scores(tables):
+    docs, labels = (t.limit(4000) for t in tables)
+    docs = docs.unionByName(docs.limit(50))
+    models = [tx.train(docs.repartition(n), labels.repartition(n + 1)) for n in (1, 7)]
+    assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+    scores = [{(r.doc_id, r.score) for r in tx.score(docs.repartition(n), m, ["doc_id"]).collect()} for n, m in zip((3, 5), models)]
+    assert scores[0] == scores[1]
+
+
+def test_copies_of_one_label_count_once(spark):
+    text = "this zorgfool thing is a plain sentence of many words for all"
+    docs = spark.createDataFrame([(i, text if i % 2 else f"{text} {i} more words {i * 7} here") for i in range(1, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 30)) for i in range(1, 60)], "doc_id bigint, quality int, toxic int")
+    model = tx.train(docs, labels)
+    # Thirty copies of a text are one piece of evidence, so its words are no stems.
+    assert "insult" not in {m for m, v in zip(tx.MARKS, tx.features(pa.array(["zorgfool"]), model.lexicon)[0], strict=False) if v}
+
+
 def marks(text):
     lexicon = tx.Lexicon(tx.seed_entries())
     row = tx.features(pa.array([text]), lexicon)[0]
