@@ -179,8 +179,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_char
     """``docs``, with or without their text, with n_words, hit_words (word numbers), items and spans (bytes to remove).
 
     With ``remove`` the spans are cut out of the text. Words are runs of letters,
-    digits and non-ASCII characters after A-Z is lower-cased. Null or empty texts have no words, no hits and no items; items
-    without words never occur; an item without an id is named by an empty
+    digits and non-ASCII characters after A-Z is lower-cased. Null or empty texts
+    have no words, no hits and no items; a long text is a shard of its own, read
+    whole. Windows that overlap are one span, so no order of equals matters.
+    Items without words never occur; an item without an id is named by an empty
     string, and items of equal names count once. Repeated documents each get
     their row. Empty tables give no rows or no hits. Columns of ``docs`` stay;
     those of the four names above are replaced.

@@ -353,7 +353,8 @@ def classes(docs: DataFrame) -> DataFrame:
     is linked to. A text without
     words (null, empty, signs only) has a null digest, its own id as class and
     no links. Repeated rows share a class. A class of null ids alone has a null
-    id. Other columns are ignored; an empty table gives no rows.
+    id. Other columns are ignored; an empty table gives no rows. A long text is a
+    slice of its own and a set like any other. Ties of ids go to the smaller digest.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, digest binary, minima array<int>")

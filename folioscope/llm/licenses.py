@@ -105,7 +105,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     holds at least ``containment`` of the shingles, in order of names; ``best``
     is the largest such share, 0 without one. Null, empty or short texts hold
     none. Repeated rows each get their row, null ids stay null, other columns
-    are ignored, an empty table gives no rows.
+    are ignored, an empty table gives no rows. A long text is scanned whole. Templates
+    of equal containment are all named.
     """
     rows = prepared(docs.sparkSession, templates)
     anchors = _literal(sorted({x for r in rows for x in r.minima}))

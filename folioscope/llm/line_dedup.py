@@ -137,7 +137,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     ``keep`` is a zlib-compressed bitmap, one bit per line up to the last line
     that goes. Null or empty texts are one empty line and lose nothing. Rows of
     one id are one document: none of them loses a line to another. Null ids come
-    last, so they never are the first document. An empty table gives no rows.
+    last, so they never are the first document. Of equal lines in one document
+    all stay or all go. A long text is as many line hashes as lines. An empty
+    table gives no rows.
     """
     gone = dropped_lines(docs, min_chars).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -283,7 +283,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Offsets count code points, ends exclusive. Null or empty texts have no spans.
     Repeated rows each get their row, null ids stay null, other columns are
-    ignored, an empty table gives no rows.
+    ignored, an empty table gives no rows. A long text is a slice of its own and is
+    searched whole. Spans of one kind never overlap; kinds may share characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in KINDS)

@@ -242,7 +242,8 @@ def score(docs: DataFrame, model: Model, keep: float = MIN_PROBABILITY) -> DataF
 
     Null or empty texts have no words and fail the base rules. Repeated rows each
     get their row, null ids stay null, other columns are ignored, an empty table
-    gives no rows.
+    gives no rows. A long text is a slice of its own and is read whole. A
+    probability equal to ``keep`` keeps the row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"

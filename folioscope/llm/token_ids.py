@@ -314,7 +314,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, sh
 
     A null text has the end id alone. Rows of one id lie together, ordered by
     text; the n-th of them has the key (id, n). Other columns are not written.
-    An empty table writes no shard.
+    An empty table writes no shard. A text may be as long as its file; rows of one
+    id lie in one file, which is read whole, so an id with over 2 GB of ids can't
+    be read back.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))

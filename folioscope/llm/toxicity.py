@@ -281,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS) -> M
 
     Rows whose id has a crc32 divisible by 5 are never used. Only labels 0 and 1
     count; of labels repeated for an id the larger counts. Without labels of both
-    classes the fixed seeds and prior weights decide.
+    classes the fixed seeds and prior weights decide. Stems of equal evidence rank
+    by their bytes; the layout of the tables changes nothing.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -352,7 +353,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     Null or empty texts match nothing and get the score of the bias. Repeated
     rows each get their row, ids may be null, an empty table gives no rows. A
-    column of ``docs`` called score is replaced.
+    column of ``docs`` called score is replaced. A long text is a slice of its own
+    and is read whole; its length is an input. Scores may tie.
     """
     kept = [c for c in keep or docs.columns if c != "score"]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_STEMS stems
