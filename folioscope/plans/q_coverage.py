@@ -303,7 +303,11 @@ def near_shingles(t: Tables) -> DataFrame:
   SELECT lang, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS term FROM documents),
 l AS (SELECT lang, term AS id, term AS form FROM w GROUP BY ALL HAVING count(*) >= 10)""", links="""
   SELECT a.lang, a.id AS a, b.id AS b FROM l a JOIN l b ON a.lang = b.lang AND abs(len(a.id) - len(b.id)) <= 1
-  WHERE levenshtein(a.id, b.id) = 1"""))
+  WHERE CASE -- levenshtein counts bytes, so only ASCII is left to it
+    WHEN strlen(a.id) = len(a.id) AND strlen(b.id) = len(b.id) THEN levenshtein(a.id, b.id) = 1
+    WHEN len(a.id) = len(b.id) THEN len(list_filter(range(1, len(a.id) + 1), lambda i: substr(a.id, i, 1) <> substr(b.id, i, 1))) = 1
+    WHEN len(a.id) > len(b.id) THEN list_contains(list_transform(range(1, len(a.id) + 1), lambda i: substr(a.id, 1, i - 1) || substr(a.id, i + 1)), b.id)
+    ELSE list_contains(list_transform(range(1, len(b.id) + 1), lambda i: substr(b.id, 1, i - 1) || substr(b.id, i + 1)), a.id) END"""))
 def near_terms(t: Tables) -> DataFrame:
     """The terms of a language in at least ten documents, in classes of one changed letter."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0))
