@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import coverage, diff, identity
-from folioscope.operators.checks import all_checks, check_rows
+from folioscope.operators.checks import all_checks, check_rows, none_of
 from folioscope.plans.proof import proof_checks
+from folioscope.session import cut_lineage
 from folioscope.sources.entities import explode_releases
 
 
@@ -18,13 +19,6 @@ from folioscope.sources.entities import explode_releases
 DROPPED, RESTORED = ["/metadata_correction"], ["/protocol/source_role_note"]
 
 
-def _none_of(releases: DataFrame, problems: DataFrame, check: str) -> DataFrame:
-    """One check row per release: it has none of these problems."""
-    counted = problems.groupBy("release_id").agg(F.count("*").alias("n"), F.min("detail").alias("first"))
-    joined = releases.select("release_id", "scope").join(counted, "release_id", "left")
-    return check_rows(joined, check, F.col("scope"), F.col("n").isNull(), F.col("first"))
-
-
 def semantic_checks(profiled: DataFrame, facts: dict[str, DataFrame], wrappers: list[str]) -> list[DataFrame]:
     """Check rows over what the artifacts of a release say; ``facts`` name releases by the id they state.
 
@@ -84,7 +78,9 @@ def audit_releases(
     """
     # The key of a release is its descriptor's path, which is always there and keeps
     # two descriptors of one id apart; the id it states names its check rows.
-    parts = explode_releases(docs)
+    # The parts are read by many checks: each is taken out of the descriptors once, so
+    # that no plan holds the making of all of them again and again.
+    parts = {name: cut_lineage(part) for name, part in explode_releases(docs).items()}
     releases = parts["releases"].withColumns({
         "stated": F.col("release_id"), "release_id": F.col("path"), "scope": F.coalesce("release_id", "path"),
     })
@@ -155,14 +151,11 @@ def audit_releases(
         check_rows(
             releases, "freeze_commit", scope, identity.commit_shape(F.col("freeze_commit")), F.col("freeze_commit")
         ),
-        _none_of(releases, shape, "binding_shape"),
-        _none_of(releases, dupes, "distinct_paths"),
-        _none_of(releases, roles, "roles"),
-        _none_of(releases, bytes_differ, "artifact_bytes"),
-        _none_of(releases, member_problems, "archive_members"),
-        _none_of(releases, freeze, "archive_freeze_proof"),
-        _none_of(releases, registered, "registrations"),
-        _none_of(releases, nameless, "release_id"),
+        none_of(releases, {
+            "binding_shape": shape, "distinct_paths": dupes, "roles": roles, "artifact_bytes": bytes_differ,
+            "archive_members": member_problems, "archive_freeze_proof": freeze, "registrations": registered,
+            "release_id": nameless,
+        }),
         check_rows(stray, "archive_declared", F.col("archive"), F.lit(False), F.lit("no release declares it")),
         *(semantic_checks(profiled, facts, list(wrappers)) if facts is not None else []),
         *([proof_checks(profiled.select("release_id", "stated", "scope", "profile"), bindings, contents, list(wrappers))]

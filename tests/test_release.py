@@ -270,3 +270,11 @@ def test_semantic_checks(spark):
         ("other_scope", "scope_binding"), ("recounted", "metadata_only"), ("unapproved", "approved_changes"),
         ("unknown", "access_review"), ("unknown", "policy_semantics"), ("unknown", "scope_binding"),
     }
+
+
+def test_release_audit_plan_stays_small(spark):
+    """Checks share their inputs: the plan does not hold the making of descriptors and texts once a check."""
+    from folioscope.plans import catalog
+
+    plan = catalog.QUERIES["release_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") < 12 and plan.count("Exchange") < 20 and len(plan.splitlines()) < 200
