@@ -7,6 +7,8 @@ field (no leaf) and a JSON null (leaf ``null``) stay different.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -446,26 +448,45 @@ def lineage_chains(mapping: DataFrame) -> DataFrame:
     for a removal; an id may split into several and several may merge into one.
     ``current`` ids have no further step. ``n_paths`` counts the ways that lead
     from one to the other (NULL beyond 64 bits), ``n_steps`` the longest. Steps
-    are composed with themselves, so a chain of n versions takes log2(n) rounds.
+    are composed with themselves, so a chain of n versions takes log2(n) rounds;
+    ways that have ended are not moved again, and rounds after the longest chain
+    touch only ids that run into a cycle.
     An id that still goes on after more steps than there are ids runs into a
     ``cycle``, with an id of it as the final one.
     """
     steps = cut_lineage(mapping.select(F.col("old_id").alias("id"), F.col("new_id").alias("final_id")).distinct())
-    n_ids = steps.select("id").distinct().count()
-    going = steps.select(F.col("id").alias("_id")).distinct()
+    going = cut_lineage(steps.select(F.col("id").alias("_id")).distinct())
+    n_ids = going.count()
     one = F.lit(1).cast("bigint")
-    now = steps.join(going, F.col("final_id") == F.col("_id"), "left").select(
-        "id", "final_id", one.alias("n_paths"), one.alias("n_steps"), F.col("_id").isNotNull().alias("open"))
-    now, reach = cut_lineage(now), 1
-    while reach <= n_ids and not now.filter("open").isEmpty():
-        on = now.select(F.col("id").alias("_id"), F.col("final_id").alias("_to"), F.col("n_paths").alias("_p"),
-                        F.col("n_steps").alias("_s"), F.col("open").alias("_open"))
-        moved = now.filter("open").join(on, F.col("final_id") == F.col("_id")).select(
+    now = cut_lineage(steps.join(going, F.col("final_id") == F.col("_id"), "left").select(
+        "id", "final_id", one.alias("n_paths"), one.alias("n_steps"), F.col("_id").isNotNull().alias("open")))
+
+    def summed(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(
+            F.when(F.count("n_paths") == F.count("*"), F.try_sum("n_paths")).alias("n_paths"), F.max("n_steps").alias("n_steps"))
+
+    # What has ended is kept as it is; a round moves only the ways that still go on.
+    ended, going_on, reach, met_end = [now.filter("not open").drop("open")], now.filter("open").drop("open"), 1, True
+    while reach <= n_ids and not going_on.isEmpty():
+        on = going_on.withColumn("open", F.lit(True))
+        # Once no open way meets an ended one none ever will: all that is left runs into cycles.
+        if met_end:
+            on = on.unionByName(reduce(DataFrame.unionByName, ended).withColumn("open", F.lit(False)))
+        on = on.select(F.col("id").alias("_id"), F.col("final_id").alias("_to"), F.col("n_paths").alias("_p"),
+                       F.col("n_steps").alias("_s"), "open")
+        moved = going_on.join(on, F.col("final_id") == F.col("_id")).select(
             "id", F.col("_to").alias("final_id"), F.try_multiply("n_paths", "_p").alias("n_paths"),
-            F.expr("least(n_steps + _s, 4611686018427387903)").alias("n_steps"), F.col("_open").alias("open"))
-        now = cut_lineage(now.filter("not open").unionByName(moved).groupBy("id", "final_id", "open").agg(
-            F.when(F.count("n_paths") == F.count("*"), F.try_sum("n_paths")).alias("n_paths"), F.max("n_steps").alias("n_steps")))
+            F.expr("least(n_steps + _s, 4611686018427387903)").alias("n_steps"), "open")
+        now = cut_lineage(summed(moved, ["id", "final_id", "open"]))
+        if met_end:
+            found = now.filter("not open").drop("open")
+            met_end = not found.isEmpty()
+            ended.append(found)
+        going_on = now.filter("open").drop("open")
         reach *= 2
+    # An id may meet the same end in several rounds, by ways of different lengths.
+    closed = summed(reduce(DataFrame.unionByName, ended), ["id", "final_id"]).withColumn("open", F.lit(False))
+    now = closed.unionByName(going_on.withColumn("open", F.lit(True)))
     status = F.when(F.col("open"), "cycle").when(F.col("final_id").isNull(), "removed").otherwise("current")
     ends = now.withColumn("status", status).select("id", "final_id", "status", "n_paths", "n_steps")
     # On a cycle the number of steps taken says nothing; one of its ids stands for it.

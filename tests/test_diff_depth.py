@@ -167,3 +167,20 @@ def test_lineage_over_many_versions(spark):
             count[end] += k
             longest[end] = max(longest[end], n)
         assert got[node] == {e: ("removed" if e is None else "current", count[e], longest[e]) for e in count}
+
+
+def test_lineage_rounds_move_only_what_goes_on(spark, monkeypatch):
+    """Ended chains stay out of later rounds; a ring alone needs those."""
+    sizes, cut = [], diff.cut_lineage
+
+    def spy(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(diff, "cut_lineage", spy)
+    steps = [(f"{v}:{i}", f"{v + 1}:{i}") for v in range(4) for i in range(50)] + [("r1", "r2"), ("r2", "r1")]
+    got = {r.id: r for r in diff.lineage_chains(spark.createDataFrame(steps, "old_id string, new_id string")).collect()}
+    assert len(got) == 202 and {n for n, r in got.items() if r.status == "cycle"} == {"r1", "r2"}
+    assert all(got[f"{v}:{i}"].final_id == f"4:{i}" and got[f"{v}:{i}"].n_steps == 4 - v for v in range(4) for i in range(50))
+    assert len(sizes) > 8 and sizes[-3:] == [2, 2, 2]
