@@ -74,12 +74,13 @@ def is_callout(text: Column, height: Column, is_special: Column) -> Column:
     return (height < CALLOUT_HEIGHT) & ~is_special & tx.is_digits(text)
 
 
-def gather_pages(words: DataFrame) -> DataFrame:
+def gather_pages(words: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per page with its lines of positioned words in order.
 
-    Both aggregations use the one exchange by page.
+    Both aggregations use the one exchange by page, to ``parts`` tasks if given:
+    a task sorts its words, so there should be as many as keep that in memory.
     """
-    placed = words.repartition("source_id", "page")
+    placed = words.repartition(*([parts] if parts else []), "source_id", "page")
     by_line = placed.groupBy("source_id", "page", "line_no").agg(
         F.first("line_y_min").alias("y"),
         F.sort_array(F.collect_list(F.struct(
@@ -92,14 +93,15 @@ def gather_pages(words: DataFrame) -> DataFrame:
     )
 
 
-def assemble_lines(words: DataFrame, rules: DataFrame) -> DataFrame:
+def assemble_lines(words: DataFrame, rules: DataFrame, parts: int | None = None) -> DataFrame:
     """Pages with their lines as (line_no, reason, n_words, n_callouts, text).
 
     ``reason`` is NULL for a kept line, ``text`` is NULL for an excluded one.
-    Rules meet whole pages, which are already placed by page.
+    Rules meet whole pages, which are already placed by page; ``parts`` is that
+    of ``gather_pages``.
     """
     no = F.lit(False)
-    pages = gather_pages(words).join(rules, ["source_id", "page"], "left").withColumns({
+    pages = gather_pages(words, parts).join(rules, ["source_id", "page"], "left").withColumns({
         "is_start": F.coalesce("is_start", no), "is_special": F.coalesce("is_special", no),
         "display_y": F.coalesce("display_y", F.lit(DISPLAY_Y)),
         "captions": F.coalesce("captions", F.expr(_NO_CAPTIONS)),

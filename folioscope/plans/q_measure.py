@@ -14,6 +14,8 @@ from folioscope.plans.registry import Tables, query
 PAGES_PER_CHUNK = 10
 # Document ids count up from 0, so two levels of buckets leave one row for each 2**32 of them.
 DENSE = 2
+# Text of one task of words: as positioned words it takes about thirty times as much memory.
+PART_BYTES = 4 << 20
 
 
 def texts(t: Tables, *columns: str) -> DataFrame:
@@ -230,11 +232,17 @@ def nfkc_words(t: Tables) -> DataFrame:
     )
 
 
-def document_words(t: Tables) -> DataFrame:
+def word_parts(t: Tables) -> int:
+    """Tasks that words are dealt to, in proportion to the text."""
+    total = t.documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
+def document_words(t: Tables, parts: int) -> DataFrame:
     """Documents laid out as positioned words: the input of the whole pipeline.
 
     Pages are placed by (source_id, page) before they become words, so that the
-    pipeline finds its words in place and moves none of them.
+    pipeline finds its words in place, in ``parts`` tasks, and moves none of them.
     Every third page ends inside a word; digit words of up to three digits are
     small enough to be note calls.
     """
@@ -242,7 +250,7 @@ def document_words(t: Tables) -> DataFrame:
         F.col("doc_id") % 3 == 0, F.concat(F.regexp_replace("text", r"[^\p{L}]+$", ""), F.lit("-"))
     ).otherwise(F.col("text"))
     paged = texts(t).select("doc_id", cut.alias("text")).join(ranked_documents(t), "doc_id")
-    paged = paged.repartition("source_id", "page")
+    paged = paged.repartition(parts, "source_id", "page")
     lines = paged.select("source_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = lines.select(
         "source_id", "page", "line_no", (F.lit(40) + F.col("line_no") * 12).cast("double").alias("line_y_min"),
@@ -264,7 +272,8 @@ def document_rules(ranked: DataFrame) -> DataFrame:
 
 
 def measured_documents(t: Tables) -> tuple[DataFrame, DataFrame]:
-    lines = measure.assemble_lines(document_words(t), document_rules(ranked_documents(t)))
+    parts = word_parts(t)
+    lines = measure.assemble_lines(document_words(t, parts), document_rules(ranked_documents(t)), parts)
     return measure.cross_page_joins(measure.page_edges(measure.assemble_pages(lines)))
 
 
