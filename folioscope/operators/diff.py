@@ -240,17 +240,19 @@ def resolve_nested(changes: DataFrame, rules: DataFrame, keys: list[str]) -> tup
     rule of the outer pointer then decides for what lies below it, whose own
     changes by others fall. Returns (resolved leaves, unresolved pointers).
     """
+    # Changes, disputes and judgements are each read by several joins and made once.
+    changes = cut_lineage(changes)
     resolved, unresolved = resolve_overlap(changes, rules, keys)
     by = [*keys, "pointer"]
     winners = rules.groupBy(*by).agg(F.min("component").alias("winner"), F.max("component").alias("_other"))
     winners = winners.filter("winner = _other").drop("_other")
-    outer = nested_overlaps(changes, keys).select(*by).distinct().join(winners, by, "left")
+    outer = cut_lineage(nested_overlaps(changes, keys).select(*by).distinct().join(winners, by, "left"))
     # Disputed outer pointers, and below each of them every changed pointer.
     below = changes.filter(F.col("pointer") != "").select(*by, "component").distinct().withColumn(
         "_above", F.explode(ancestors(F.col("pointer"))))
     above = outer.select(*keys, F.col("pointer").alias("_above"), "winner")
-    judged = below.join(above, [*keys, "_above"]).groupBy(*by).agg(
-        F.max(F.col("winner").isNull()).alias("_open"), F.bool_or(F.col("component") == F.col("winner")).alias("_own"))
+    judged = cut_lineage(below.join(above, [*keys, "_above"]).groupBy(*by).agg(
+        F.max(F.col("winner").isNull()).alias("_open"), F.bool_or(F.col("component") == F.col("winner")).alias("_own")))
     open_outer = outer.filter("winner is null").select(*by)
     fallen = judged.filter(~F.col("_open") & ~F.coalesce("_own", F.lit(False))).select(*by)
     open_ = judged.filter("_open").select(*by).unionByName(open_outer).distinct()

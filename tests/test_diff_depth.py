@@ -184,3 +184,14 @@ def test_lineage_rounds_move_only_what_goes_on(spark, monkeypatch):
     assert len(got) == 202 and {n for n, r in got.items() if r.status == "cycle"} == {"r1", "r2"}
     assert all(got[f"{v}:{i}"].final_id == f"4:{i}" and got[f"{v}:{i}"].n_steps == 4 - v for v in range(4) for i in range(50))
     assert len(sizes) > 8 and sizes[-3:] == [2, 2, 2]
+
+
+def test_nested_disputes_are_made_once(spark):
+    """Neither result makes changes or disputes anew; pointers are taken apart before both."""
+    rows = [("a", "x", "/p", "1"), ("a", "y", "/p/q", "2"), ("a", "x", "/r", "3")]
+    changes = spark.createDataFrame(rows, "k string, component string, pointer string, value string")
+    rules = spark.createDataFrame([("a", "/p", "x")], "k string, pointer string, component string")
+    kept, left = diff.resolve_nested(changes, rules, ["k"])
+    assert {r.pointer for r in kept.collect()} == {"/p", "/r"} and left.count() == 0
+    for out in (kept, left):
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
