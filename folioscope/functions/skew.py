@@ -22,3 +22,13 @@ def hot_join(big: DataFrame, small: DataFrame, keys: list[str], n_rows: str, how
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
     return big.join(one, same, how).select(*big.columns, *values)
+
+
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled at every size, never sent whole to every task.
+
+    Spark guesses a table's size from the files it was made of. Rows that are
+    exploded, and texts made in the job, are many times that, so what looks small
+    enough to broadcast may not fit the driver.
+    """
+    return df.hint("merge")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.sides import stack
+from folioscope.functions.skew import grown
 from folioscope.session import cut_lineage
 
 
@@ -33,7 +34,7 @@ def none_of(releases: DataFrame, problems: dict[str, DataFrame]) -> DataFrame:
     listed = stack([p.select("release_id", F.lit(check).alias("check"), "detail") for check, p in problems.items()])
     counted = cut_lineage(listed.groupBy("release_id", "check").agg(F.count("*").alias("n"), F.min("detail").alias("first")))
     names = F.explode(F.array(*[F.lit(check) for check in problems])).alias("check")
-    joined = releases.select("release_id", "scope", names).join(counted, ["release_id", "check"], "left")
+    joined = releases.select("release_id", "scope", names).join(grown(counted), ["release_id", "check"], "left")
     return check_rows(joined, F.col("check"), F.col("scope"), F.col("n").isNull(), F.col("first"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.sides import key_counts, side_count, side_value, stack, tag
+from folioscope.functions.skew import grown
 from folioscope.operators.coverage import closure, dangling, partition_check
 from folioscope.operators.identity import LANES, multiset_sha, multiset_sums
 from folioscope.session import cut_lineage
@@ -564,6 +565,6 @@ def metadata_only(
     # Every document has a row, so one without a change is seen to be examined.
     none = F.lit(0).cast("bigint")
     every = stack([old_leaves.select(*keys), new_leaves.select(*keys)]).distinct()
-    return every.join(judged, keys, "left").withColumns({
+    return every.join(grown(judged), keys, "left").withColumns({
         "n_changes": F.coalesce("n_changes", none), "n_other_changes": F.coalesce("n_other_changes", none),
     }).withColumn("metadata_only", F.col("n_other_changes") == 0)

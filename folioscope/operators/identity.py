@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.canonical import canonical_sha, drop_fields, json_field
 from folioscope.functions.sides import side_count, side_value, stack, tag
-from folioscope.functions.skew import hot_join
+from folioscope.functions.skew import grown, hot_join
 from folioscope.session import cut_lineage
 
 # Profiles by schema version, and the roles a release must bind.
@@ -108,7 +108,7 @@ def binding_dupes(bindings: DataFrame, descriptors: DataFrame | None = None) ->
     out = dupes.filter("n > 1").select("release_id", "path", F.lit("duplicate_path").alias("problem"), "n")
     if descriptors is None:
         return out
-    own = dupes.join(descriptors.select("release_id", "path").distinct(), ["release_id", "path"])
+    own = dupes.join(grown(descriptors.select("release_id", "path").distinct()), ["release_id", "path"])
     return out.unionByName(
         own.select("release_id", "path", F.lit("binds_itself").alias("problem"), "n")
     )
@@ -170,7 +170,7 @@ def unique_registration(registrations: DataFrame, expected: DataFrame) -> DataFr
     found = registrations.groupBy(*keys).agg(
         F.count("*").alias("n"), F.max("path").alias("reg_path"), F.max("sha256").alias("reg_sha")
     )
-    out = expected.join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = expected.join(grown(found), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     status = (
         F.when(F.col("n") != 1, "not_exactly_one")
         .when(
@@ -195,7 +195,7 @@ def audit_bundle(members: DataFrame, declared: DataFrame, bindings: DataFrame) -
         side_value("bound", "sha256").alias("want_sha"), side_count("declared").alias("_n"),
         (F.min(F.when(F.col("_side") == "bound", F.col("sha256"))) != side_value("bound", "sha256")).alias("several"),
     )
-    want = hot_join(declared, artifacts, ["artifact_path"], "_n", "left")
+    want = hot_join(grown(declared), artifacts, ["artifact_path"], "_n", "left")
     both = stack([
         members.select(*keys, F.col("sha256").alias("have"), F.lit("member").alias("_side")),
         want.select(*keys, F.col("want_sha").alias("want"), "several", F.lit("declared").alias("_side")),
@@ -226,7 +226,7 @@ def bundle_roles(declared: DataFrame, bindings: DataFrame, required: list[str])
     role_paths = cut_lineage(bindings.filter(F.col("role").isin(required)).select(
         F.col("path").alias("artifact_path"), "role"
     ).distinct())
-    held = declared.join(role_paths, "artifact_path", "left")
+    held = declared.join(grown(role_paths), "artifact_path", "left")
     return held.groupBy("archive").agg(
         F.count_distinct("role").alias("n_required_roles"),
         (F.count_distinct("role") == len(required)).alias("complete"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.skew import grown
 from folioscope.operators import diff, identity
 from folioscope.operators.checks import all_checks, check_rows, none_of
 from folioscope.session import cut_lineage
@@ -101,9 +102,9 @@ def proof_checks(releases: DataFrame, bindings: DataFrame, contents: DataFrame,
     scope = F.col("scope")
     # Four checks read the texts of roles; texts no fact is taken from stay where they are.
     told = F.when(F.col("role").isin(*FACTS), F.col("json")).alias("json")
-    texts = cut_lineage(bindings.filter("role is not null").join(contents, "path").select("release_id", "role", "path", "sha256", told))
+    texts = cut_lineage(bindings.filter("role is not null").join(grown(contents), "path").select("release_id", "role", "path", "sha256", told))
     # Small rows that many checks read.
-    facts = cut_lineage(releases.join(release_facts(texts, wrappers), "release_id", "left"))
+    facts = cut_lineage(releases.join(grown(release_facts(texts, wrappers)), "release_id", "left"))
 
     def same(a: str, b: str) -> Column:
         return F.col(a) == F.col(b)
@@ -164,8 +165,8 @@ def proof_checks(releases: DataFrame, bindings: DataFrame, contents: DataFrame,
     ).select("release_id", beside(F.col("lock_path"), F.col("c.source_artifact.path")).alias("path"), F.col("c.source_artifact.sha256").alias("sha256")).distinct()
     named = cut_lineage(named)
     bound = bindings.select("release_id", "path", "sha256").distinct()
-    unbound = named.join(bound, ["release_id", "path", "sha256"], "left_anti").select("release_id", F.col("path").alias("detail"))
-    measured = named.select("release_id", "path").distinct().join(contents, "path")
+    unbound = named.join(grown(bound), ["release_id", "path", "sha256"], "left_anti").select("release_id", F.col("path").alias("detail"))
+    measured = named.select("release_id", "path").distinct().join(grown(contents), "path")
     note = F.try_variant_get(F.try_parse_json("json"), "$.metadata_correction", "variant")
     text = lambda at: F.try_variant_get(F.col("note"), f"$.{at}", "string")
     corrected = measured.withColumn("note", note).filter("note is not null").withColumn(
@@ -175,11 +176,11 @@ def proof_checks(releases: DataFrame, bindings: DataFrame, contents: DataFrame,
         F.struct(text("scope_addendum_path").alias("path"), text("scope_addendum_file_sha256").alias("sha256")),
         F.struct(text("independent_source_scope_disposition.path").alias("path"), text("independent_source_scope_disposition.sha256").alias("sha256")),
     )).alias("r")).select("release_id", "detail", "r.path", "r.sha256")
-    loose = rests.join(bound, ["release_id", "path", "sha256"], "left_anti").select("release_id", "detail")
+    loose = rests.join(grown(bound), ["release_id", "path", "sha256"], "left_anti").select("release_id", "detail")
     # And a correction changes metadata only.
     keys = ["release_id", "document"]
     after = corrected.select("release_id", F.col("path").alias("document"), "json")
-    before = corrected.select("release_id", F.col("path").alias("document"), F.col("original").alias("path")).join(contents, "path").select(*keys, "json")
+    before = corrected.select("release_id", F.col("path").alias("document"), F.col("original").alias("path")).join(grown(contents), "path").select(*keys, "json")
     revised = diff.metadata_only(
         diff.flatten_json(before, keys, "json"), diff.flatten_json(after, keys, "json"), keys,
         ["/metadata_correction"], ["/protocol/source_role_note"],
@@ -187,7 +188,7 @@ def proof_checks(releases: DataFrame, bindings: DataFrame, contents: DataFrame,
     has = named.select("release_id", F.lit(True).alias("_has")).distinct()
     met = releases
     for per_release in (agreed, typed, has):
-        met = met.join(cut_lineage(per_release), "release_id", "left")
+        met = met.join(grown(cut_lineage(per_release)), "release_id", "left")
     asked = [
         ("source_policy_scope", "source_policy", F.lit("")), ("policy_template_scope", "policy_template", F.lit("")),
         ("typed_registrations", "ok", F.col("detail")), ("density_basis", "_has", F.lit("no measurement named")),
@@ -208,7 +209,7 @@ OWN_HASH = {
 
 def pinned_values(contents: DataFrame, pinned: DataFrame) -> DataFrame:
     """(path, pointer, want, have, ok) for values files must hold: ``pinned(path, pointer, value)`` as JSON text."""
-    texts = contents.join(pinned.select("path").distinct(), "path", "left_semi")
+    texts = contents.join(grown(pinned.select("path").distinct()), "path", "left_semi")
     leaves = diff.flatten_json(texts, ["path"], "json").select("path", "pointer", F.col("value").alias("have"))
     met = pinned.select("path", "pointer", F.col("value").alias("want")).join(leaves, ["path", "pointer"], "left")
     return met.withColumn("ok", F.coalesce(F.col("want") == F.col("have"), F.lit(False)))

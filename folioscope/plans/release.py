@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.skew import grown
 from folioscope.operators import coverage, diff, identity
 from folioscope.operators.checks import all_checks, check_rows, none_of
 from folioscope.plans.proof import proof_checks
@@ -37,11 +38,11 @@ def semantic_checks(profiled: DataFrame, facts: dict[str, DataFrame], wrappers:
     def each(judged: DataFrame, check: str, of: DataFrame = named) -> DataFrame:
         """One row per release: it is judged, and never unfavourably."""
         ok = judged.groupBy("release_id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
-        return check_rows(of.join(ok, "release_id", "left"), check, scope, F.col("ok"), F.lit(""))
+        return check_rows(of.join(grown(ok), "release_id", "left"), check, scope, F.col("ok"), F.lit(""))
 
     def none(problems: DataFrame, detail: str, check: str) -> DataFrame:
         found = problems.groupBy("release_id").agg(F.count("*").alias("n"), F.min(detail).alias("first"))
-        joined = named.join(found, "release_id", "left")
+        joined = named.join(grown(found), "release_id", "left")
         return check_rows(joined, check, scope, F.col("n").isNull(), F.col("first"))
 
     access = coverage.independence(facts["overlays"], facts["reviews"], facts["deltas"], facts["reviewed"])
@@ -105,14 +106,14 @@ def audit_releases(
     dupes = identity.binding_dupes(bound.select("release_id", "path"), releases.select("release_id", "path")).select("release_id", F.concat_ws(": ", "problem", "path").alias("detail"))
 
     with_role = bindings.filter("role is not null").join(
-        profiled.select("release_id", "profile"), "release_id"
+        grown(profiled.select("release_id", "profile")), "release_id"
     )
     roles = identity.role_check(with_role, identity.role_table(), profiled).select(
         "release_id", F.concat_ws(": ", "problem", "role").alias("detail")
     )
 
     found = files.groupBy("path").agg(F.max("sha256").alias("_have"))
-    bytes_differ = bound.join(found, "path", "left").filter(
+    bytes_differ = bound.join(grown(found), "path", "left").filter(
         F.col("_have").isNull() | (F.col("_have") != F.col("sha256"))
     ).select("release_id", F.col("path").alias("detail"))
 
@@ -120,24 +121,24 @@ def audit_releases(
     # own bindings. Its members meet every such release.
     own = lambda *columns: F.concat_ws("|", "release_id", *columns)
     named = archives.select("release_id", "archive").distinct()
-    own_members = members.join(named, "archive").select(own("archive").alias("archive"), "name", "sha256")
+    own_members = members.join(grown(named), "archive").select(own("archive").alias("archive"), "name", "sha256")
     own_declared = declared.select(own("archive").alias("archive"), "name", own("artifact_path").alias("artifact_path"))
     own_bindings = bindings.select(own("path").alias("path"), "role", "sha256")
     owner = named.select(own("archive").alias("archive"), "release_id", F.col("archive").alias("given"))
     per_member = identity.audit_bundle(own_members, own_declared, own_bindings).filter("status <> 'ok'")
-    empty = named.join(declared, ["release_id", "archive"], "left_anti").select(
+    empty = named.join(grown(declared), ["release_id", "archive"], "left_anti").select(
         "release_id", F.concat(F.lit("no members: "), "archive").alias("detail")
     )
-    member_problems = per_member.join(owner, "archive").select(
+    member_problems = per_member.join(grown(owner), "archive").select(
         "release_id", F.concat_ws(": ", "status", "name").alias("detail")
     ).unionByName(empty)
     held = identity.bundle_roles(own_declared, own_bindings, identity.FREEZE_ROLES)
-    freeze = owner.join(held, "archive", "left").filter(~F.coalesce("complete", F.lit(False))).select(
+    freeze = owner.join(grown(held), "archive", "left").filter(~F.coalesce("complete", F.lit(False))).select(
         "release_id", F.col("given").alias("detail")
     )
-    stray = members.select("archive").distinct().join(named.select("archive").distinct(), "archive", "left_anti")
+    stray = members.select("archive").distinct().join(grown(named.select("archive").distinct()), "archive", "left_anti")
     registered = identity.unique_registration(registrations, expected).filter("status <> 'ok'").join(
-        releases.select(F.col("stated").alias("state"), "release_id"), "state"
+        grown(releases.select(F.col("stated").alias("state"), "release_id")), "state"
     ).select("release_id", F.concat_ws(": ", "status", "stage").alias("detail"))
 
     return all_checks([

@@ -278,3 +278,19 @@ def test_release_audit_plan_stays_small(spark):
 
     plan = catalog.QUERIES["release_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") < 12 and plan.count("Exchange") < 20 and len(plan.splitlines()) < 200
+
+
+def test_release_audit_broadcasts_nothing(spark, tmp_path):
+    """Parts of releases are many times the size of the table they are made of, so no join may send one whole."""
+    from folioscope.plans import catalog
+
+    rows = [(k, f"Customer#{k}", k % 25, "BUILDING") for k in range(1, 42)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        got = catalog.QUERIES["release_audit"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    faults = {5: "lineage", 7: "source_policy", 11: "template_profile", 13: "typed_registrations", 17: "density_bindings", 19: "metadata_only",
+              23: "state_span", 29: "access_selection", 31: "source_policy_scope", 37: "self_hash", 41: "artifact_bytes"}
+    assert sorted(map(tuple, got)) == sorted((f"R{k}", fault) for k, *_ in rows for n, fault in faults.items() if k % n == 0)
