@@ -25,7 +25,8 @@ from folioscope.llm.words import U64, buffers, mixed, prefix, ranges, slices
 END_ID = 2
 SHARD_BYTES = 16 << 20  # of text in one file
 BLOCK_IDS = 1 << 20  # ids written as one record
-CACHE = 600_000  # different pre-tokens a worker remembers
+CACHE = 1_000_000  # different pre-tokens a worker remembers
+LATE = 1 << 16  # pre-tokens that wait to be merged into those
 SEPARATOR = "\0\0\0\0"  # Spark's text writer ends a record with it; four bytes keep ids aligned
 MAGIC = 0x58444954
 
@@ -61,8 +62,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known = self.late = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,17 +75,12 @@ class Encoder:
         strange[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))  # signs between the letters
         total = np.concatenate([[0], np.cumsum(strange)])
         odd = total[at[1:]] > total[at[:-1]]
-        flat, bounds = self._simple(raw, at)
         if not odd.any():
-            return flat, bounds
-        whole = self._encode([column[int(i)].as_py() for i in np.flatnonzero(odd)])
-        parts, k = [], 0
-        for i in range(len(column)):
-            if odd[i]:
-                parts.append(np.array(whole[k], np.uint32))
-                k += 1
-            else:
-                parts.append(flat[bounds[i] : bounds[i + 1]])
+            return self._simple(raw, at)
+        flat, bounds = self._simple(*buffers(column.filter(pa.array(~odd))))
+        whole = iter(self._encode([column[int(i)].as_py() for i in np.flatnonzero(odd)]))
+        simple = iter(np.split(flat, bounds[1:-1]))
+        parts = [np.array(next(whole), np.uint32) if strange_one else next(simple) for strange_one in odd]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
     def _simple(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,50 +104,68 @@ class Encoder:
         end = np.append(begin[1:], n)
         h = ranges(prefix(raw), begin, end)
         unique, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        slot = self._slots(unique, raw, begin[one], end[one])
-        at_id, length = self.at[slot][inverse], self.length[slot][inverse]
+        at_id, length = (x[inverse] for x in self._places(unique, raw, begin[one], end[one]))
         total = np.concatenate([[0], np.cumsum(length)])
         flat = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - at_id, length)]
         return flat, total[np.searchsorted(begin, at)]
 
-    def _slots(self, unique: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of pre-tokens in the table; unknown ones are encoded first."""
-        if len(self.known) > CACHE:
+    def _places(self, unique: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` each pre-token's begin and how many they are; unknown ones are encoded first.
+
+        New pre-tokens go to a small sorted table, which is merged into the large
+        one when it is full, so a slice does not sort or copy all that are known.
+        """
+        if len(self.known[0]) > CACHE:
             self._forget()
-        slot = np.searchsorted(self.known, unique)
-        there = np.zeros(len(unique), bool)
-        inside = slot < len(self.known)
-        there[inside] = self.known[slot[inside]] == unique[inside]
-        if not there.all():
-            missing = np.flatnonzero(~there)
-            ids = self._pretokens([raw[begin[i] : end[i]].tobytes().decode(errors="replace") for i in missing])
-            length = np.array([len(x) for x in ids], np.int64)
-            first = len(self.ids) + np.concatenate([[0], np.cumsum(length)[:-1]])
-            self.ids = np.concatenate([self.ids, np.concatenate(ids)])
-            known = np.concatenate([self.known, unique[missing]])
-            order = np.argsort(known)
-            self.known = known[order]
-            self.at = np.concatenate([self.at, first])[order]
-            self.length = np.concatenate([self.length, length])[order]
-            slot = np.searchsorted(self.known, unique)
-        return slot
+        at, length = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        missing = np.arange(len(unique))
+        for known, known_at, known_length in (self.known, self.late):
+            slot = np.searchsorted(known, unique[missing])
+            there = np.zeros(len(missing), bool)
+            inside = slot < len(known)
+            there[inside] = known[slot[inside]] == unique[missing[inside]]
+            found, slot = missing[there], slot[there]
+            at[found], length[found] = known_at[slot], known_length[slot]
+            missing = missing[~there]
+        if len(missing):
+            ids, first, n = self._pretokens(raw, begin[missing], end[missing])
+            at[missing], length[missing] = first + len(self.ids), n
+            self.ids = np.concatenate([self.ids, ids])
+            self.late = self._merged(self.late, (unique[missing], at[missing], n.astype(np.int32)))
+            if len(self.late[0]) > LATE:
+                self.known, self.late = self._merged(self.known, self.late), tuple(x[:0] for x in self.late)
+        return at, length
 
-    def _pretokens(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each pre-token; those with a letter, digit or sign go to the library in long lines."""
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if not w.isspace() and "�" not in w]
-        rest = [i for i, w in enumerate(words) if w.isspace() or "�" in w]
-        for i, ids in zip(rest, self._encode([words[i] for i in rest]), strict=True):
-            out[i] = np.array(ids, np.uint32)
+    @staticmethod
+    def _merged(large: tuple[np.ndarray, ...], small: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """Two tables sorted by their first column, without common rows, as one."""
+        place = np.searchsorted(large[0], small[0])
+        return tuple(np.insert(x, place, y) for x, y in zip(large, small, strict=True))
+
+    def _pretokens(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each pre-token's begin, how many); those with a letter, digit or sign go to the library in long lines."""
+        blank = _KIND[raw[end - 1]] == 0
+        plain, spaces = np.flatnonzero(~blank), np.flatnonzero(blank)
+        length, parts = np.zeros(len(begin), np.int64), []
         for k in range(0, len(plain), 20_000):
             part = plain[k : k + 20_000]
-            ids = np.array(self._encode(["\n" + "\n".join(words[i] for i in part)])[0], np.uint32)
+            size = end[part] - begin[part] + 1
+            start = np.cumsum(size) - size
+            lines = raw[np.repeat(begin[part] - 1 - start, size) + np.arange(size.sum())]
+            lines[start] = 10
+            ids = np.array(self._encode([lines.tobytes().decode()])[0], np.uint32)
             cuts = np.append(np.flatnonzero(ids == self.line), len(ids))
-            if len(cuts) != len(part) + 1:
+            if len(cuts) != len(part) + 1 or cuts[0] != 0:
                 raise RuntimeError("pre-tokens and lines don't agree")
-            for j, i in enumerate(part):
-                out[i] = ids[cuts[j] + 1 : cuts[j + 1]]
-        return out
+            length[part] = np.diff(cuts) - 1
+            parts.append(ids[ids != self.line])
+        for i, ids in zip(spaces, self._encode([raw[begin[i] : end[i]].tobytes().decode() for i in spaces]), strict=True):
+            length[i] = len(ids)
+            parts.append(np.array(ids, np.uint32))
+        order = np.concatenate([plain, spaces])
+        at = np.zeros(len(begin), np.int64)
+        at[order] = np.cumsum(length[order]) - length[order]
+        return np.concatenate(parts), at, length
 
 
 # ---------------------------------------------------------------- index

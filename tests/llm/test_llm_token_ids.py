@@ -60,3 +60,19 @@ def test_perfect_hash():
 
 def test_empty(spark, empty):
     assert ti.encode_documents(spark, empty).count() == 0
+
+
+def test_encoder_hands_each_text_to_the_library_once(monkeypatch):
+    """Texts that go to the library whole are not split into pre-tokens too; words stay right while tables fill and are merged."""
+    monkeypatch.setattr(ti, "LATE", 16, raising=False)
+    monkeypatch.setattr(ti, "CACHE", 120)
+    encoder = ti.Encoder(ti.tokenizer_path())
+    plain = ["  ".join(f"word{i}x Über{i % 7}\n\t{i * 37}!" for i in range(k, k + 9)) for k in range(0, 90, 3)]
+    texts = [t for pair in zip(plain, [f"{t} don't  世界" for t in plain], strict=True) for t in pair] + [None, ""]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    handed, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda some: handed.extend(some) or encode(some))
+    for k in range(0, len(texts), 4):
+        ids, bounds = encoder.encode(pa.array(texts[k : k + 4], pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want[k : k + 4]
+    assert sum("don" in x for x in handed) == len(plain)
