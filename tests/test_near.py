@@ -1,7 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from folioscope.functions.graph import components, follow
+from folioscope.functions.runs import signed
 from folioscope.operators import near
 
 
@@ -102,3 +105,20 @@ def test_empty(spark):
     none = spark.createDataFrame([], "id int, g int, t string")
     assert near.near_texts(none, ["g"], "t", "id").count() == 0
     assert near.near_spellings(none, ["g"], "t", "id").count() == 0
+
+
+def test_digests_and_bands_equal_sparks_own_expressions(spark):
+    """Sets are signed in one pass over Arrow batches; the values are those of the plain expressions."""
+    rng = random.Random(4)
+    some = [[rng.randrange(-(2**63), 2**63) for _ in range(n)] for n in (0, 1, 2, 7, 300, 0, 90_000)]
+    some += [[5, -5, 0], [], [2**63 - 1, -(2**63)]]
+    sets = spark.createDataFrame([(i, "é" if i % 2 else None, x) for i, x in enumerate(some)], "id int, g string, items array<bigint>")
+    head = F.concat(F.to_json(F.struct("g")), F.lit(","))
+    got = {r.id: (r.digest, r.bands) for r in sets.select("id", signed(head, F.col("items"), 5, 18).alias("s")).select("id", "s.*").collect()}
+    hashed = sets.select("id", F.explode("items").alias("x"))
+    halves = [e for i in range(45) for e in (f"cast(xxhash64(x, {i}) & 2147483647 as int)", f"cast(shiftrightunsigned(xxhash64(x, {i}), 33) as int)")]
+    minima = hashed.groupBy("id").agg(*[F.min(F.expr(h)).alias(f"m{i}") for i, h in enumerate(halves)])
+    bands = minima.select("id", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{5 * b + r}") for r in range(5)]) for b in range(18)]).alias("bands"))
+    digest = F.sha2(F.concat_ws(",", F.to_json(F.struct("g")), F.array_join(F.array_sort("items"), ",")), 256)
+    want = sets.join(bands, "id", "left").select("id", F.when(F.size("items") > 0, digest).alias("digest"), F.coalesce("bands", F.array().cast("array<bigint>")).alias("bands"))
+    assert got == {r.id: (r.digest, r.bands) for r in want.collect()}
