@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.shared import cut, new_path, table
-from folioscope.llm.words import U64, buffers, mixed, prefix, ranges, slices
+from folioscope.llm.words import U64, buffers, mixed, prefix, ranges, release, slices
 
 END_ID = 2
 SHARD_BYTES = 16 << 20  # of text in one file
@@ -240,8 +240,8 @@ def index_bytes(ids: np.ndarray, null: np.ndarray, offset: np.ndarray, length: n
 class Shard:
     """A file's content: ``get`` reads one document by key, ``keys`` lists all in order."""
 
-    def __init__(self, content: bytes):
-        self.content = content = content[: -len(SEPARATOR)]
+    def __init__(self, content: bytes | pa.Buffer):
+        self.content = content = memoryview(content)[: -len(SEPARATOR)]  # the file's bytes are not copied
         size, n, n_levels, self.width, magic = np.frombuffer(content[-40:], np.int64)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
@@ -346,19 +346,20 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every document of every file, found by its key."""
     for batch in batches:
         for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            content = content.as_py()
-            if not content:
+            content = content.as_buffer()
+            if not content or not content.size:
                 continue
             shard = Shard(content)
             slot = shard.find(shard.ids, shard.null, shard.turn)
             if (slot < 0).any():
                 raise ValueError("a key is missing from its index")
             n = shard.n[slot]
-            crc = [zlib.crc32(shard.tokens(s).astype("<u4").tobytes()) for s in slot]
+            crc = [zlib.crc32(shard.tokens(s).astype("<u4")) for s in slot]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(n), int(name.as_py())), pa.int64()), pa.array(shard.ids, mask=shard.null),
                 pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64()),
             ], ["shard", "doc_id", "inner", "n_tokens", "ids_crc32"])
+    release()
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from folioscope.llm import token_ids as ti
+from folioscope.llm.shared import tuned
 
 STRANGE = ["a  b\n\n c \t\nd  ", "it's 'll we’ve", "", None, "  ", "\n", "x\n y", "日本 <|endoftext|>", "<|endoftext|> a",
            "÷×é É1a2 ...!! ?", "a\x00b", "ab\u0301c \u00e9\n\n\n  \u00e9", "1234 56", "  x", " a", "!\n", "\u00a0x\u2003y"]
@@ -76,3 +77,24 @@ def test_encoder_hands_each_text_to_the_library_once(monkeypatch):
         ids, bounds = encoder.encode(pa.array(texts[k : k + 4], pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want[k : k + 4]
     assert sum("don" in x for x in handed) == len(plain)
+
+
+def test_files_are_read_one_at_a_time(spark, tmp_path):
+    """A task that reads several long files holds one of them, not a batch of all, and does not copy it."""
+    rows = [(i, "".join(f" w{i}x{k}" for k in range(60_000))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    path = str(tmp_path / "ids")
+    tuned(spark)
+    ti.write_shards(docs, path, ti.tokenizer_path(), 50_257, shard_bytes=400_000)
+
+    def batch_sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64())})
+
+    files = spark.read.format("binaryFile").load(path).select("content").coalesce(1)
+    sizes = files.mapInArrow(batch_sizes, "bytes long").collect()
+    longest = max(p.stat().st_size for p in (tmp_path / "ids").glob("part-*"))
+    assert sum(r.bytes for r in sizes) > (4 << 20) + 2 * longest
+    assert max(r.bytes for r in sizes) < (4 << 20) + 2 * longest
+    one = max((p.read_bytes() for p in (tmp_path / "ids").glob("part-*")), key=len)
+    assert ti.Shard(one).content.obj is one
