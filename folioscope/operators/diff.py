@@ -452,44 +452,55 @@ def lineage_chains(mapping: DataFrame) -> DataFrame:
     ``current`` ids have no further step. ``n_paths`` counts the ways that lead
     from one to the other (NULL beyond 64 bits), ``n_steps`` the longest. Steps
     are composed with themselves, so a chain of n versions takes log2(n) rounds;
-    ways that have ended are not moved again, and rounds after the longest chain
-    touch only ids that run into a cycle.
-    An id that still goes on after more steps than there are ids runs into a
-    ``cycle``, with an id of it as the final one.
+    ways that have ended are not moved again. Once no way meets an ended one, all
+    that is left runs into a ``cycle``, with an id of it as the final one: rounds
+    then touch only ids that run into cycles and go on until the ids that are
+    reached no longer become fewer. Joins are shuffled at every size, because the
+    steps may be many times what Spark guesses from the files below them.
     """
     steps = cut_lineage(mapping.select(F.col("old_id").alias("id"), F.col("new_id").alias("final_id")).distinct())
     going = cut_lineage(steps.select(F.col("id").alias("_id")).distinct())
     n_ids = going.count()
     one = F.lit(1).cast("bigint")
-    now = cut_lineage(steps.join(going, F.col("final_id") == F.col("_id"), "left").select(
+    now = cut_lineage(steps.join(grown(going), F.col("final_id") == F.col("_id"), "left").select(
         "id", "final_id", one.alias("n_paths"), one.alias("n_steps"), F.col("_id").isNotNull().alias("open")))
 
     def summed(rows: DataFrame, by: list[str]) -> DataFrame:
         return rows.groupBy(*by).agg(
             F.when(F.count("n_paths") == F.count("*"), F.try_sum("n_paths")).alias("n_paths"), F.max("n_steps").alias("n_steps"))
 
+    def parted(rows: DataFrame) -> tuple[list[DataFrame], DataFrame, bool]:
+        """What has ended, if anything has, what goes on, and whether anything does."""
+        open_, n = rows.agg(F.count_if("open"), F.count("*")).first()
+        return [rows.filter("not open").drop("open")] if open_ < n else [], rows.filter("open").drop("open"), open_ > 0
+
     # What has ended is kept as it is; a round moves only the ways that still go on.
-    ended, going_on, reach, met_end = [now.filter("not open").drop("open")], now.filter("open").drop("open"), 1, True
-    while reach <= n_ids and not going_on.isEmpty():
+    ended, going_on, left = parted(now)
+    reach, met_end, reached = 1, True, None
+    while reach <= n_ids and left:
         on = going_on.withColumn("open", F.lit(True))
-        # Once no open way meets an ended one none ever will: all that is left runs into cycles.
         if met_end:
-            on = on.unionByName(reduce(DataFrame.unionByName, ended).withColumn("open", F.lit(False)))
+            on = reduce(DataFrame.unionByName, [f.withColumn("open", F.lit(False)) for f in ended], on)
+        else:
+            # No way that is left ever meets an end. The ids reached in more steps are
+            # among those reached in fewer; once they are as many, all lie on the way
+            # round or between cycles.
+            before, reached = reached, cut_lineage(going_on.select("final_id").distinct()).count()
+            if reached == before:
+                break
         on = on.select(F.col("id").alias("_id"), F.col("final_id").alias("_to"), F.col("n_paths").alias("_p"),
                        F.col("n_steps").alias("_s"), "open")
-        moved = going_on.join(on, F.col("final_id") == F.col("_id")).select(
+        moved = going_on.join(grown(on), F.col("final_id") == F.col("_id")).select(
             "id", F.col("_to").alias("final_id"), F.try_multiply("n_paths", "_p").alias("n_paths"),
             F.expr("least(n_steps + _s, 4611686018427387903)").alias("n_steps"), "open")
         now = cut_lineage(summed(moved, ["id", "final_id", "open"]))
-        if met_end:
-            found = now.filter("not open").drop("open")
-            met_end = not found.isEmpty()
-            ended.append(found)
-        going_on = now.filter("open").drop("open")
+        found, going_on, left = parted(now)
+        met_end = met_end and bool(found)
+        ended += found
         reach *= 2
     # An id may meet the same end in several rounds, by ways of different lengths.
-    closed = summed(reduce(DataFrame.unionByName, ended), ["id", "final_id"]).withColumn("open", F.lit(False))
-    now = closed.unionByName(going_on.withColumn("open", F.lit(True)))
+    closed = [summed(reduce(DataFrame.unionByName, ended), ["id", "final_id"]).withColumn("open", F.lit(False))] if ended else []
+    now = reduce(DataFrame.unionByName, closed, going_on.withColumn("open", F.lit(True)))
     status = F.when(F.col("open"), "cycle").when(F.col("final_id").isNull(), "removed").otherwise("current")
     ends = now.withColumn("status", status).select("id", "final_id", "status", "n_paths", "n_steps")
     # On a cycle the number of steps taken says nothing; one of its ids stands for it.

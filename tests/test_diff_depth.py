@@ -195,3 +195,22 @@ def test_nested_disputes_are_made_once(spark):
     assert {r.pointer for r in kept.collect()} == {"/p", "/r"} and left.count() == 0
     for out in (kept, left):
         assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lineage_chains_broadcast_nothing_and_rounds_follow_the_chains(spark, monkeypatch):
+    """Steps may be many times the table they are made of, so no join may send them whole; rings of
+    three in many chains don't ask for as many rounds as there are doublings up to the number of ids."""
+    cuts, cut = [], diff.cut_lineage
+    monkeypatch.setattr(diff, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    steps = [(f"{v}:{i}", f"{v + 1}:{i}" if v < 3 else None) for v in range(4) for i in range(300)]
+    steps += [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r3", "s"), ("s", "t"), ("t", "s"), ("u", "v"), ("v", "w"), ("w", "x"), ("x", "r2")]
+    mapping = spark.createDataFrame(steps, "old_id string, new_id string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        got = diff.lineage_chains(mapping).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert {r.id for r in got if r.status == "cycle"} == {"r1", "r2", "r3", "s", "t", "u", "v", "w", "x"}
+    assert all(r.final_id in {"r1", "r2", "r3", "s", "t"} for r in got if r.status == "cycle")
+    assert {(r.id, r.n_steps) for r in got if r.status == "removed"} == {(f"{v}:{i}", 4 - v) for v in range(4) for i in range(300)}
+    assert len(cuts) < 13
