@@ -122,3 +122,32 @@ def test_digests_and_bands_equal_sparks_own_expressions(spark):
     digest = F.sha2(F.concat_ws(",", F.to_json(F.struct("g")), F.array_join(F.array_sort("items"), ",")), 256)
     want = sets.join(bands, "id", "left").select("id", F.when(F.size("items") > 0, digest).alias("digest"), F.coalesce("bands", F.array().cast("array<bigint>")).alias("bands"))
     assert got == {r.id: (r.digest, r.bands) for r in want.collect()}
+
+
+def test_near_texts_miss_no_link_at_the_threshold(spark):
+    """4,000 pairs of texts that share exactly four fifths of their words; bands alone miss a few."""
+    pairs = [(2 * i + j, "g", " ".join([*(f"w{i}x{k}" for k in range(8)), f"own{i}x{j}"])) for i in range(4000) for j in (0, 1)]
+    out = near.near_texts(spark.createDataFrame(pairs, "id int, g string, t string"), ["g"], "t", "id", words=1).collect()
+    assert [(r.id, r.class_id, r.n_forms) for r in out if r.class_id != r.id - r.id % 2 or r.n_forms != 2] == []
+
+
+def test_near_texts_find_links_inside_a_band_of_unlike_texts(spark, monkeypatch):
+    """One band holds most texts here, so its two outermost forms stand for none of the others."""
+    monkeypatch.setattr(near, "ROWS", 1)
+    monkeypatch.setattr(near, "BANDS", 1)
+    rng = random.Random(6)
+    often = [f"often{i}" for i in range(12)]
+    texts = []
+    for i in range(40):
+        base = rng.sample(often, 9) + [f"w{i}x{k}" for k in range(rng.randrange(1, 12))]
+        texts += [" ".join(base), " ".join(base[1:]), " ".join([*base, f"more{i}"]), " ".join(base[rng.randrange(1, 5) :])]
+    rows = [(i, ["g", "h", None][i % 3], t) for i, t in enumerate(texts)] + [(900, "g", None), (901, "g", "")]
+    for similar in ((4, 5), (1, 2)):
+        out = near.near_texts(spark.createDataFrame(rows, "id int, g string, t string"), ["g"], "t", "id", 1, similar).collect()
+        sets = {i: (g, runs(t, 1)) for i, g, t in rows}
+
+        def linked(a, b):
+            (g, x), (h, y) = sets[a], sets[b]
+            return g == h and x and y and similar[1] * len(x & y) >= similar[0] * len(x | y)
+
+        assert {r.id: r.class_id for r in out} == by_hand(list(sets), linked)
