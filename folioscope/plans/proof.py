@@ -60,19 +60,21 @@ def release_facts(texts: DataFrame, wrappers: list[str]) -> DataFrame:
 
     ``texts(release_id, role, path, sha256, json)``. A role a release lacks leaves NULLs.
     """
-    doc = F.try_parse_json("json")
+    # Each text is parsed once, and only those that are sealed or wrapped are spelled anew.
+    texts = texts.filter("role is not null").withColumn("_doc", F.try_parse_json("json"))
+    doc = F.col("_doc")
     columns = {}
     for role, facts in FACTS.items():
         for name, at in facts.items():
             value = F.to_json(F.try_variant_get(doc, at, "variant"))
             columns[_fact(role, name)] = F.when(F.col("role") == role, value)
     policy = F.col("role") == "source_policy"
-    columns["source_policy_sealed"] = F.when(policy, identity.self_hash_ok(F.col("json"), "policy_sha256"))
+    columns["source_policy_sealed"] = F.when(policy, identity.self_hash_ok(F.when(policy, F.col("json")), "policy_sha256"))
     template = F.col("role") == "policy_template"
-    columns["policy_template_semantic"] = F.when(template, identity.semantic_sha(F.col("json"), wrappers))
+    columns["policy_template_semantic"] = F.when(template, identity.semantic_sha(F.when(template, F.col("json")), wrappers))
     inner = F.map_keys(F.try_variant_get(doc, "$.policy_semantic_content", "map<string,variant>"))
     columns["policy_template_wrapped"] = F.when(template, F.arrays_overlap(inner, F.array(*[F.lit(w) for w in wrappers])))
-    named = texts.filter("role is not null").select("release_id", "role", "path", "sha256", *[c.alias(n) for n, c in columns.items()])
+    named = texts.select("release_id", "role", "path", "sha256", *[c.alias(n) for n, c in columns.items()])
     files = {}
     for role in (*REGISTERED, "study_lock", "state", "access_overlay", "access_review"):
         files[f"{role}_path"] = F.when(F.col("role") == role, F.col("path"))

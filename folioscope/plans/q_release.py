@@ -14,6 +14,7 @@ from folioscope.session import cut_lineage
 
 PIN = "c" * 40
 WRAPPERS = ("policy_id", "policy_sha256", "schema_version")
+ROWS_A_TASK = 4_000  # customers whose texts one task makes; those of one are about 20 KB
 PROFILES = {"subject-index-successor-release-v3": ("v10", PIN)}
 
 
@@ -39,6 +40,8 @@ def customer_releases(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     span = F.array(s(1), F.col("c_nationkey") + 1)
     scope = F.struct(span.alias("document_page_span"), F.col("c_name").alias("source"))
     df = t.customer.select("c_custkey", "c_nationkey", "c_name", "c_mktsegment")
+    # The table is small beside the texts made of it, so the size of its files says nothing about tasks.
+    df = df.repartition(df.count() // ROWS_A_TASK + 1, *df.columns)
     # Each text may hold the digests of those before it.
     open_scope = F.struct(span.alias("document_page_span"), F.when(every(31), s("other")).otherwise(F.col("c_name")).alias("source"))
     df = df.withColumn("body", text(policy_id=s("p"), source_scope=open_scope))

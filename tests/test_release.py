@@ -294,3 +294,15 @@ def test_release_audit_broadcasts_nothing(spark, tmp_path):
     faults = {5: "lineage", 7: "source_policy", 11: "template_profile", 13: "typed_registrations", 17: "density_bindings", 19: "metadata_only",
               23: "state_span", 29: "access_selection", 31: "source_policy_scope", 37: "self_hash", 41: "artifact_bytes"}
     assert sorted(map(tuple, got)) == sorted((f"R{k}", fault) for k, *_ in rows for n, fault in faults.items() if k % n == 0)
+
+
+def test_texts_of_releases_are_made_in_as_many_tasks_as_the_customers_need(spark, tmp_path, monkeypatch):
+    """The customer file is one split at most sizes, and the texts made of a row are many times the row."""
+    from folioscope.plans import q_release
+    from folioscope.plans.registry import Tables
+
+    rows = [(k, f"Customer#{k}", k % 25, "BUILDING") for k in range(1, 42)] + [(None, None, None, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(q_release, "ROWS_A_TASK", 10, raising=False)
+    docs = q_release.customer_releases(Tables(spark, str(tmp_path)))[0]
+    assert docs.rdd.getNumPartitions() == 5 and docs.count() == 42
